@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, quality, sentencepiece, token_files
+from . import chat, decontamination, html, lines, quality, sentencepiece, token_files
 
 QUERIES = {
     f.__name__: f
@@ -10,10 +10,17 @@ QUERIES = {
         quality.op1_quality,
         sentencepiece.op2_sentencepiece,
         chat.op3_chat,
+        lines.op4_line_dedup,
         sentencepiece.op6_token_counts,
         token_files.op8_token_files,
+        decontamination.op9_decontamination,
         html.op10_html,
     )
 }
 
-SQL = {"op1_quality": quality.OP1_SQL, "op3_chat": chat.OP3_SQL}
+SQL = {
+    "op1_quality": quality.OP1_SQL,
+    "op3_chat": chat.OP3_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
+}
