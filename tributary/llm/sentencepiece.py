@@ -18,11 +18,12 @@ need no care, as each row stands alone; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,8 +32,9 @@ from .common import pick, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words and matches remembered in a worker.
+#: Words remembered in a generation of a worker's memory.
 MEMO = 300_000
+NEVER = float("-inf")
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -51,26 +53,46 @@ def load_pieces(path: str) -> list[tuple[str, float, int]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
-@dataclass
+class Memory:
+    """What was computed for words, in two generations, so that frequent words stay."""
+
+    def __init__(self, compute: Callable[[str], object]) -> None:
+        self.compute, self.young, self.old = compute, {}, {}
+
+    def all(self, words: list[str]) -> list:
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        for w in words:
+            if w not in young:
+                young[w] = old[w] if w in old else self.compute(w)
+        out = [young[w] for w in words]
+        for w in {w for w in words if len(w) > 64}:
+            del young[w]
+        return out
+
+
 class Pieces:
     """A vocabulary with its automaton."""
 
-    vocabulary: list[tuple[str, float, int]]
-    memo: dict[str, list[int]] = field(default_factory=dict)
-    counts: dict[str, tuple[int, float]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float, int]]) -> None:
+        self.vocabulary = vocabulary
         self.automaton = ahocorasick.Automaton()
-        self.byte_ids = {}
-        for i, (piece, score, kind) in enumerate(self.vocabulary):
+        self.byte_ids: dict[int, int] = {}
+        for i, (piece, score, kind) in enumerate(vocabulary):
             if kind == NORMAL:
                 self.automaton.add_word(piece, (len(piece), score, i))
             elif kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = i
         self.automaton.make_automaton()
-        self.unknown = next((i for i, x in enumerate(self.vocabulary) if x[2] == UNKNOWN), 0)
-        self.unknown_score = min((x[1] for x in self.vocabulary if x[2] == NORMAL), default=0.0) - 10
-        self.inner_mark = any(x[2] == NORMAL and MARK in x[0].lstrip(MARK) for x in self.vocabulary)
+        normal = [x for x in vocabulary if x[2] == NORMAL]
+        self.letters = {p for p, _, _ in normal if len(p) == 1}
+        self.unknown = next((i for i, x in enumerate(vocabulary) if x[2] == UNKNOWN), 0)
+        self.unknown_score = min((x[1] for x in normal), default=0.0) - 10
+        self.inner_mark = any(MARK in p.lstrip(MARK) for p, _, _ in normal)
+        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " \u2047 ".encode() if k == UNKNOWN else p.encode() for p, _, k in vocabulary]
+        self.solved = Memory(self.solve)
+        self.counted = Memory(self.count_word)
 
     def normal(self, text: str) -> str:
         """What is encoded: a space mark before the text and for every space."""
@@ -79,83 +101,58 @@ class Pieces:
     def words(self, marked: str) -> list[str]:
         return [marked] * bool(marked) if self.inner_mark else WORDS.findall(marked)
 
-    def relaxed(self, word: str) -> Iterator[tuple[int, int, float, int]]:
-        """end, start, score, id (-1: unknown) of every edge, by end and then by start."""
-        ends: dict[int, list] = {}
-        for end, (size, score, i) in self.automaton.iter(word):
-            ends.setdefault(end, []).append((end + 1 - size, score, i))
-        for end in range(len(word)):
-            edges = sorted(ends.get(end, ()))
-            yield from ((end + 1, *e) for e in edges)
-            if not edges or edges[-1][0] != end:
-                yield end + 1, end, self.unknown_score, -1
-
-    def solve(self, word: str) -> list[int]:
-        best: list[tuple | None] = [(0.0, 0, 0), *[None] * len(word)]
-        for end, start, score, i in self.relaxed(word):
-            total = best[start][0] + score
-            if best[end] is None or total > best[end][0]:
-                best[end] = (total, start, i)
-        path, at = [], len(word)
-        while at:
-            _, start, i = best[at]
-            path.append((i, word[start:at]))
-            at = start
+    def edges(self, word: str) -> Iterator[tuple[int, tuple[int, float, int]]]:
+        """end - 1 and (length, score, id) of every edge, by end; following the output links gives
+        the longest piece that ends there first. An unknown character is an edge of id -1."""
+        if self.letters.issuperset(word):
+            return self.automaton.iter(word)
+        found = [*self.automaton.iter(word), *((i, (1, self.unknown_score, -1)) for i, c in enumerate(word) if c not in self.letters)]
+        return iter(sorted(found, key=lambda e: (e[0], -e[1][0])))
+
+    def solve(self, word: str) -> bytes:
+        """The ids of the best path, as 32-bit integers."""
+        n = len(word)
+        best, back = [0.0] + [NEVER] * n, [(0, 0)] * (n + 1)
+        for end, (size, score, i) in self.edges(word):
+            end += 1
+            total = best[end - size] + score
+            if total > best[end]:
+                best[end] = total
+                back[end] = (size, i)
         ids: list[int] = []
-        for i, piece in reversed(path):
+        while n:
+            size, i = back[n]
             if i >= 0:
                 ids.append(i)
             else:
-                ids += [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
-        return ids
+                ids += [self.byte_ids[b] for b in reversed(word[n - 1].encode())] if self.byte_ids else [self.unknown]
+            n -= size
+        return array("i", reversed(ids)).tobytes()
 
     def count_word(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best path, without the path."""
-        best: list[tuple | None] = [(0.0, 0), *[None] * len(word)]
-        for end, start, score, i in self.relaxed(word):
-            total = best[start][0] + score
-            if best[end] is None or total > best[end][0]:
-                size = 1 if i >= 0 or not self.byte_ids else len(word[start:end].encode())
-                best[end] = (total, best[start][1] + size)
-        return best[-1][1], best[-1][0]
+        best, pieces = [0.0] + [NEVER] * len(word), [0] * (len(word) + 1)
+        for end, (size, score, i) in self.edges(word):
+            end += 1
+            total = best[end - size] + score
+            if total > best[end]:
+                best[end] = total
+                pieces[end] = pieces[end - size] + (1 if i >= 0 or not self.byte_ids else len(word[end - 1].encode()))
+        return pieces[-1], best[-1]
+
+    def encode_array(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(self.solved.all(self.words(self.normal(text or "")))), np.int32)
 
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        memo = self.memo
-        for word in self.words(self.normal(text or "")):
-            got = memo.get(word)
-            if got is None:
-                got = self.solve(word)
-                if len(word) < 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = got
-            ids += got
-        return ids
+        return self.encode_array(text).tolist()
 
     def count(self, text: str | None) -> tuple[int, float]:
-        n, total, memo = 0, 0.0, self.counts
-        for word in self.words(self.normal(text or "")):
-            got = memo.get(word)
-            if got is None:
-                got = self.count_word(word)
-                if len(word) < 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = got
-            n += got[0]
-            total += got[1]
-        return n, total
+        got = self.counted.all(self.words(self.normal(text or "")))
+        return sum(n for n, _ in got), sum(s for _, s in got) if got else 0.0
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            piece, _, kind = self.vocabulary[i]
-            if kind == BYTE:
-                out.append(bytes([int(piece[3:5], 16)]))
-            elif kind != CONTROL:
-                out.append(" ⁇ ".encode() if kind == UNKNOWN else piece.encode())
-        return b"".join(out).decode(errors="replace").replace(MARK, " ")[1:]
+        raw = self.raw
+        return b"".join([raw[i] for i in ids]).decode(errors="replace").replace(MARK, " ")[1:]
 
 
 @lru_cache(2)
@@ -174,9 +171,11 @@ def with_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
         p = pieces(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids = [p.encode(t) for t in texts]
-            back = [p.decode(x) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
-            cols = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(back, pa.bool_())]
+            ids = [p.encode_array(t) for t in texts]
+            back = [p.decode(x.tolist()) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            cols = [lists, pa.array(sizes), pa.array(back, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new.items())])
