@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import long_id, pick, real_id, scratch, stash, table
 
-#: Words remembered in a worker.
-MEMO = 400_000
+#: Stretches remembered in a generation of a worker's memory.
+MEMO = 300_000
+#: Texts encoded at once.
+AT_ONCE = 256
 #: Ids in a block, but for a document that is longer.
 BLOCK = 1 << 18
 
@@ -73,8 +76,10 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         out: list[str] = []
@@ -86,15 +91,29 @@ class Encoder:
                 out.append(piece)
         return out
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text. Stretches are remembered in two generations, so that frequent
+        ones stay when the younger one is full."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        cut = [self.pieces(t or "") for t in texts]
+        new = []
+        for p in {p for pieces in cut for p in pieces if p not in memo}:
+            if p in old:
+                memo[p] = old[p]
+            else:
+                new.append(p)
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[p] = np.array(e.ids, "<u4").tobytes()
+        out = [np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4") for pieces in cut]
+        for p in new:
+            if len(p) > 64:
+                del memo[p]
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        memo, pieces, long = self.memo, self.pieces(text or ""), {}
-        if new := [p for p in dict.fromkeys(pieces) if p not in memo]:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                (memo if len(p) < 64 else long)[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([memo[p] if p in memo else long[p] for p in pieces]), "<u4")
+        return self.encode_all([text])[0]
 
 
 @lru_cache(2)
@@ -103,18 +122,30 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, tie, ids (little-endian unsigned 16-bit where they fit, else 32), wide."""
+    """doc_id, tie, ids (little-endian unsigned 16-bit where they fit, else 32), wide of every
+    document; and in rows of their own, id and n: how often a task has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
+        e, total = encoder(tokenizer), np.zeros(0, np.int64)
+        names = ["doc_id", "tie", "ids", "wide", "id", "n"]
         for batch in batches:
-            ids = [np.append(e.encode(t), np.uint32(end_id)) for t in batch.column("text").to_pylist()]
+            texts, ids = batch.column("text").to_pylist(), []
+            for i in range(0, len(texts), AT_ONCE):
+                ids += [np.append(x, np.uint32(end_id)) for x in e.encode_all(texts[i : i + AT_ONCE])]
             wide = [bool(len(x) and x.max() > 0xFFFF) for x in ids]
             raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_())], ["doc_id", "tie", "ids", "wide"])
+            if ids:
+                part = np.bincount(np.concatenate(ids))
+                total = np.pad(total, (0, max(0, len(part) - len(total))))
+                total[: len(part)] += part
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_()), none, none], names)
+        at = np.flatnonzero(total)
+        empty = [pa.nulls(len(at), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(at, pa.int64()), pa.array(total[at])], names)
 
     docs = pick(docs, "doc_id", "text").select(long_id().alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return docs.mapInArrow(run, "doc_id long, tie long, ids binary, wide boolean")
+    return docs.mapInArrow(run, "doc_id long, tie long, ids binary, wide boolean, id long, n long")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -123,19 +154,7 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 def rank_table(tokens: DataFrame) -> DataFrame:
     """rank, id: ids by falling count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw, wide in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist(), strict=True):
-                part = np.bincount(_ids(raw, wide))
-                if len(part) > len(total):
-                    total = np.pad(total, (0, len(part) - len(total)))
-                total[: len(part)] += part
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
-
-    counts = tokens.select("ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
     ordered = [r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]  # one row for each vocabulary entry at most
     return tokens.sparkSession.createDataFrame(pd.DataFrame({"rank": range(len(ordered)), "id": ordered}), "rank long, id long")
 
@@ -175,7 +194,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
+    ordered = tokens.where("id IS NULL").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
     ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
 
 
