@@ -6,8 +6,8 @@ one to four bytes; two control bits for each hold its byte count less one, four
 byte, apart from the data bytes. Numpy decodes a block by looking up, for each control byte, its
 four lengths, and adding up the data bytes of each length at once.
 
-A file set is a Parquet table of blocks in ascending document order (part, block, doc_ids,
-counts, control, data), beside a table of ranks (rank, id): at most one row for each entry of the
+A file set is a Parquet table of blocks in ascending document order (part, block, skip: ids
+before it in its part, doc_ids, counts, control, data), beside a table of ranks (rank, id): at most one row for each entry of the
 vocabulary, and so of bounded size. Documents are range-partitioned by id, so no task and not the
 driver holds more than a block and one number for each partition.
 
@@ -18,10 +18,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import long_id, pick, real_id, scratch, stash, table
 
 #: Stretches remembered in a generation of a worker's memory.
-MEMO = 300_000
+MEMO = 400_000
 #: Texts encoded at once.
-AT_ONCE = 256
+AT_ONCE = 1024
 #: Ids in a block, but for a document that is longer.
 BLOCK = 1 << 18
 
@@ -69,9 +73,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: A word of Latin letters with the space before it, if no other letter follows; or else what
+#: there is up to the next space; or spaces.
+PIECE = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?[^ ]+| +")
+
+
 class Encoder:
-    """Whole texts to ids. The pre-tokenizer always splits before a space that a non-space
-    follows, so the stretches between such places are encoded apart and remembered."""
+    """Whole texts to ids. The pre-tokenizer always splits after a run of letters and before a
+    space that a non-space follows, so the stretches between such places are encoded apart and
+    remembered. Texts with double spaces are split before single words only."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -82,6 +92,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if "  " not in text:
+            return PIECE.findall(text)
         out: list[str] = []
         for i, word in enumerate(text.split(" ")):
             piece = f" {word}" if i else word
@@ -99,14 +111,14 @@ class Encoder:
         memo, old = self.memo, self.old
         cut = [self.pieces(t or "") for t in texts]
         new = []
-        for p in {p for pieces in cut for p in pieces if p not in memo}:
+        for p in set(chain.from_iterable(cut)).difference(memo):
             if p in old:
                 memo[p] = old[p]
             else:
                 new.append(p)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4") for pieces in cut]
+            memo[p] = array("I", e.ids).tobytes()
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<u4") for pieces in cut]
         for p in new:
             if len(p) > 64:
                 del memo[p]
@@ -126,6 +138,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     document; and in rows of their own, id and n: how often a task has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the millions of strings and lists here hold no cycles
         e, total = encoder(tokenizer), np.zeros(0, np.int64)
         names = ["doc_id", "tie", "ids", "wide", "id", "n"]
         for batch in batches:
@@ -140,6 +153,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 total[: len(part)] += part
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_()), none, none], names)
+        gc.enable()
         at = np.flatnonzero(total)
         empty = [pa.nulls(len(at), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(at, pa.int64()), pa.array(total[at])], names)
@@ -173,20 +187,20 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, block, skip, held, names, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush():
             control, data = pack(np.concatenate(held))
-            row = {"part": [part], "block": [block], "doc_ids": [names], "counts": [[len(x) for x in held]], "control": [control], "data": [data]}
+            row = {"part": [part], "block": [block], "skip": [skip], "doc_ids": [names], "counts": [[len(x) for x in held]], "control": [control], "data": [data]}
             return pa.RecordBatch.from_pydict(row, schema)
 
-        schema = pa.schema({"part": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "control": pa.binary(), "data": pa.binary()})
+        schema = pa.schema({"part": pa.int32(), "block": pa.int32(), "skip": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "control": pa.binary(), "data": pa.binary()})
         for batch in batches:
             for doc, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "wide")), strict=True):
                 ranks = shared.value[_ids(raw, wide)]
                 if held and size + len(ranks) > BLOCK:
                     yield flush()
-                    block, held, names, size = block + 1, [], [], 0
+                    block, skip, held, names, size = block + 1, skip + size, [], [], 0
                 held.append(ranks)
                 names.append(doc)
                 size += len(ranks)
@@ -195,7 +209,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.where("id IS NULL").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
-    ordered.mapInArrow(blocks, "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, "part int, block int, skip long, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
 
 
 def read_files(spark: SparkSession, path: str, reduce: Callable[[np.ndarray], int], name: str) -> DataFrame:
@@ -203,7 +217,7 @@ def read_files(spark: SparkSession, path: str, reduce: Callable[[np.ndarray], in
     ranks = [r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
     shared = spark.sparkContext.broadcast(np.array(ranks, np.uint32))
     blocks = spark.read.parquet(f"{path}/blocks")
-    sizes = blocks.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    sizes = blocks.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     # Ids before each part: one number for each partition of the writer.
     totals = sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     before, at = {}, 0
@@ -211,10 +225,6 @@ def read_files(spark: SparkSession, path: str, reduce: Callable[[np.ndarray], in
         before[r.part] = at
         at += r.n
 
-    from pyspark.sql import Window
-
-    first = sizes.select("part", "block", (F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")).alias("skip"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -226,7 +236,7 @@ def read_files(spark: SparkSession, path: str, reduce: Callable[[np.ndarray], in
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + (before[row["part"]] + row["skip"])), pa.array(counts), pa.array(got, pa.int64())],
                     ["doc_id", "start", "n_tokens", name])
 
-    out = blocks.join(first, ["part", "block"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} long")
+    out = blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} long")
     return out.withColumn("doc_id", real_id("doc_id"))
 
 
