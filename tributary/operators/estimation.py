@@ -104,7 +104,7 @@ def estimate_from_labels(labelled: DataFrame, records: DataFrame, comparisons: S
     yes, no = F.count_if(F.col(label)), F.count_if(~F.col(label))
     counts = [F.struct(F.lit(c.label).alias("comparison"), F.lit(lv.label).alias("level"), F.count_if(F.col(label) & (F.col(f"g{i}") == k)).alias("a"), F.count_if(~F.col(label) & (F.col(f"g{i}") == k)).alias("b")) for i, c in enumerate(comparisons) for k, lv in enumerate(_levels(c))]
     one = rows.agg(yes.alias("yes"), no.alias("no"), F.array(*counts).alias("c")).select("yes", "no", F.explode("c").alias("x"))
-    clamp = lambda c: F.least(F.greatest(c, F.lit(FLOOR)), F.lit(CEILING))
+    clamp = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(FLOOR)), F.lit(CEILING)))
     return one.select("x.comparison", "x.level", clamp(F.try_divide(F.col("x.a"), F.col("yes"))).alias("m"), clamp(F.try_divide(F.col("x.b"), F.col("no"))).alias("u"), F.try_divide(F.col("yes"), F.col("yes") + F.col("no")).alias("match_rate"))
 
 

@@ -40,7 +40,7 @@ class HashCursor:
 
 @dataclass(frozen=True)
 class Staging:
-    """watermark: values by cursor column, in order. grace_period_hours: read again what is that
+    """watermark: values by cursor column, in order. cursors: their columns while there is no value. grace_period_hours: read again what is that
     much older. cursor_mode: ordered (tuples beyond the watermark) or independent (any column)."""
 
     source_name: str
@@ -58,6 +58,7 @@ class Staging:
     partition_cursors: tuple[PartitionCursor, ...] = ()
     cursor_mode: str = "ordered"
     hash_cursor: HashCursor | None = None
+    cursors: tuple[str, ...] = ()
 
 
 def record_uid(source_name: str, key: Column) -> Column:
@@ -103,7 +104,7 @@ def stage(source: DataFrame, p: Staging) -> DataFrame:
         df = df.withColumn(p.hash_cursor.alias, F.pmod(F.xxhash64(F.col(p.hash_cursor.column).cast("string")), F.lit(p.hash_cursor.modulus)))
     joined = [c for j in p.joins for c in j.columns]
     kept = dict.fromkeys([*p.columns, *p.passthrough_columns, *joined, *([p.hash_cursor.alias] if p.hash_cursor else [])]) or dict.fromkeys(df.columns)
-    cursors = [F.col(c) for c in p.watermark] or [F.col(p.updated_at)]
+    cursors = [F.col(c) for c in p.watermark or p.cursors] or [F.col(p.updated_at)]
     out = df.select(
         record_uid(p.source_name, F.col(p.unique_key)).alias(ENTITY_UID),
         F.lit(p.source_name).alias(SOURCE_NAME),

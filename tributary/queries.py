@@ -1,10 +1,721 @@
-"""Queries over the test tables, one or more for each operator, with equivalent SQL."""
+"""Queries over the test tables, one or more for each operator, with SQL that gives the same rows.
+
+Records are the rows of `part`, whose names repeat: the key is the uid, the brand the source, and
+the size a day on which a record was updated.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .columns import CLUSTER_ID, CONFIDENCE, ENTITY_UID, LEFT, RIGHT, SCORE
+from .functions.registry import COMPARISONS, FEATURES
+from .operators import blocking as B
+from .operators import clustering as K
+from .operators import compound, estimation, golden, learning, monitoring, profiling, review, vectors
+from .operators import features as E
+from .operators import scoring as S
+from .operators.staging import HashCursor, PartitionCursor, SourceJoin, Staging, stage
+from .storage import materialize, shared_folder
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Records and their SQL.
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part")
+    up = p.select(
+        F.col("p_partkey").alias(ENTITY_UID), F.col("p_brand").alias("source_name"),
+        F.date_add(F.lit(date(2020, 1, 1)), F.col("p_size")).cast("timestamp_ntz").alias("source_updated_at"),
+        F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"),
+        F.when(F.col("p_size") % 7 == 0, None).otherwise(F.col("p_type")).alias("note"))
+    return E.engineer([up], [E.Feature("name_key", "sorted_name_tokens", ("name",)), E.Feature("name_first", "first_word", ("name",)), E.Feature("price_bucket", "amount_bucket", ("price",))])
+
+
+REC = """rec AS (SELECT p_partkey AS entity_uid, p_brand AS source_name, TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * p_size AS source_updated_at,
+  p_name AS name, p_type AS kind, p_size AS size, p_retailprice AS price, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS note,
+  array_to_string(list_sort(list_filter(string_split(upper(trim(p_name)), ' '), lambda w: w != '')), ' ') AS name_key,
+  string_split(trim(p_name), ' ')[1] AS name_first, (floor(p_retailprice / 100) * 100)::BIGINT AS price_bucket FROM part)"""
+
+BLOCKING = B.Blocking((B.BlockingPath(("name_key", "source_name"), candidate_limit=200, bucket_size_limit=10_000), B.BlockingPath(("name_key", "size"))))
+CAND = """p1 AS (SELECT l.entity_uid AS left_entity_uid, r.entity_uid AS right_entity_uid,
+  count(*) OVER (PARTITION BY l.name_key, l.source_name) AS bucket, row_number() OVER (PARTITION BY l.entity_uid ORDER BY r.entity_uid) AS rn
+  FROM rec l JOIN rec r ON l.name_key = r.name_key AND l.source_name = r.source_name AND l.entity_uid < r.entity_uid),
+cand AS (SELECT left_entity_uid, right_entity_uid FROM p1 WHERE bucket <= 10000 AND rn <= 200
+  UNION SELECT l.entity_uid, r.entity_uid FROM rec l JOIN rec r ON l.name_key = r.name_key AND l.size = r.size AND l.entity_uid < r.entity_uid)"""
+
+TESTS = (
+    S.Comparison(S.Test("kind", method="exact"), 2.0),
+    S.Comparison(S.Test("size", method="numeric_within", params={"tolerance": 5}), 1.0),
+    S.Comparison(S.Test("price", method="numeric_percent_diff", params={"tolerance": 10.0}), 1.5),
+)
+SCORING = S.Scoring("first", TESTS, min_score=2.5)
+PARTS = """CASE WHEN l.kind = r.kind THEN 2.0 ELSE 0.0 END AS s_kind, CASE WHEN abs(l.size - r.size) <= 5 THEN 1.0 ELSE 0.0 END AS s_size,
+  CASE WHEN abs(l.price - r.price) / greatest(abs(l.price), abs(r.price)) * 100 <= 10 THEN 1.5 ELSE 0.0 END AS s_price"""
+PAIRS = "FROM cand c JOIN rec l ON l.entity_uid = left_entity_uid JOIN rec r ON r.entity_uid = right_entity_uid"
+MATCH = f"""scored AS (SELECT left_entity_uid, right_entity_uid, {PARTS} {PAIRS}),
+m AS (SELECT *, (s_kind + s_size + s_price)::DOUBLE AS score, round((s_kind + s_size + s_price) / 4.5, 4)::DOUBLE AS conf FROM scored WHERE s_kind + s_size + s_price >= 2.5)"""
+BASE = f"WITH RECURSIVE {REC}, {CAND}, {MATCH}"
+REACH = """edge AS (SELECT left_entity_uid AS a, right_entity_uid AS b FROM m UNION SELECT right_entity_uid, left_entity_uid FROM m),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT x.a, e.b FROM reach x JOIN edge e ON x.b = e.a),
+clus AS (SELECT entity_uid, least(entity_uid, coalesce(min(b), entity_uid)) AS cluster_id FROM rec LEFT JOIN reach ON a = entity_uid GROUP BY entity_uid)"""
+FULL = f"{BASE}, {REACH}"
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rec = records(spark, sf_dir)
+    return rec, B.block(rec, BLOCKING)
+
+
+def matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rec, cand = candidates(spark, sf_dir)
+    return rec, materialize(S.accumulate(None, S.score_pairs(cand, rec, SCORING)))
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rec, m = matches(spark, sf_dir)
+    return rec, m, K.connected_components(m, rec)
+
+
+# Staging and features.
+
+
+@query("""SELECT o_orderkey AS order_key, 'orders' AS source_name, o_orderdate AS source_updated_at, o_totalprice AS price, c_mktsegment AS segment
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+AND (o_orderdate > TIMESTAMP '1995-01-01' - INTERVAL 48 HOUR OR (o_orderdate = TIMESTAMP '1995-01-01' AND o_orderkey > 100))""")
+def er_staging_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime
+
+    src = load(spark, sf_dir, "orders").withColumns({"order_key": F.col("o_orderkey"), "price": F.col("o_totalprice")})
+    cust = load(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment")
+    p = Staging("orders", "o_orderkey", "o_orderdate", ("order_key", "price"), (), (SourceJoin(cust, "src.o_custkey = c.c_custkey", "c", columns=("segment",)),), "o_orderstatus = 'F'",
+                {"o_orderdate": datetime(1995, 1, 1), "o_orderkey": 100}, 48, partition_cursors=(PartitionCursor("o_orderpriority", ["1-URGENT", "2-HIGH"], "in"),))
+    return stage(src, p).drop(ENTITY_UID, "pipeline_loaded_at")
+
+
+@query("""SELECT event_id, user_id, 'events' AS source_name, ts AS source_updated_at FROM events WHERE event_id > 4000 OR user_id > 900 ORDER BY event_id, user_id LIMIT 500""")
+def er_staging_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent cursors, and a batch of the first rows beyond them."""
+    p = Staging("events", "event_id", "ts", ("event_id", "user_id"), watermark={"event_id": 4000, "user_id": 900}, cursor_mode="independent", batch_size=500)
+    return stage(load(spark, sf_dir, "events"), p).drop(ENTITY_UID, "pipeline_loaded_at")
+
+
+@query("SELECT count(*) AS n, true AS within FROM events")
+def er_staging_hash_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Staging("events", "event_id", "ts", ("event_id",), hash_cursor=HashCursor("user_id", 16))
+    return stage(load(spark, sf_dir, "events"), p).agg(F.count("*").alias("n"), (F.max("_hash_partition") < 16).alias("within"))
+
+
+@query("""SELECT c_custkey, coalesce(n_name, '') AS nation_name, CASE WHEN n_name IS NULL THEN 0 ELSE 1 END AS nation_found, upper(trim(c_name)) AS name_up, left(upper(trim(c_name)), 3) AS name_up3
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def er_features_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = load(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")
+    e = E.Enrichment(nation, E.Feature("k", "identity", ("c_nationkey",)), "n_nationkey", ("name",), "nation_", "nation_found")
+    wanted = [E.Feature("name_up3", "left", ("name_up",), {"length": 3}), E.Feature("name_up", "upper_trim", ("c_name",))]
+    return E.engineer([load(spark, sf_dir, "customer")], wanted, [e]).select("c_custkey", F.coalesce("nation_name", F.lit("")).alias("nation_name"), "nation_found", "name_up", "name_up3")
+
+
+@query(f"""WITH {REC}, v AS (SELECT 'kind' AS c, kind AS v FROM rec UNION ALL SELECT 'name', name FROM rec UNION ALL SELECT 'note', note FROM rec), n AS (SELECT c, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY c, v)
+SELECT c AS term_frequency_column, v AS term_frequency_value, n AS term_frequency_count, round(n / sum(n) OVER (PARTITION BY c), 9)::DOUBLE AS term_frequency_ratio FROM n""")
+def er_term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.term_frequencies(records(spark, sf_dir), ["kind", "name", "note"]).withColumn("term_frequency_ratio", F.round("term_frequency_ratio", 9))
+
+
+def _features(table: str, key: str, wanted: dict[str, tuple]) -> Query:
+    """A query that gives the key and each named feature: (function, column, parameters)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = load(spark, sf_dir, table)
+        return df.select(key, *(FEATURES.call(f, *(F.expr(x) for x in (c if isinstance(c, tuple) else (c,))), **(rest[0] if rest else {})).alias(n) for n, (f, c, *rest) in wanted.items()))
+
+    return run
+
+
+def features(name: str, table: str, key: str, wanted: dict[str, tuple], sql: str | None) -> None:
+    QUERIES[name] = _features(table, key, wanted)
+    if sql:
+        SQL[name] = sql
+
+
+NAME = "CASE s_suppkey % 9 WHEN 0 THEN concat('Mr. Bob ', s_name, ' Jr.') WHEN 1 THEN concat('Jane and Joe Smith', s_suppkey) WHEN 2 THEN 'THE Miller Family' WHEN 3 THEN 'John/Jane' WHEN 4 THEN NULL WHEN 5 THEN '  dr o''Brien-Lee  III ' WHEN 6 THEN concat(s_name, ' & Sons LLC') WHEN 7 THEN '' ELSE 'Liz' END"
+RX = "nullif(regexp_extract({0}, '{1}', {2}), '')"
+features(
+    "er_features_names", "supplier", "s_suppkey",
+    {n: (n, NAME) for n in "name_clean name_clean_strict first_letter extract_salutation strip_salutation extract_suffix strip_suffix word_count first_word last_word initials strip_business_suffix is_compound_name compound_pattern extract_compound_first extract_compound_second sorted_name_tokens".split()} | {"first_n_chars": ("first_n_chars", NAME, {"length": 4})},
+    rf"""WITH t AS (SELECT s_suppkey, {NAME} AS n FROM supplier), u AS (SELECT *, upper(n) AS u, string_split(trim(n, ' '), ' ') AS w FROM t)
+SELECT s_suppkey, nullif(upper(trim(regexp_replace(regexp_replace(n, '[^a-zA-Z\s\-]', '', 'g'), '\s+', ' ', 'g'), ' ')), '') AS name_clean,
+ nullif(upper(trim(regexp_replace(regexp_replace(n, '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g'), ' ')), '') AS name_clean_strict, left(n, 1) AS first_letter, left(n, 4) AS first_n_chars,
+ {RX.format("u", r"^(MR|MRS|MS|MISS|DR|PROF|REV|HON)[.\s]", 1)} AS extract_salutation, trim(regexp_replace(u, '^(MR|MRS|MS|MISS|DR|PROF|REV|HON)[.\s]+', ''), ' ') AS strip_salutation,
+ {RX.format("u", r"\b(JR|SR|II|III|IV|V|VI|VII|VIII|IX|X|ESQ|PHD|MD)\b", 1)} AS extract_suffix, trim(regexp_replace(u, '\b(JR|SR|II|III|IV|V|VI|VII|VIII|IX|X|ESQ|PHD|MD)\b\.?\s*$', ''), ' ') AS strip_suffix,
+ len(w)::INT AS word_count, w[1] AS first_word, w[-1] AS last_word, array_to_string(list_transform(w, lambda x: left(x, 1)), '') AS initials,
+ trim(regexp_replace(u, '\b(LLC|INC|CORP|CORPORATION|LTD|LIMITED|LP|LLP|PLLC|PC|PA|COMPANY|CO|GROUP|HOLDINGS|ENTERPRISES?|ASSOCIATES?|PARTNERS?|SERVICES?|SOLUTIONS?|INTERNATIONAL|INTL|NATIONAL|NATL)\.?\s*$', ''), ' ') AS strip_business_suffix,
+ CASE WHEN regexp_matches(u, '\bAND\b') OR regexp_matches(n, '\s[&+]\s') OR regexp_matches(u, '^THE\s+\w+\s+FAMILY$') OR regexp_matches(n, '\w+\s*/\s*\w+') THEN 1 ELSE 0 END AS is_compound_name,
+ CASE WHEN regexp_matches(u, '\b(MR|MRS|MS|DR)\.?\s*(AND|&)\s*(MR|MRS|MS|DR)\.?') THEN 'title_pair' WHEN regexp_matches(u, '^THE\s+\w+\s+FAMILY$') THEN 'family' WHEN regexp_matches(n, '\w+\s*/\s*\w+') THEN 'slash' WHEN regexp_matches(u, '\bAND\b') OR regexp_matches(n, '\s[&+]\s') THEN 'conjunction' END AS compound_pattern,
+ coalesce({RX.format("u", r"^(\w+)\s+(?:AND|&|\+)\s+\w+", 1)}, {RX.format("u", r"^(\w+)\s*/\s*\w+", 1)}) AS extract_compound_first,
+ coalesce({RX.format("u", r"^\w+\s+(?:AND|&|\+)\s+(\w+)", 1)}, {RX.format("u", r"^\w+\s*/\s*(\w+)", 1)}) AS extract_compound_second,
+ array_to_string(list_sort(list_filter(string_split(trim(u, ' '), ' '), lambda x: x != '')), ' ') AS sorted_name_tokens FROM u""",
+)
+NICK = "CASE c_custkey % 6 WHEN 0 THEN ' bob ' WHEN 1 THEN 'Chris' WHEN 2 THEN 'SANDY' WHEN 3 THEN c_name WHEN 4 THEN NULL ELSE 'Jon' END"
+features(
+    "er_features_nicknames", "customer", "c_custkey", {"nickname_canonical": ("nickname_canonical", NICK), "has_key": ("is_not_null", f"xxhash64({NICK})")},
+    "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'ROBERT' WHEN 1 THEN 'CHRISTOPHER' WHEN 2 THEN 'ALEXANDER' WHEN 3 THEN upper(c_name) WHEN 4 THEN NULL ELSE 'JOHN' END AS nickname_canonical, 1 AS has_key FROM customer",
+)
+ADDR = "CASE s_suppkey % 5 WHEN 0 THEN concat(s_suppkey, ' North Main Street  Apartment ', s_nationkey) WHEN 1 THEN concat(s_suppkey, ' Oak Avenue, Suite #', s_nationkey) WHEN 2 THEN 'PO BOX 0' WHEN 3 THEN NULL ELSE concat('Rural ', s_name) END"
+features(
+    "er_features_addresses", "supplier", "s_suppkey", {n: (n, ADDR) for n in "address_standardize extract_street_number extract_street_name extract_unit_number is_placeholder_address nullify_placeholder_address geographic_qualifier".split()},
+    rf"""WITH t AS (SELECT s_suppkey, {ADDR} AS a FROM supplier)
+SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(a), '\bNORTH\b', 'N', 'g'), '\bSTREET\b', 'ST', 'g'), '\bAPARTMENT\b', 'APT', 'g'), '\bAVENUE\b', 'AVE', 'g'), '\bSUITE\b', 'STE', 'g'), '\s+', ' ', 'g'), ' ') AS address_standardize,
+ {RX.format("a", r"^(\d+)", 1)} AS extract_street_number, trim({RX.format("upper(a)", r"^\d+\s+(.+?)\s*$", 1)}, ' ') AS extract_street_name, {RX.format("upper(a)", r"(?:APT|SUITE|STE|UNIT|#|NO)\.?\s*(\w+)", 1)} AS extract_unit_number,
+ CASE WHEN a = 'PO BOX 0' THEN 1 ELSE 0 END AS is_placeholder_address, CASE WHEN a = 'PO BOX 0' THEN NULL ELSE a END AS nullify_placeholder_address, {RX.format("upper(a)", r"\b(NORTH|SOUTH)\b", 1)} AS geographic_qualifier FROM t""",
+)
+MAIL = "CASE c_custkey % 7 WHEN 0 THEN concat('Info@', 'GMail.com') WHEN 1 THEN concat(c_name, '@yopmail.com') WHEN 2 THEN 'x@irs.gov' WHEN 3 THEN 'no at' WHEN 4 THEN NULL WHEN 5 THEN 'test@acme.com' ELSE 'a@b@acme.org' END"
+features(
+    "er_features_emails", "customer", "c_custkey", {n: (n, MAIL) for n in "email_domain email_local_part email_domain_type email_local_part_safe email_domain_safe email_is_role_address email_domain_category is_placeholder_email nullify_placeholder_email".split()},
+    rf"""WITH t AS (SELECT c_custkey, c_custkey % 7 AS k, {MAIL} AS e FROM customer)
+SELECT c_custkey, lower({RX.format("e", "@(.+)$", 1)}) AS email_domain, lower({RX.format("e", "^([^@]+)", 1)}) AS email_local_part, CASE WHEN k = 0 THEN 'FREE' WHEN k IN (1, 2, 5, 6) THEN 'BUSINESS' END AS email_domain_type,
+ CASE WHEN contains(e, '@') THEN lower(split_part(e, '@', 1)) END AS email_local_part_safe, CASE WHEN contains(e, '@') THEN lower(substr(e, instr(e, '@') + 1)) END AS email_domain_safe, CASE WHEN k = 0 THEN 1 ELSE 0 END AS email_is_role_address,
+ CASE k WHEN 0 THEN 'FREE' WHEN 1 THEN 'DISPOSABLE' WHEN 2 THEN 'GOVERNMENT' WHEN 5 THEN 'CORPORATE' WHEN 6 THEN 'CORPORATE' END AS email_domain_category, CASE WHEN k IN (0, 5) THEN 1 ELSE 0 END AS is_placeholder_email, CASE WHEN k IN (0, 5) THEN NULL ELSE e END AS nullify_placeholder_email FROM t""",
+)
+PHONE = "CASE c_custkey % 4 WHEN 0 THEN concat('+1 (555) 010-', lpad(cast(c_custkey % 10000 AS string), 4, '0')) WHEN 1 THEN '555-555-5555' WHEN 2 THEN NULL ELSE cast(c_custkey AS string) END"
+PHONE_SQL = PHONE.replace("AS string", "AS VARCHAR")
+features(
+    "er_features_phones", "customer", "c_custkey", {n: (n, PHONE) for n in "phone_standardize phone_area_code phone_last_four is_placeholder_phone nullify_placeholder_phone ssn_last_four ssn_clean is_placeholder_ssn zip5 zip3 routing_number_clean ein_format npi_validate duns_clean".split()},
+    rf"""WITH t AS (SELECT c_custkey, {PHONE_SQL} AS p FROM customer), d AS (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM t)
+SELECT c_custkey, CASE WHEN length(d) > 10 AND left(d, 1) IN ('0', '1') THEN substr(d, 2) ELSE right(d, 10) END AS phone_standardize, left(right(d, 10), 3) AS phone_area_code, right(d, 4) AS phone_last_four,
+ CASE WHEN d = '5555555555' OR regexp_matches(d, '^(0{{7,}}|1{{7,}}|2{{7,}}|3{{7,}}|4{{7,}}|5{{7,}}|6{{7,}}|7{{7,}}|8{{7,}}|9{{7,}})$') THEN 1 ELSE 0 END AS is_placeholder_phone,
+ CASE WHEN d = '5555555555' OR regexp_matches(d, '^(0{{7,}}|1{{7,}}|2{{7,}}|3{{7,}}|4{{7,}}|5{{7,}}|6{{7,}}|7{{7,}}|8{{7,}}|9{{7,}})$') THEN NULL ELSE p END AS nullify_placeholder_phone, right(d, 4) AS ssn_last_four, d AS ssn_clean, 0 AS is_placeholder_ssn,
+ left(d, 5) AS zip5, left(d, 3) AS zip3, d AS routing_number_clean, d AS ein_format, CASE WHEN length(d) = 10 THEN d END AS npi_validate, CASE WHEN length(d) = 9 THEN d END AS duns_clean FROM d""",
+)
+features(
+    "er_features_dates", "orders", "o_orderkey", {"year_of_date": ("year_of_date", "o_orderdate"), "dob_year": ("dob_year", "o_orderdate"), "dob_mmdd": ("dob_mmdd", "o_orderdate"), "date_to_string": ("date_to_string", "o_orderdate", {"fmt": "%Y-%m/%d"}), "age_gap": ("identity", "year(current_date()) - year(o_orderdate)"), "age_from_dob": ("age_from_dob", "o_orderdate")},
+    "SELECT o_orderkey, year(o_orderdate)::INT AS year_of_date, year(o_orderdate)::INT AS dob_year, strftime(o_orderdate, '%m%d') AS dob_mmdd, strftime(o_orderdate, '%Y-%m/%d') AS date_to_string, (year(current_date) - year(o_orderdate))::INT AS age_gap, (year(current_date) - year(o_orderdate))::INT AS age_from_dob FROM orders",
+)
+BIZ = "CASE s_suppkey % 6 WHEN 0 THEN concat(s_name, ' Corp DBA Widget Co') WHEN 1 THEN 'First National Trust' WHEN 2 THEN 'Smith, John' WHEN 3 THEN NULL WHEN 4 THEN 'Acme Inc. #12' ELSE 'Cher' END"
+features(
+    "er_features_businesses", "supplier", "s_suppkey", {n: (n, BIZ) for n in "dba_extract dba_normalize business_type_extract business_core_name entity_type_classify name_format_detect is_multi_person is_hoa_trust_careof extract_numbered_entity_suffix extract_generational_suffix extract_roman_numeral is_placeholder_name nullify_placeholder_name".split()},
+    rf"""WITH t AS (SELECT s_suppkey, s_suppkey % 6 AS k, {BIZ} AS b FROM supplier)
+SELECT s_suppkey, CASE WHEN k = 0 THEN 'WIDGET CO' END AS dba_extract, upper(trim(regexp_replace(regexp_replace(regexp_replace(b, '\b(LLC|INC|CORP|LTD|LP|LLP|PLLC|PC|PA|CO|COMPANY|THE)\b', '', 'g'), '[^A-Za-z0-9 ]', '', 'g'), '\s+', ' ', 'g'), ' ')) AS dba_normalize,
+ CASE k WHEN 0 THEN 'CORP' WHEN 4 THEN 'INC' END AS business_type_extract, trim(regexp_replace(regexp_replace(regexp_replace(upper(b), '\bDBA\s+.+$', ''), '\b(INC|CORP|CO)\b', '', 'g'), '[^A-Z0-9 ]', '', 'g'), ' ') AS business_core_name,
+ CASE k WHEN 0 THEN 'BUSINESS' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN 'PERSON' WHEN 4 THEN 'BUSINESS' WHEN 5 THEN 'PERSON' END AS entity_type_classify, CASE k WHEN 2 THEN 'REVERSED' WHEN 5 THEN 'SINGLE' WHEN 3 THEN NULL ELSE 'NATURAL' END AS name_format_detect,
+ 0 AS is_multi_person, CASE WHEN k = 1 THEN 1 ELSE 0 END AS is_hoa_trust_careof, {RX.format("upper(b)", r"(?:#|NO\.?|NUM(?:BER)?\.?|UNIT|SUITE|STE|APT|BLDG|BUILDING)\s*(\d+)", 1)} AS extract_numbered_entity_suffix, NULL::VARCHAR AS extract_generational_suffix, NULL::VARCHAR AS extract_roman_numeral, 0 AS is_placeholder_name, b AS nullify_placeholder_name FROM t""",
+)
+CODE = "CASE s_suppkey % 3 WHEN 0 THEN concat(' 00-a.o ', s_suppkey, 'Q') WHEN 1 THEN NULL ELSE s_name END"
+CODES = "vin_normalize vin_last_six policy_number_clean iban_normalize account_number_clean dea_number_clean mrn_clean icd_code_normalize ticker_normalize cusip_clean license_number_clean".split()
+ALNUM = "regexp_replace(c, '[^A-Za-z0-9]', '', 'g')"
+features(
+    "er_features_industry", "supplier", "s_suppkey", {n: (n, CODE) for n in CODES} | {"amount_bucket": ("amount_bucket", "s_acctbal")},
+    rf"""WITH t AS (SELECT s_suppkey, s_acctbal, {CODE} AS c FROM supplier), v AS (SELECT *, translate(upper({ALNUM}), 'OIQ', '010') AS vin FROM t)
+SELECT s_suppkey, vin AS vin_normalize, right(vin, 6) AS vin_last_six, upper(regexp_replace(regexp_replace(trim(c, ' '), '[-\s]', '', 'g'), '^0+', '')) AS policy_number_clean, upper(regexp_replace(trim(c, ' '), '[\s-]', '', 'g')) AS iban_normalize,
+ regexp_replace(regexp_replace(c, '[\s-]', '', 'g'), '^0+', '') AS account_number_clean, upper(regexp_replace(c, '[\s-]', '', 'g')) AS dea_number_clean, upper(regexp_replace({ALNUM}, '^0+', '')) AS mrn_clean, upper({ALNUM}) AS icd_code_normalize,
+ upper(regexp_replace(c, '[\s.]', '', 'g')) AS ticker_normalize, upper(regexp_replace(c, '[\s-]', '', 'g')) AS cusip_clean, upper({ALNUM}) AS license_number_clean, (floor(s_acctbal / 100) * 100)::BIGINT AS amount_bucket FROM v""",
+)
+UTIL = "CASE p_size % 5 WHEN 0 THEN concat('  ', p_name, '   x ') WHEN 1 THEN 'Åsa Ñandú Øre' WHEN 2 THEN NULL WHEN 3 THEN '   ' ELSE p_type END"
+features("er_features_soundex", "part", "p_partkey", {"soundex": ("soundex", "p_name")}, None)
+_utility = {n: (n, UTIL) for n in "upper_trim lower_trim left right nullif_empty is_not_null char_length remove_diacritics length_bucket length_category normalize_whitespace identity".split()} | {"coalesced": ("coalesce", (UTIL, "p_brand")), "joined": ("concat", (UTIL, "p_brand"), {"separator": "|"}), "nullify_placeholder": ("nullify_placeholder", "p_brand", {"patterns": ("Brand#11", "BRAND#12")})}
+features(
+    "er_features_utility", "part", "p_partkey", _utility,
+    rf"""WITH t AS (SELECT *, {UTIL} AS u FROM part)
+SELECT p_partkey, trim(upper(u), ' ') AS upper_trim, trim(lower(u), ' ') AS lower_trim, left(u, 5) AS "left", right(u, 4) AS "right", nullif(trim(u, ' '), '') AS nullif_empty, (u IS NOT NULL)::INT AS is_not_null, length(u)::INT AS char_length,
+ translate(upper(u), 'ÅÑÚØ', 'ANUO') AS remove_diacritics, (floor(length(u) / 5) * 5)::BIGINT AS length_bucket, CASE WHEN u IS NULL THEN NULL WHEN length(u) <= 4 THEN 'S' WHEN length(u) <= 12 THEN 'M' ELSE 'L' END AS length_category,
+ trim(regexp_replace(u, '\s+', ' ', 'g'), ' ') AS normalize_whitespace, u AS identity, coalesce(u, p_brand) AS coalesced, coalesce(u, '') || '|' || coalesce(p_brand, '') AS joined,
+ CASE WHEN upper(p_brand) IN ('BRAND#11', 'BRAND#12') THEN NULL ELSE p_brand END AS nullify_placeholder FROM t""",
+)
+LAT, LON = "(c_custkey % 170) - 85.5", "(c_custkey % 359) - 179.25"
+features(
+    "er_features_geo", "customer", "c_custkey", {"lat_lon_bucket": ("lat_lon_bucket", (LAT, LON))},
+    f"SELECT c_custkey, floor(({LAT}) / 0.0901)::BIGINT::VARCHAR || '_' || floor(({LON}) / 0.0901)::BIGINT::VARCHAR AS lat_lon_bucket FROM customer",
+)
+
+
+@query(f"SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(10.0) - radians({LAT})) / 2), 2) + cos(radians({LAT})) * cos(radians(10.0)) * pow(sin((radians(20.0) - radians({LON})) / 2), 2)))), 4) AS km FROM customer")
+def er_features_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km = FEATURES.call("haversine_distance", F.expr(LAT).cast("double"), F.expr(LON).cast("double"), F.lit(10.0), F.lit(20.0))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.round(km, 4).alias("km"))
+
+
+@query()
+def er_features_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes, geohash and metaphone: they have no equal in SQL, and are tested by value."""
+    df = load(spark, sf_dir, "part")
+    c = lambda n, *x, **p: FEATURES.call(n, *(F.col(y) for y in x), **p).alias(n)
+    return df.select("p_partkey", c("farm_fingerprint", "p_name"), c("farm_fingerprint_concat", "p_name", "p_brand"), c("sorted_name_fingerprint", "p_name"), c("name_fingerprint", "p_name"), c("nickname_match_key", "p_name"), c("metaphone", "p_name"), FEATURES.call("geo_hash", F.col("p_size") * 1.0, F.col("p_size") * 2.0).alias("geo_hash"))
+
+
+# Comparisons, on candidate pairs.
+
+
+def _compared(wanted: dict[str, tuple]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rec, cand = candidates(spark, sf_dir)
+        own = rec.withColumns({"text": F.concat_ws(" ", "name", "kind"), "low": F.lower("kind"), "day": F.col("source_updated_at").cast("date"), "until": F.date_add(F.col("source_updated_at").cast("date"), 10)})
+        df = cand.alias("c").join(own.alias("l"), F.col(f"c.{LEFT}") == F.col(f"l.{ENTITY_UID}")).join(own.alias("r"), F.col(f"c.{RIGHT}") == F.col(f"r.{ENTITY_UID}"))
+        cols = []
+        for n, (method, c, *rest) in wanted.items():
+            params = {k: F.col(f"{S.COLUMN_PARAMS[k]}.{v}") if k in S.COLUMN_PARAMS else v for k, v in (rest[0] if rest else {}).items()}
+            v = COMPARISONS.call(method, F.col(f"l.{c}"), F.col(f"r.{c}"), **params)
+            cols.append((F.round(v, 6) if method.endswith("_score") else v).alias(n))
+        return df.select(LEFT, RIGHT, *cols)
+
+    return run
+
+
+def compared(name: str, wanted: dict[str, tuple], sql: str | None) -> None:
+    QUERIES[name] = _compared(wanted)
+    if sql is not None:
+        SQL[name] = f"WITH {REC}, {CAND}, own AS (SELECT *, name || ' ' || kind AS text, lower(kind) AS low, source_updated_at::DATE AS day, (source_updated_at + INTERVAL 10 DAY)::DATE AS until FROM rec) SELECT left_entity_uid, right_entity_uid, {sql} FROM cand JOIN own l ON l.entity_uid = left_entity_uid JOIN own r ON r.entity_uid = right_entity_uid"
+
+
+compared("er_compare_equal", {"exact": ("exact", "note"), "exact_case_insensitive": ("exact_case_insensitive", "low"), "exact_or_null": ("exact_or_null", "note"), "different": ("different", "note"), "null_either": ("null_either", "note"), "length_mismatch": ("length_mismatch", "kind", {"max_diff": 3}), "length_ratio": ("length_ratio", "kind", {"threshold": 0.9}), "length_ratio_score": ("length_ratio_score", "note"), "contains": ("contains", "kind"), "starts_with": ("starts_with", "kind"), "abbreviation_match": ("abbreviation_match", "kind"), "initials_match": ("initials_match", "text"), "regex_match": ("regex_match", "kind", {"pattern": "^[A-P]"})},
+    """coalesce(l.note = r.note, false) AS exact, upper(l.low) = upper(r.low) AS exact_case_insensitive, coalesce(l.note = r.note, true) AS exact_or_null, coalesce(l.note != r.note, false) AS different, l.note IS NULL OR r.note IS NULL AS null_either,
+ abs(length(l.kind) - length(r.kind)) > 3 AS length_mismatch, least(length(l.kind), length(r.kind)) / greatest(length(l.kind), length(r.kind)) >= 0.9 AS length_ratio, coalesce(round(least(length(l.note), length(r.note)) / greatest(length(l.note), length(r.note)), 6), CASE WHEN l.note IS NULL OR r.note IS NULL THEN 0.0 END)
+ * CASE WHEN l.note IS NULL OR r.note IS NULL THEN 0.0 ELSE 1.0 END AS length_ratio_score, contains(l.kind, r.kind) OR contains(r.kind, l.kind) AS contains, starts_with(l.kind, r.kind) AS starts_with, starts_with(upper(l.kind), upper(r.kind)) OR starts_with(upper(r.kind), upper(l.kind)) AS abbreviation_match,
+ array_to_string(list_transform(string_split(upper(l.text), ' '), lambda x: left(x, 1)), '') = array_to_string(list_transform(string_split(upper(r.text), ' '), lambda x: left(x, 1)), '') AS initials_match, regexp_matches(l.kind, '^[A-P]') AND regexp_matches(r.kind, '^[A-P]') AS regex_match""")
+LEV = "levenshtein(l.kind, r.kind)"
+compared("er_compare_edit", {"levenshtein": ("levenshtein", "kind", {"max_distance": 4}), "levenshtein_normalized": ("levenshtein_normalized", "kind", {"threshold": 0.5}), "levenshtein_score": ("levenshtein_score", "kind"), "levenshtein_length_aware": ("levenshtein_length_aware", "kind", {"threshold": 0.4}), "levenshtein_length_aware_score": ("levenshtein_length_aware_score", "kind")},
+    f"{LEV} <= 4 AS levenshtein, 1 - {LEV} / greatest(length(l.kind), length(r.kind)) >= 0.5 AS levenshtein_normalized, round(1 - {LEV} / greatest(length(l.kind), length(r.kind)), 6) AS levenshtein_score, 1 - {LEV} / least(length(l.kind), length(r.kind)) >= 0.4 AS levenshtein_length_aware, round(1 - {LEV} / least(length(l.kind), length(r.kind)), 6) AS levenshtein_length_aware_score")
+TOK = "list_distinct(list_filter(string_split(upper({0}.text), ' '), lambda w: w != ''))"
+TL, TR = TOK.format("l"), TOK.format("r")
+INTER = f"len(list_intersect({TL}, {TR}))"
+WL, WR = "string_split(upper(l.text), ' ')", "string_split(upper(r.text), ' ')"
+HIT = f"len(list_filter({WL}, lambda w: list_contains({WR}, w)))"
+SORTED = "array_to_string(list_sort(list_filter(string_split(upper({0}.text), ' '), lambda w: w != '')), ' ')"
+SIM = f"1 - levenshtein({SORTED.format('l')}, {SORTED.format('r')}) / greatest(length({SORTED.format('l')}), length({SORTED.format('r')}))"
+ME = f"list_sum(list_transform({TL}, lambda a: list_max(list_transform({TR}, lambda b: 1 - levenshtein(a, b) / greatest(length(a), length(b)))))) / len({TL})"
+compared("er_compare_tokens", {"token_set_match": ("token_set_match", "text"), "token_set_score": ("token_set_score", "text"), "dice_coefficient": ("dice_coefficient", "text", {"min_similarity": 0.7}), "dice_coefficient_score": ("dice_coefficient_score", "text"), "overlap_coefficient": ("overlap_coefficient", "text", {"min_similarity": 0.7}), "overlap_coefficient_score": ("overlap_coefficient_score", "text"), "monge_elkan": ("monge_elkan", "text"), "monge_elkan_score": ("monge_elkan_score", "text"), "token_sort_ratio": ("token_sort_ratio", "text"), "token_sort_ratio_score": ("token_sort_ratio_score", "text")},
+    f"{HIT} / (len({WL}) + len({WR}) - {HIT}) >= 0.5 AS token_set_match, round({HIT} / (len({WL}) + len({WR}) - {HIT}), 6) AS token_set_score, 2 * {INTER} / (len({TL}) + len({TR})) >= 0.7 AS dice_coefficient, round(2 * {INTER} / (len({TL}) + len({TR})), 6) AS dice_coefficient_score, {INTER} / least(len({TL}), len({TR})) >= 0.7 AS overlap_coefficient, round({INTER} / least(len({TL}), len({TR})), 6) AS overlap_coefficient_score, {ME} >= 0.7 AS monge_elkan, round({ME}, 6) AS monge_elkan_score, {SIM} >= 0.8 AS token_sort_ratio, round({SIM}, 6) AS token_sort_ratio_score")
+GR = "list_distinct(list_transform(range(1, length({0}.kind)), lambda i: substr(upper({0}.kind), i, 2)))"
+GL, GRR = GR.format("l"), GR.format("r")
+JAC = f"len(list_intersect({GL}, {GRR})) / (len({GL}) + len({GRR}) - len(list_intersect({GL}, {GRR})))"
+compared("er_compare_ngrams", {"jaccard_ngram": ("jaccard_ngram", "kind", {"n": 2}), "jaccard_ngram_score": ("jaccard_ngram_score", "kind", {"n": 2})}, f"{JAC} >= 0.5 AS jaccard_ngram, round({JAC}, 6) AS jaccard_ngram_score")
+compared("er_compare_numbers", {"numeric_within": ("numeric_within", "size", {"tolerance": 3}), "numeric_ratio": ("numeric_ratio", "price"), "numeric_ratio_score": ("numeric_ratio_score", "price"), "numeric_percent_diff": ("numeric_percent_diff", "price", {"tolerance": 8.0})},
+    "abs(l.size - r.size) <= 3 AS numeric_within, least(abs(l.price), abs(r.price)) / greatest(abs(l.price), abs(r.price)) >= 0.9 AS numeric_ratio, round(least(abs(l.price), abs(r.price)) / greatest(abs(l.price), abs(r.price)), 6) AS numeric_ratio_score, abs(l.price - r.price) / greatest(abs(l.price), abs(r.price)) * 100 <= 8 AS numeric_percent_diff")
+compared("er_compare_dates", {"date_within_days": ("date_within_days", "day", {"days": 7}), "date_within_months": ("date_within_months", "day", {"months": 0}), "date_within_years": ("date_within_years", "day"), "age_difference": ("age_difference", "day"), "date_overlap": ("date_overlap", "day", {"left_end": "until", "right_end": "until"}), "date_overlap_score": ("date_overlap_score", "day", {"left_end": "until", "right_end": "until"})},
+    "abs(l.day - r.day) <= 7 AS date_within_days, year(l.day) * 12 + month(l.day) = year(r.day) * 12 + month(r.day) AS date_within_months, year(l.day) = year(r.day) AS date_within_years, true AS age_difference, l.day <= r.until AND l.until >= r.day AS date_overlap, CASE WHEN l.day <= r.until AND l.until >= r.day THEN round((least(l.until, r.until) - greatest(l.day, r.day) + 1) / 11, 6) ELSE 0.0 END AS date_overlap_score")
+compared("er_compare_kernels", {"jaro_winkler": ("jaro_winkler", "kind"), "jaro_winkler_score": ("jaro_winkler_score", "kind"), "soundex_match": ("soundex_match", "kind"), "metaphone_match": ("metaphone_match", "kind"), "double_metaphone_match": ("double_metaphone_match", "kind"), "exact_diacritics_insensitive": ("exact_diacritics_insensitive", "kind"), "geo_within_km": ("geo_within_km", "size", {"left_lon": "size", "right_lon": "size"}), "geo_distance_score": ("geo_distance_score", "size", {"left_lon": "size", "right_lon": "size"})}, None)
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS l, b.vec_id AS r, a.v AS x, b.v AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT l, r, round(list_cosine_similarity(x, y), 5) AS cosine, list_cosine_similarity(x, y) >= 0.85 AS near, round(greatest(0, 1 - list_distance(x, y) / 10), 5) AS euclid, round(greatest(0, 1 - list_sum(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]))) / 100), 5) AS manhattan FROM p""")
+def er_compare_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    a, b = e.alias("a"), e.alias("b")
+    x, y = F.col("a.embedding"), F.col("b.embedding")
+    call = COMPARISONS.call
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    return pairs.select(F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r"), F.round(call("cosine_similarity_score", x, y), 5).alias("cosine"), call("cosine_similarity", x, y).alias("near"), F.round(call("euclidean_distance_score", x, y), 5).alias("euclid"), F.round(call("manhattan_distance_score", x, y, max_distance=100.0), 5).alias("manhattan"))
+
+
+# Blocking.
+
+
+@query(f"WITH {REC}, {CAND} SELECT * FROM cand")
+def er_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir)[1]
+
+
+@query(f"WITH {REC} SELECT l.entity_uid AS left_entity_uid, r.entity_uid AS right_entity_uid FROM rec l JOIN rec r ON l.name_key = r.name_key AND l.size = r.size AND l.source_name != r.source_name AND l.entity_uid < r.entity_uid")
+def er_blocking_link_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.block(records(spark, sf_dir), B.Blocking((B.BlockingPath(("name_key", "size"), bucket_size_limit=100_000),), "link_only"))
+
+
+@query(f"""WITH {REC}, p AS (SELECT l.entity_uid AS left_entity_uid, r.entity_uid AS right_entity_uid, count(*) OVER (PARTITION BY l.name_key) AS n FROM rec l JOIN rec r ON l.name_key = r.name_key AND l.source_name = r.source_name AND l.entity_uid < r.entity_uid)
+SELECT left_entity_uid, right_entity_uid FROM p WHERE n <= 60""")
+def er_blocking_bucket_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with too many pairs of one source are left out before the join."""
+    return B.block(records(spark, sf_dir), B.Blocking((B.BlockingPath(("name_key",), bucket_size_limit=60),), "dedupe_only"))
+
+
+@query(f"""WITH {REC}, old AS (SELECT * FROM rec WHERE size < 25), new AS (SELECT * FROM rec WHERE size >= 25), x AS (
+ SELECT l.entity_uid AS a, r.entity_uid AS b FROM new l JOIN new r ON l.name_key = r.name_key AND l.size = r.size AND l.entity_uid < r.entity_uid UNION SELECT l.entity_uid, r.entity_uid FROM new l JOIN old r ON l.name_key = r.name_key AND l.size = r.size)
+SELECT a AS left_entity_uid, b AS right_entity_uid FROM x WHERE NOT EXISTS (SELECT 1 FROM rec l JOIN rec r ON l.name_key = r.name_key AND l.kind = r.kind WHERE l.entity_uid = a AND r.entity_uid = b)""")
+def er_blocking_cross_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New against earlier records, without pairs that an earlier tier has found."""
+    rec = records(spark, sf_dir)
+    seen = B.block(rec, B.Blocking((B.BlockingPath(("name_key", "kind")),)))
+    return B.block(rec.where("size >= 25"), B.Blocking((B.BlockingPath(("name_key", "size")),)), rec.where("size < 25"), seen)
+
+
+@query(f"{BASE} SELECT 'first' AS tier_name, (SELECT count(*) FROM rec) AS total_entities, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM m) AS matched_pairs, round((SELECT count(*) FROM m) / (SELECT count(*) FROM cand), 9) AS precision, round(1 - (SELECT count(*) FROM cand) / ((SELECT count(*) FROM rec) * ((SELECT count(*) FROM rec) - 1) / 2), 9) AS reduction_ratio")
+def er_blocking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    out = B.blocking_metrics(rec, cand, S.score_pairs(cand, rec, SCORING), "first")
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "reduction_ratio")})
+
+
+@query(f"WITH {REC}, {CAND}, per AS (SELECT left_entity_uid, count(*) AS c FROM cand GROUP BY 1), n AS (SELECT count(*) AS n FROM rec) SELECT 'first' AS tier_name, (n * (n - 1) / 2)::BIGINT AS cartesian_pairs, (SELECT sum(c) FROM per)::BIGINT AS candidate_pairs, round(1 - (SELECT sum(c) FROM per) / (n * (n - 1) / 2), 9) AS reduction_ratio, round((SELECT avg(c) FROM per), 6) AS avg_candidates, (SELECT max(c) FROM per) AS max_candidates FROM n")
+def er_blocking_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return B.blocking_effectiveness([("first", rec, cand)]).withColumns({"reduction_ratio": F.round("reduction_ratio", 9), "avg_candidates": F.round("avg_candidates", 6)})
+
+
+# Scoring.
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query(f"{BASE} SELECT left_entity_uid, right_entity_uid, score AS match_total_score, conf AS match_confidence, s_kind::DOUBLE AS match_score_kind_exact, s_size::DOUBLE AS match_score_size_numeric_within, s_price::DOUBLE AS match_score_price_numeric_percent_diff, 'first' AS match_tier_name, 0 AS match_tier_priority FROM m")
+def er_scoring_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return S.score_pairs(cand, rec, SCORING)
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, tf AS (SELECT kind AS k, count(*) / (SELECT count(*) FROM rec) AS ratio FROM rec GROUP BY kind),
+x AS (SELECT left_entity_uid, right_entity_uid, CASE WHEN l.kind = r.kind THEN 2.0 * ln(1 / greatest(tf.ratio, 0.01)) ELSE 0 END + CASE WHEN abs(l.size - r.size) <= 5 THEN 1.0 ELSE 0 END AS s {PAIRS} LEFT JOIN tf ON tf.k = l.kind)
+SELECT left_entity_uid, right_entity_uid, round(s, 6) AS match_total_score, round(1 / (1 + exp(-s)), 6) AS match_confidence FROM x WHERE s >= 2""")
+def er_scoring_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    tests = (S.Comparison(S.Test("kind"), 2.0, tf=S.TermFrequency("kind", 0.01)), TESTS[1])
+    out = S.score_pairs(cand, rec, S.Scoring("tf", tests, min_score=2.0, confidence_method="sigmoid"), E.term_frequencies(rec, ["kind"]))
+    return rounded(out.select(LEFT, RIGHT, SCORE, CONFIDENCE), SCORE, CONFIDENCE)
+
+
+LEVELS = (
+    S.Comparison(S.Test("kind"), name="kind", levels=(S.Level("exact", S.Test("kind"), 0.9, 0.05), S.Level("near", S.Test("kind", method="levenshtein", params={"max_distance": 6}), 0.07, 0.15), S.Level("else", None, 0.03, 0.8))),
+    S.Comparison(S.Test("size"), name="size", levels=(S.Level("near", S.Test("size", method="numeric_within", params={"tolerance": 4}), 0.8, 0.2), S.Level("else", None, 0.2, 0.8))),
+)
+G0 = "CASE WHEN l.kind = r.kind THEN 0 WHEN levenshtein(l.kind, r.kind) <= 6 THEN 1 ELSE 2 END"
+G1 = "CASE WHEN abs(l.size - r.size) <= 4 THEN 0 ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, g AS (SELECT left_entity_uid, right_entity_uid, {G0} AS g0, {G1} AS g1 {PAIRS}),
+w AS (SELECT *, CASE g0 WHEN 0 THEN log2(0.9 / 0.05) WHEN 1 THEN log2(0.07 / 0.15) ELSE log2(0.03 / 0.8) END AS w0, CASE g1 WHEN 0 THEN log2(4.0) ELSE log2(0.25) END AS w1 FROM g), s AS (SELECT *, -1.0 + w0 + w1 AS s FROM w)
+SELECT left_entity_uid, right_entity_uid, round(s, 6) AS match_total_score, round(pow(2, s) / (1 + pow(2, s)), 4) AS match_confidence, round(w0, 6) AS match_log_weight_kind, round(w1, 6) AS match_log_weight_size FROM s WHERE s >= 0""")
+def er_scoring_fellegi_sunter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    out = S.score_pairs(cand, rec, S.Scoring("fs", LEVELS, "fellegi_sunter", match_threshold=0.0, log_prior_odds=-1.0))
+    return rounded(out.drop("match_tier_priority", "match_tier_name"), SCORE, "match_log_weight_kind", "match_log_weight_size")
+
+
+SIGNALS = (
+    S.Signal(S.Test("note", method="different"), "disqualify"), S.Signal(S.Test("source_name", method="different"), "penalize", -0.25), S.Signal(S.Test(sql="l.size = r.size"), "bonus", 0.5),
+    S.Signal(S.Test("price_bucket"), "boost", 1.25), S.Signal(S.Test(sql="l.size = 7 AND r.size = 7"), "elevate_band", band="TOP"), S.Signal(S.Test("price"), "auto_match"))
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, x AS (SELECT left_entity_uid, right_entity_uid, {PARTS}, l.price = r.price AS auto, l.size = 7 AND r.size = 7 AS top,
+ CASE WHEN l.source_name != r.source_name THEN -0.25 ELSE 0 END + CASE WHEN l.size = r.size THEN 0.5 ELSE 0 END + CASE WHEN l.price_bucket = r.price_bucket THEN 1.25 ELSE 0 END AS extra {PAIRS} WHERE NOT coalesce(l.note != r.note, false)),
+y AS (SELECT *, s_kind + s_size + s_price + extra AS s, (s_kind > 0)::INT + (s_size > 0)::INT + (s_price > 0)::INT AS n FROM x)
+SELECT left_entity_uid, right_entity_uid, s::DOUBLE AS match_total_score, CASE WHEN top THEN 'TOP' WHEN s >= 4 THEN 'HIGH' WHEN s >= 3 THEN 'MEDIUM' ELSE 'UNCLASSIFIED' END AS match_band, auto AS is_auto_match FROM y WHERE (s >= 2.5 OR auto) AND n >= 2""")
+def er_scoring_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    p = S.Scoring("signals", TESTS, min_score=2.5, min_matching_comparisons=2, signals=SIGNALS, bands=(S.Band("MEDIUM", 3.0, 4.0), S.Band("HIGH", 4.0)), audit=True)
+    return S.score_pairs(cand, rec, p).select(LEFT, RIGHT, SCORE, "match_band", "is_auto_match")
+
+
+@query(f"{BASE} SELECT left_entity_uid, right_entity_uid, score AS match_total_score FROM m WHERE s_kind > 0 AND s_size > 0 AND s_price > 0")
+def er_scoring_min_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return S.score_pairs(cand, rec, S.Scoring("all", TESTS, "min_all")).select(LEFT, RIGHT, SCORE)
+
+
+@query(f"{BASE}, two AS (SELECT left_entity_uid, right_entity_uid, (s_kind + s_size)::DOUBLE AS score FROM scored WHERE s_kind + s_size >= 1) SELECT left_entity_uid, right_entity_uid, score AS match_total_score, 'first' AS match_tier_name FROM m UNION ALL SELECT left_entity_uid, right_entity_uid, score, 'second' FROM two WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.left_entity_uid = two.left_entity_uid AND m.right_entity_uid = two.right_entity_uid)")
+def er_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    one = S.accumulate(None, S.score_pairs(cand, rec, SCORING))
+    return S.accumulate(one, S.score_pairs(cand, rec, S.Scoring("second", TESTS[:2], tier_index=1, min_score=1.0))).select(LEFT, RIGHT, SCORE, "match_tier_name")
+
+
+# Clustering.
+
+
+@query(f"{FULL} SELECT * FROM clus")
+def er_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(spark, sf_dir)[2]
+
+
+@query(f"{FULL} SELECT * FROM clus")
+def er_incremental_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first half resolved alone, then the rest against it: the clusters of the whole."""
+    rec, m = matches(spark, sf_dir)
+    half = rec.where("size < 25")
+    old = half.select(F.col(ENTITY_UID)).withColumnRenamed(ENTITY_UID, "u")
+    inner = m.join(old.toDF(LEFT), LEFT, "left_semi").join(old.toDF(RIGHT), RIGHT, "left_semi")
+    index = K.connected_components(inner, half)
+    return K.incremental_components(m, rec.where("size >= 25"), index)
+
+
+@query(f"""{BASE}, ends AS (SELECT left_entity_uid AS u, conf FROM m UNION ALL SELECT right_entity_uid, conf FROM m), power AS (SELECT u, round(sum(conf), 6) AS p FROM ends GROUP BY u),
+centre AS (SELECT left_entity_uid AS l, right_entity_uid AS r, CASE WHEN a.p >= b.p THEN left_entity_uid ELSE right_entity_uid END AS c FROM m JOIN power a ON a.u = left_entity_uid JOIN power b ON b.u = right_entity_uid),
+own AS (SELECT l AS u, c FROM centre UNION ALL SELECT r, c FROM centre) SELECT entity_uid, coalesce(min(c), entity_uid) AS cluster_id FROM rec LEFT JOIN own ON u = entity_uid GROUP BY entity_uid""")
+def er_star_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m = matches(spark, sf_dir)
+    return K.star_clusters(m.withColumn(CONFIDENCE, F.col(CONFIDENCE).cast("decimal(12,6)")), rec)
+
+
+@query(f"""{BASE}, each AS (SELECT left_entity_uid AS u, right_entity_uid AS w, conf FROM m UNION ALL SELECT right_entity_uid, left_entity_uid, conf FROM m), best AS (SELECT u, w FROM each QUALIFY row_number() OVER (PARTITION BY u ORDER BY conf DESC, w) = 1)
+SELECT entity_uid, least(entity_uid, coalesce(w, entity_uid)) AS cluster_id FROM rec LEFT JOIN best ON u = entity_uid""")
+def er_best_match_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m = matches(spark, sf_dir)
+    return K.best_match_clusters(m, rec)
+
+
+@query(f"""{FULL}, per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT source_name) AS s FROM clus JOIN rec USING (entity_uid) GROUP BY cluster_id)
+SELECT count(*) AS cluster_count, count(*) FILTER (WHERE n = 1) AS singleton_count, max(n) AS max_size, round(avg(n), 6) AS avg_size, median(n) AS median_size, round(avg(s), 6) AS avg_source_diversity, round((SELECT avg(conf) FROM m), 6) AS avg_confidence, (SELECT min(conf) FROM m) AS min_confidence, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS singleton_ratio FROM per""")
+def er_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m, c = clusters(spark, sf_dir)
+    return rounded(K.cluster_quality(c, m, rec), "avg_size", "avg_source_diversity", "avg_confidence", "singleton_ratio")
+
+
+@query(f"""{FULL}, size AS (SELECT cluster_id, count(*) AS n FROM clus GROUP BY 1), ends AS (SELECT left_entity_uid AS u FROM m UNION ALL SELECT right_entity_uid FROM m), hub AS (SELECT u FROM ends GROUP BY u HAVING count(*) > 3)
+SELECT left_entity_uid, right_entity_uid, n AS cluster_size, conf AS original_confidence, round(conf * CASE WHEN n > 3 THEN greatest(0.5, 1 - (n - 3) * 0.1) ELSE 1 END, 6) AS match_confidence, left_entity_uid IN (SELECT u FROM hub) OR right_entity_uid IN (SELECT u FROM hub) AS is_hub
+FROM m JOIN clus ON entity_uid = left_entity_uid JOIN size USING (cluster_id)""")
+def er_confidence_shaping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m, c = clusters(spark, sf_dir)
+    return rounded(K.shape_confidence(m, c, 3, 0.1, 3).select(LEFT, RIGHT, "cluster_size", "original_confidence", CONFIDENCE, "is_hub"), CONFIDENCE)
+
+
+@query(f"{FULL} SELECT entity_uid, CASE WHEN entity_uid % 3 = 0 THEN NULL ELSE entity_uid END AS prior_cluster_id, cluster_id AS current_cluster_id, CASE WHEN entity_uid % 3 = 0 THEN 'new_entity' WHEN cluster_id != entity_uid THEN 'reassigned' ELSE 'unchanged' END AS change FROM clus")
+def er_cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, _, c = clusters(spark, sf_dir)
+    return K.cluster_stability(c, rec.where("entity_uid % 3 != 0").select(ENTITY_UID, F.col(ENTITY_UID).alias(CLUSTER_ID)))
+
+
+@query(f"{FULL} SELECT entity_uid, name, cluster_id FROM clus JOIN rec USING (entity_uid)")
+def er_canonical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after two merges, the second of which relabels earlier records."""
+    rec, _, c = clusters(spark, sf_dir)
+    half, rest = rec.where("size < 25"), rec.where("size >= 25")
+    first = K.merge_canonical_index(K.canonical_index(rec), half, half.select(ENTITY_UID, F.col(ENTITY_UID).alias(CLUSTER_ID)))
+    return K.merge_canonical_index(first, rest, c).select(ENTITY_UID, "name", CLUSTER_ID)
+
+
+# Golden records.
+
+COLUMNS = ("name", "kind", "size", "price", "note")
+DONE = "(name IS NOT NULL)::INT + (kind IS NOT NULL)::INT + (size IS NOT NULL)::INT + (price IS NOT NULL)::INT + (note IS NOT NULL)::INT"
+
+
+@query(f"{FULL}, j AS (SELECT *, {DONE} AS done FROM rec JOIN clus USING (entity_uid)), b AS (SELECT cluster_id, entity_uid AS canonical_entity_uid FROM j QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY done DESC, entity_uid) = 1) SELECT entity_uid, cluster_id, canonical_entity_uid, entity_uid = canonical_entity_uid AS is_canonical, name, note FROM j JOIN b USING (cluster_id)")
+def er_resolve_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: block, score, cluster and elect a canonical record."""
+    rec, m, c = clusters(spark, sf_dir)
+    return golden.resolve(rec, c, m, golden.Golden(COLUMNS)).select(ENTITY_UID, CLUSTER_ID, "canonical_entity_uid", "is_canonical", "name", "note")
+
+
+@query(f"{FULL}, j AS (SELECT * FROM rec JOIN clus USING (entity_uid)), b AS (SELECT cluster_id, entity_uid AS canonical_entity_uid FROM j QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY source_updated_at DESC, entity_uid) = 1) SELECT entity_uid, 'ENT_' || cluster_id AS resolved_entity_id, canonical_entity_uid FROM j JOIN b USING (cluster_id)")
+def er_golden_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m, c = clusters(spark, sf_dir)
+    return golden.resolve(rec, c, m, golden.Golden(COLUMNS, "recency", entity_id_prefix="ENT")).select(ENTITY_UID, "resolved_entity_id", "canonical_entity_uid")
+
+
+@query(f"{FULL}, j AS (SELECT *, CASE source_name WHEN 'Brand#21' THEN 1000 WHEN 'Brand#12' THEN 999 ELSE 0 END AS rank FROM rec JOIN clus USING (entity_uid)), b AS (SELECT cluster_id, entity_uid AS canonical_entity_uid FROM j QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY rank DESC, entity_uid) = 1) SELECT entity_uid, canonical_entity_uid FROM j JOIN b USING (cluster_id)")
+def er_golden_source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m, c = clusters(spark, sf_dir)
+    return golden.resolve(rec, c, m, golden.Golden(COLUMNS, "source_priority", source_priority=("Brand#21", "Brand#12"))).select(ENTITY_UID, "canonical_entity_uid")
+
+
+def _first(column: str, order: str) -> str:
+    return f"(SELECT {column} FROM j x WHERE x.cluster_id = b.cluster_id AND {column} IS NOT NULL ORDER BY {order} LIMIT 1)"
+
+
+@query(f"""{FULL}, j AS (SELECT *, {DONE} AS done, CASE source_name WHEN 'Brand#21' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 999 END AS rank FROM rec JOIN clus USING (entity_uid)), b AS (SELECT DISTINCT cluster_id FROM j)
+SELECT cluster_id, {_first("name", "done DESC, source_updated_at DESC, entity_uid")} AS name, {_first("note", "source_updated_at DESC, entity_uid")} AS note, {_first("price", "rank, source_updated_at DESC, entity_uid")} AS price,
+ (SELECT kind FROM j x WHERE x.cluster_id = b.cluster_id GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1) AS kind,
+ (SELECT size FROM j x WHERE x.cluster_id = b.cluster_id GROUP BY size ORDER BY round(sum(exp(-0.01 * (DATE '2021-01-01' - source_updated_at::DATE))), 12) DESC, size LIMIT 1) AS size FROM b""")
+def er_golden_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m, c = clusters(spark, sf_dir)
+    strategies = (golden.FieldStrategy("note", "most_recent"), golden.FieldStrategy("price", "source_priority", ("Brand#21", "Brand#12")), golden.FieldStrategy("kind", "most_common"), golden.FieldStrategy("size", "weighted_vote"))
+    return golden.resolve(rec, c, m, golden.Golden(COLUMNS, "field_merge", field_strategies=strategies), F.lit(date(2021, 1, 1))).select(CLUSTER_ID, *COLUMNS)
+
+
+@query(f"""{BASE}, e AS (SELECT left_entity_uid AS entity_uid, right_entity_uid AS w, score, conf FROM m UNION ALL SELECT right_entity_uid, left_entity_uid, score, conf FROM m)
+SELECT entity_uid, 'first' AS matched_by_tier, score AS match_score, conf AS match_confidence FROM e QUALIFY row_number() OVER (PARTITION BY entity_uid ORDER BY score DESC, w) = 1""")
+def er_match_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.match_metadata(matches(spark, sf_dir)[1])
+
+
+# Estimation, vectors, review, learning.
+
+
+@query(f"WITH RECURSIVE {REC}, {CAND} SELECT {G0} AS g0, {G1} AS g1, count(*) AS n {PAIRS} GROUP BY ALL")
+def er_level_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return estimation.level_patterns(cand, rec, LEVELS).groupBy("g0", "g1").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, g AS (SELECT {G0} AS g0, {G1} AS g1, l.size % 4 = r.size % 4 AS y {PAIRS}), t AS (SELECT count(*) FILTER (WHERE y) AS a, count(*) FILTER (WHERE NOT y) AS b FROM g),
+lv AS (SELECT * FROM (VALUES ('kind', 'exact', 0, 0), ('kind', 'near', 0, 1), ('kind', 'else', 0, 2), ('size', 'near', 1, 0), ('size', 'else', 1, 1)) v(comparison, level, i, k))
+SELECT comparison, level, round(least(greatest((SELECT count(*) FROM g WHERE y AND CASE i WHEN 0 THEN g0 ELSE g1 END = k) / a, 0.001), 0.999), 6) AS m, round(least(greatest((SELECT count(*) FROM g WHERE NOT y AND CASE i WHEN 0 THEN g0 ELSE g1 END = k) / b, 0.001), 0.999), 6) AS u, round(a / (a + b), 6) AS match_rate FROM lv, t""")
+def er_estimate_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    price = rec.select(ENTITY_UID, F.col("size") % 4)
+    labelled = cand.join(price.toDF(LEFT, "a"), LEFT).join(price.toDF(RIGHT, "b"), RIGHT).select(LEFT, RIGHT, (F.col("a") == F.col("b")).alias("is_match"))
+    return rounded(estimation.estimate_from_labels(labelled, rec, LEVELS), "m", "u", "match_rate")
+
+
+@query()
+def er_estimate_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return spark.createDataFrame(estimation.estimate_em(cand, rec, LEVELS).frame())
+
+
+PLANES = vectors.hyperplanes(2, 4, 64, 42)
+
+
+def _bucket(t: int) -> str:
+    dots = (f"(CASE WHEN list_dot_product(v, [{', '.join(repr(float(x)) for x in PLANES[t, f])}]::DOUBLE[]) >= 0 THEN {1 << f} ELSE 0 END)" for f in range(4))
+    return f"({' + '.join(dots)})::BIGINT AS lsh_bucket_{t}"
+
+
+@query(f"SELECT vec_id, {_bucket(0)}, {_bucket(1)} FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def er_lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.lsh_buckets(load(spark, sf_dir, "embeddings"), 64, 2, 4, 42, "embedding", "vec_id")
+
+
+@query()
+def er_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embed(records(spark, sf_dir), ["name", "kind"], 32)
+
+
+@query(f"{BASE} SELECT left_entity_uid, right_entity_uid, score AS match_total_score, round(abs(score - 3), 6) AS uncertainty FROM m ORDER BY abs(score - 3), left_entity_uid, right_entity_uid LIMIT 100")
+def er_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = matches(spark, sf_dir)
+    return rounded(review.review_queue(m, 100, min_score=3.0).select(LEFT, RIGHT, SCORE, "uncertainty"), "uncertainty")
+
+
+@query(f"{BASE} SELECT left_entity_uid, right_entity_uid, 'first' AS match_tier_name, left_entity_uid % 2 = 0 AS is_match FROM m WHERE left_entity_uid % 3 != 0")
+def er_ingest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels given twice: the later ones count, and pairs without a label give none."""
+    _, m = matches(spark, sf_dir)
+    say = F.when(F.col(LEFT) % 3 == 0, None).when(F.col(LEFT) % 2 == 0, "match").otherwise("non_match")
+    first = review.ingest_labels(None, m.where(f"{LEFT} % 3 != 0").withColumn("human_label", F.lit("match")), "first")
+    return review.ingest_labels(first, m.withColumn("human_label", say), "first")
+
+
+@query(f"{BASE} SELECT left_entity_uid, right_entity_uid, (s_kind > 0)::INT::DOUBLE AS kind_exact, (s_size > 0)::INT::DOUBLE AS size_numeric_within, (s_price > 0)::INT::DOUBLE AS price_numeric_percent_diff, (conf >= 0.5)::INT AS is_match FROM m")
+def er_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m = matches(spark, sf_dir)
+    return learning.feature_matrix(m, rec, TESTS, matches=m)
+
+
+def _labelled_matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    rec, cand = candidates(spark, sf_dir)
+    price = rec.select(ENTITY_UID, "size")
+    labels = cand.join(price.toDF(LEFT, "a"), LEFT).join(price.toDF(RIGHT, "b"), RIGHT).select(LEFT, RIGHT, (F.abs(F.col("a") - F.col("b")) <= 8).alias("is_match"))
+    return materialize(learning.feature_matrix(cand, rec, TESTS, labels)), [c.label for c in TESTS]
+
+
+@query()
+def er_ml_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix, names = _labelled_matrix(spark, sf_dir)
+    return learning.predict(learning.train(matrix, names), matrix)
+
+
+@query()
+def er_ml_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix, names = _labelled_matrix(spark, sf_dir)
+    rows = [(kind, k, v) for kind in ("LOGISTIC_REG", "RANDOM_FOREST_CLASSIFIER") for k, v in learning.evaluate(learning.train(matrix, names, kind), matrix).items()]
+    return spark.createDataFrame(rows, "model string, metric string, value double")
+
+
+# Compound records, profiles, monitoring.
+
+
+@query(f"""WITH t AS (SELECT s_suppkey AS k, {NAME} AS n FROM supplier), x AS (SELECT k, n, k % 9 AS c FROM t)
+SELECT k, n AS name, 0 AS part FROM x WHERE c NOT IN (1, 3, 6) OR n IS NULL UNION ALL SELECT k, 'JANE ' || upper(string_split(trim(n, ' '), ' ')[-1]), 1 FROM x WHERE c = 1 UNION ALL SELECT k, 'JOE ' || upper(string_split(trim(n, ' '), ' ')[-1]), 2 FROM x WHERE c = 1
+UNION ALL SELECT k, 'JOHN', 1 FROM x WHERE c = 3 UNION ALL SELECT k, 'JANE', 2 FROM x WHERE c = 3 UNION ALL SELECT k, n, 0 FROM x WHERE c = 6""")
+def er_compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(ENTITY_UID), F.expr(NAME).alias("name"))
+    return compound.split_compounds(df, "name").select(F.col("_original_entity_uid").alias("k"), "name", F.col("_split_index").alias("part"))
+
+
+@query(f"""WITH {REC}, v AS (SELECT 'name' AS c, name AS v FROM rec UNION ALL SELECT 'kind', kind FROM rec UNION ALL SELECT 'note', note FROM rec), n AS (SELECT c, v, count(*) AS n FROM v GROUP BY c, v),
+p AS (SELECT c, sum(n)::BIGINT AS row_count, coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::BIGINT AS null_count, count(v) AS cardinality, max(n) FILTER (WHERE v IS NOT NULL) AS max_frequency FROM n GROUP BY c),
+q AS (SELECT *, least(greatest(1 / cardinality, 0.001), 0.999) AS u, least(greatest(1 - null_count / row_count, 0.001), 0.999) AS m FROM p)
+SELECT c AS "column", row_count, null_count, cardinality, max_frequency, round(u, 6) AS u, round(m, 6) AS m, round(log2(m / u), 6) AS weight, CASE WHEN log2(m / u) >= 10 THEN 'HIGH' WHEN log2(m / u) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS power FROM q""")
+def er_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profiling.column_profile(records(spark, sf_dir), ["name", "kind", "note"]).drop("avg_frequency"), "u", "m", "weight")
+
+
+@query(f"WITH {REC} SELECT kind AS value, count(*) AS frequency FROM rec GROUP BY kind ORDER BY frequency DESC, value LIMIT 10")
+def er_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiling.top_values(records(spark, sf_dir), "kind")
+
+
+@query(f"""{BASE}, p AS (SELECT score, unnest([{{'c': 'kind_exact', 'v': s_kind}}, {{'c': 'size_numeric_within', 'v': s_size}}, {{'c': 'price_numeric_percent_diff', 'v': s_price}}]) AS p FROM m)
+SELECT p.c AS comparison, round(avg((p.v > 0)::INT), 6) AS fire_rate, round(avg(p.v)::DOUBLE, 6) AS avg_contribution, round((sum(p.v) / sum(score))::DOUBLE, 6) AS share, CASE WHEN sum(p.v) / sum(score) >= 0.5 THEN 'CRITICAL' WHEN sum(p.v) / sum(score) >= 0.25 THEN 'HIGH' WHEN sum(p.v) / sum(score) >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS importance FROM p GROUP BY p.c""")
+def er_weight_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return rounded(profiling.weight_contribution(S.score_pairs(cand, rec, SCORING), [c.label for c in TESTS]), "fire_rate", "avg_contribution", "share")
+
+
+@query(f"{BASE}, s AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9, 1.1, 1.3, 1.5, 1.7, 1.9])::DOUBLE AS k) SELECT k AS multiplier, round(k * 2.5, 6) AS threshold, (SELECT count(*) FROM m WHERE score >= k * 2.5) AS matches FROM s")
+def er_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return rounded(profiling.threshold_sweep(S.score_pairs(cand, rec, SCORING), 2.5), "threshold")
+
+
+@query(f"""{BASE}, f AS (SELECT unnest([0.5, 2.0])::DOUBLE AS f), c AS (SELECT * FROM (VALUES ('kind_exact'), ('size_numeric_within'), ('price_numeric_percent_diff')) v(c))
+SELECT c AS comparison, f AS factor, (SELECT count(*) FROM m WHERE score + (f - 1) * CASE c WHEN 'kind_exact' THEN s_kind WHEN 'size_numeric_within' THEN s_size ELSE s_price END >= 2.5) AS matches, (SELECT count(*) FROM m WHERE score + (f - 1) * CASE c WHEN 'kind_exact' THEN s_kind WHEN 'size_numeric_within' THEN s_size ELSE s_price END >= 2.5) - (SELECT count(*) FROM m) AS change FROM c, f""")
+def er_weight_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, cand = candidates(spark, sf_dir)
+    return profiling.weight_impact(S.score_pairs(cand, rec, SCORING), [c.label for c in TESTS], 2.5)
+
+
+@query(f"WITH t AS (SELECT {PHONE_SQL} AS p, {MAIL} AS e FROM customer) SELECT 'r1' AS run_id, 'customer' AS source_name, * FROM (SELECT 'phone' AS column_name, 'phone' AS pattern_type, p AS value, count(*) AS occurrences FROM t WHERE p = '555-555-5555' GROUP BY p UNION ALL SELECT 'mail', 'email', e, count(*) FROM t WHERE e IN ('Info@GMail.com', 'test@acme.com') GROUP BY e)")
+def er_placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "customer").select(F.expr(PHONE).alias("phone"), F.expr(MAIL).alias("mail"))
+    return profiling.placeholder_scan(df, {"phone": "phone", "mail": "email"}, "r1", "customer")
+
+
+@query(f"WITH {REC}, n AS (SELECT kind, count(*) AS n FROM rec GROUP BY kind) SELECT 'kind' AS column_name, kind AS value, n AS occurrences, round(n / (SELECT sum(n) FROM n), 6)::DOUBLE AS share FROM n WHERE n >= 10 AND n / (SELECT sum(n) FROM n) > 0.001")
+def er_suspected_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profiling.suspected_placeholders(records(spark, sf_dir), ["kind"]), "share")
+
+
+@query("""WITH n AS (SELECT user_id AS v, count(*) AS n FROM events GROUP BY 1), s AS (SELECT count(v) AS d, 1 / (1 + stddev_pop(n) / avg(n)) AS e FROM n)
+SELECT 'user_id' AS column_name, d AS distinct_values, round(e, 6) AS uniformity, round(0.6 * least(1.0, d / 20.0) + 0.4 * e, 6) AS score FROM s""")
+def er_cursor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profiling.cursor_profile(load(spark, sf_dir, "events"), ["user_id"]), "uniformity", "score")
+
+
+@query("""WITH j AS (SELECT l_orderkey % 2 AS run, l_partkey % 5 AS h, l_suppkey % 3 AS s FROM lineitem), a AS (SELECT s, h, count(*) AS n FROM j WHERE run = 0 AND h != 1 GROUP BY ALL), b AS (SELECT s, h, count(*) AS n FROM j WHERE run = 1 AND h != 2 GROUP BY ALL)
+SELECT 's' || s AS stage_name, 'h' || h AS plan_hash, CASE WHEN a.n IS NULL THEN 'NEW' WHEN b.n IS NULL THEN 'REMOVED' ELSE 'MATCHED' END AS status, b.n - a.n AS rows_delta FROM a FULL JOIN b USING (s, h)""")
+def er_run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 2).cast("string")).alias("run_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("stage_name"), F.concat(F.lit("h"), (F.col("l_partkey") % 5).cast("string")).alias("plan_hash"))
+    j = j.where("NOT (run_id = 'r0' AND plan_hash = 'h1') AND NOT (run_id = 'r1' AND plan_hash = 'h2')")
+    jobs = j.groupBy("run_id", "stage_name", "plan_hash").agg(F.count("*").alias("rows_affected"), F.lit(1.0).alias("duration_seconds"))
+    return monitoring.compare_runs(jobs, "r0", "r1").select("stage_name", "plan_hash", "status", "rows_delta")
+
+
+@query(f"{FULL} SELECT * FROM clus")
+def er_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches drained into the canonical index one after the other: the clusters of one run over
+    all records, as the candidate caps don't bind here."""
+    import uuid
+
+    from .sources.tables import VersionedTable
+    from .streaming.incremental import drain
+    from .streaming.state import Watermarks
+
+    rec = materialize(records(spark, sf_dir).withColumnsRenamed({ENTITY_UID: "key", "source_name": "brand"}))
+    root = f"{shared_folder(spark)}/drain-{uuid.uuid4().hex}"
+    n = rec.count()
+    p = Staging("part", "key", "source_updated_at", tuple(c for c in rec.columns if c != "source_updated_at"), batch_size=n // 3 + 1)
+    index = VersionedTable(spark, f"{root}/index")
+    featurize = lambda df: df.withColumns({ENTITY_UID: F.col("key"), "source_name": F.col("brand")}).drop("key", "brand", "pipeline_loaded_at")
+    drain(rec, p, ["key"], featurize, BLOCKING, [SCORING], index, Watermarks(spark, root), "run")
+    return index.read().select(ENTITY_UID, CLUSTER_ID)

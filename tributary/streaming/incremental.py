@@ -50,7 +50,7 @@ def drain(source: DataFrame, p: Staging, cursors: list[str], featurize: Featuriz
     """Batches until the source has nothing beyond the watermark; the number of batches."""
     for n in range(most):
         mark = marks.read(p.source_name)
-        now = replace(p, watermark=mark, passthrough_columns=tuple(dict.fromkeys([*p.passthrough_columns, *cursors])))
+        now = replace(p, watermark=mark, cursors=tuple(cursors), passthrough_columns=tuple(dict.fromkeys([*p.passthrough_columns, *cursors])))
         if not has_more(source, now):
             return n
         staged = materialize(stage(source, now))
