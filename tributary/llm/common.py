@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tributary-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer held: it does so when the
+    driver's JVM collects its garbage, which a driver with little work seldom does by itself, and
+    after Python has told it what it let go of, which takes a second."""
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, a stored table, marked for broadcast if it has no more than so many rows, and left for
+    Spark to join as it sees fit beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def stash(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, and what follows
     doesn't recompute it when executors are lost."""

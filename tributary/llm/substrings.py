@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_id, pick, real_id, stash, table
+from .common import long_id, pick, real_id, release, stash, table
 from .suffix_array import repeated_windows
 
 WIDTH = 400
@@ -44,7 +44,7 @@ ANCHOR = 48
 CHUNK = 1 << 19
 #: Classes of an anchor hash that go into one shard undivided.
 SMALL = 256
-SHARD_BYTES = 400_000
+SHARD_BYTES = 1_000_000
 
 _RANDOM = np.random.default_rng(3)
 _BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,8 +236,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     often = anchored.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     live = anchored.join(often, "h").select("doc_id", "tie", F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "start", "n", "lead", F.lit(0).alias("lo"), "k1", "k2")
     live = stash(live)
+    release(docs.sparkSession)
     whole, open_ = _classes(live)
     full = stash(_with_bytes(open_, docs).dropDuplicates([*KEY, "doc_id", "tie", "start"]))
+    release(docs.sparkSession)
     found, small = _divided(full.where(f"size > {SMALL}").select("doc_id", "tie", *KEY, "start", "n", "lead", "lo", "sole", "raw"))
     spans_ = full.where(f"size <= {SMALL}").select("doc_id", "tie", "start", "sole", *KEY, "raw")
     for s in small:

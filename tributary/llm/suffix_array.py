@@ -83,36 +83,33 @@ def _induce_bytes(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int)
     return sa
 
 
-def _induce_names(s: list[int], is_s: list[bool], lms: list[int], sigma: int) -> list[int]:
-    """The same, one suffix at a time."""
-    n = len(s)
-    counts = [0] * sigma
-    for c in s:
-        counts[c] += 1
-    heads, tails, total = [], [], 0
-    for k in counts:
-        heads.append(total)
-        total += k
-        tails.append(total)
-    sa, at = [-1] * n, tails[:]
-    for i in reversed(lms):
-        at[s[i]] -= 1
-        sa[at[s[i]]] = i
-    at = heads[:]
-    for x in range(n):
-        j = sa[x] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[at[c]] = j
-            at[c] += 1
-    at = tails[:]
-    for x in range(n - 1, -1, -1):
-        j = sa[x] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
-            at[c] -= 1
-            sa[at[c]] = j
-    return sa
+def _induce_names(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same, one suffix at a time. The lists are read while they are filled; 0 stands for an
+    empty place as well as for the first suffix, as neither has a suffix before it to be placed."""
+    tails = np.cumsum(np.bincount(s, minlength=sigma))
+    heads = np.r_[0, tails[:-1]].tolist()
+    chars = s[lms]
+    held = np.bincount(chars, minlength=sigma)
+    start = np.zeros(len(s), np.int64)
+    start[np.repeat(tails - held, held) + np.arange(len(lms)) - np.repeat(np.cumsum(held) - held, held)] = lms[np.argsort(chars, kind="stable")]
+    sa = start.tolist()
+    larger = np.where(is_s, -1, s).tolist()
+    smaller = np.where(is_s, s, -1).tolist()
+    smaller[-1] = -1
+    for i in sa:
+        c = larger[i - 1]
+        if c >= 0:
+            at = heads[c]
+            sa[at] = i - 1
+            heads[c] = at + 1
+    ends = (tails - 1).tolist()
+    for i in reversed(sa):
+        c = smaller[i - 1]
+        if c >= 0:
+            at = ends[c]
+            sa[at] = i - 1
+            ends[c] = at - 1
+    return np.array(sa, np.int64)
 
 
 def _named(s: np.ndarray, is_s: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -151,7 +148,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     def induce(order: np.ndarray) -> np.ndarray:
         if small:
             return _induce_bytes(s, is_s, order, sigma)
-        return np.array(_induce_names(s.tolist(), is_s.tolist(), order.tolist(), sigma), np.int64)
+        return _induce_names(s, is_s, order, sigma)
 
     rough = induce(lms)
     marks = np.zeros(len(s), bool)
@@ -166,27 +163,28 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """For every position the suffix before it in sa (-1: none) and the length of their common
     prefix, up to `most` at least. Every step-th position is compared from the start; the others
-    from the length that the one before them leaves, as a permuted value is at least the last less one."""
+    from the length that the one before them leaves, as a permuted value is at least the last less
+    one. Eight places are compared at once, so that s must be below 256."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     lcp = np.zeros(n, np.int64)
-    padded = np.r_[s, np.zeros(8, s.dtype)].astype(np.uint16)
+    padded = np.r_[s, np.zeros(8, s.dtype)].astype(np.uint8)
+    words = np.ndarray((n,), "<u8", padded.data, strides=(1,))
 
     def leap(at: np.ndarray, limit: int) -> None:
         at = at[before[at] >= 0]
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
         while len(at):
             at = at[lcp[at] < limit]
             i, j = at + lcp[at], before[at] + lcp[at]
             ok = np.maximum(i, j) < n
             at, i, j = at[ok], i[ok], j[ok]
-            for block in np.array_split(np.arange(len(at)), 1 + len(at) // 500_000):
-                same = words[i[block]] == words[j[block]]
-                run = np.where(same.all(1), 8, same.argmin(1))
-                lcp[at[block]] += run
-                at[block[run < 8]] = -1
-            at = at[at >= 0]
+            differ = words[i] ^ words[j]
+            same = differ == 0
+            lcp[at[same]] += 8
+            lowest = differ[~same]
+            lcp[at[~same]] += np.log2((lowest & (~lowest + np.uint64(1))).astype(float)).astype(np.int64) >> 3
+            at = at[same]
 
     leap(np.arange(0, n, step), most + step)
     for k in range(1, step):
@@ -201,7 +199,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int, step: int = 16) -> tu
 def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Of each text, whether the `width` bytes that start at each of its places also start at
     another place of these texts."""
-    joined = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int32) + 2
+    joined = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int32) + 2  # UTF-8 has no byte over 0xF4
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes + 1) - 1
     joined[ends] = 1
