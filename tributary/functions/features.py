@@ -6,6 +6,7 @@ nothing is found.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -323,16 +324,10 @@ def year_of_date(c: Column) -> Column:
 
 @feature()
 def date_to_string(c: Column, fmt: str = "%Y%m%d") -> Column:
-    out, i = "", 0
-    while i < len(fmt):
-        if fmt[i] == "%":
-            if fmt[i : i + 2] not in STRFTIME:
-                raise ValueError(f"date format {fmt[i : i + 2]!r} has no equivalent")
-            out += STRFTIME[fmt[i : i + 2]]
-            i += 2
-        else:
-            out += f"'{fmt[i]}'" if fmt[i].isalpha() else "''" if fmt[i] == "'" else fmt[i]
-            i += 1
+    parts = re.findall(r"%.|[^%]+", fmt)
+    if bad := [p for p in parts if p[0] == "%" and p not in STRFTIME]:
+        raise ValueError(f"date format {bad[0]!r} has no equivalent")
+    out = "".join(STRFTIME[p] if p[0] == "%" else "'" + p.replace("'", "''") + "'" for p in parts)
     return F.date_format(c, out)
 
 
@@ -570,7 +565,7 @@ def char_length(c: Column) -> Column:
 
 @feature()
 def remove_diacritics(c: Column) -> Column:
-    return F.translate(F.upper(c), K.ACCENTED, K.UNACCENTED)
+    return F.translate(F.upper(F.translate(c, "ß", "")), K.ACCENTED, K.UNACCENTED)
 
 
 @feature()
