@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import long_id, pick, real_id, scratch, stash, table
 
 #: Stretches remembered in a generation of a worker's memory.
-MEMO = 400_000
+MEMO = 300_000
 #: Texts encoded at once.
 AT_ONCE = 1024
 #: Ids in a block, but for a document that is longer.
@@ -67,7 +67,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(data, np.uint8)
     out = np.zeros(n, np.uint32)
-    for k in range(4):
+    for k in range(int(sizes.max(initial=0))):
         at = np.flatnonzero(sizes > k)
         out[at] |= raw[starts[at] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -79,19 +79,23 @@ PIECE = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?[^ ]+| +")
 
 
 class Encoder:
-    """Whole texts to ids. The pre-tokenizer always splits after a run of letters and before a
-    space that a non-space follows, so the stretches between such places are encoded apart and
-    remembered. Texts with double spaces are split before single words only."""
+    """Whole texts to ids. A byte-level pre-tokenizer always splits after a run of letters and
+    before a space that a non-space follows, so the stretches between such places are encoded apart
+    and remembered. Texts with double spaces are split before single words only, and tokenizers of
+    another kind get their texts whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
+        self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if not self.byte_level:
+            return [text]
         if "  " not in text:
             return PIECE.findall(text)
         out: list[str] = []
