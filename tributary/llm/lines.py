@@ -43,8 +43,8 @@ KEY = ["shard", "k1", "k2"]
 
 
 class CuckooFilter:
-    """Four 16-bit fingerprints a bucket. Hashes that find no place after many moves are kept
-    whole, so that an insertion never fails and a deletion always finds its entry."""
+    """Four 16-bit fingerprints a bucket. Fingerprints that find no place after many moves are kept
+    in a list with their bucket, so that an insertion never fails and a deletion always finds its entry."""
 
     def __init__(self, capacity: int) -> None:
         self.buckets = 1 << max(1, int(np.ceil(np.log2(max(capacity, 1) / 4 / 0.8))))
@@ -63,7 +63,10 @@ class CuckooFilter:
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         prints, first, second = self._places(hashes)
         found = ((self.slots[first] == prints[:, None]) | (self.slots[second] == prints[:, None])).any(1)
-        return found | np.isin(hashes.astype(np.uint64), np.array(self.over, np.uint64))
+        if self.over:
+            over, high = np.array(self.over, np.uint64), (prints.astype(np.uint64) - np.uint64(1)) << np.uint64(48)
+            found |= np.isin(high | first.astype(np.uint64), over) | np.isin(high | second.astype(np.uint64), over)
+        return found
 
     def insert(self, hashes: np.ndarray) -> None:
         """Each hash once more. All that fit are placed at once; the rest move others round by round."""
