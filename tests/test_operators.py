@@ -283,6 +283,26 @@ def test_pipeline_from_column_names(spark, customers, folder):
     assert "candidates_exact" in p.plan({"customers": customers})
 
 
+@pytest.mark.parametrize("training", ["em", "labeled"])
+def test_pipeline_trains_and_blocks_on_vectors(spark, customers, training):
+    d = {
+        "project": {"name": "t"}, "sources": [{"name": "customers", "table": "c", "unique_key": "id", "updated_at": "updated_at", "columns": [{"name": n} for n in ("first_name", "last_name", "email")]}],
+        "embeddings": {"enabled": True, "source_columns": ["last_name"], "dimensions": 16, "lsh": {"num_hash_tables": 2, "num_hash_functions_per_table": 3}},
+        "matching_tiers": [{"name": "fs", "blocking": {"paths": [{"lsh_keys": ["lsh_bucket_0"]}, {"lsh_keys": ["lsh_bucket_1"]}]}, "training": {"method": training}, "threshold": {"method": "fellegi_sunter", "match_threshold": -20},
+                            "comparisons": [{"left": "last_name", "method": "exact"}, {"left": "email", "method": "exact", "levels": [{"label": "same", "method": "exact"}, {"label": "else"}]}]}],
+    }
+    c = C.from_dict(d)
+    assert C.validate(c) == []
+    sources = {"customers": customers}
+    if training == "labeled":
+        uid = staging.record_uid("customers", F.col("id"))
+        ids = customers.select("id", uid.alias("u"))
+        a, b = ids.toDF("i", LEFT), ids.toDF("j", RIGHT)
+        sources["labels"] = a.join(b, (F.col("j") == F.col("i") + 1)).select(LEFT, RIGHT, (F.col("i") % 2 == 0).alias("is_match"))
+    out = Pipeline(c).run(sources)
+    assert out["matches_fs"].count() >= 2 and "match_log_weight_email_exact" in out["matches_fs"].columns
+
+
 def test_pipeline_stages_are_ordered_and_gated(spark, customers):
     stages = [Stage("b", ("a",), lambda t: t["a"]), Stage("a", ("source_customers",), lambda t: t["source_customers"], lambda d: [monitoring.Finding("error", "no")])]
     assert [s.name for s in order(stages, {"source_customers"})] == ["a", "b"]

@@ -43,6 +43,15 @@ def embed(records: DataFrame, columns: Sequence[str], dimensions: int = 128, emb
     return records.select(ENTITY_UID, f(joined).alias(EMBEDDING))
 
 
+def with_lsh(records: DataFrame, columns: Sequence[str], dimensions: int = 64, tables: int = 8, functions: int = 4, seed: int = 42, embedder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """records with a bucket column for each table, from the text of columns; no join is needed."""
+    from pyspark.sql import types as T
+
+    f = F.pandas_udf(embedder or hashed_ngrams(dimensions), T.ArrayType(T.DoubleType()))
+    df = records.withColumn(EMBEDDING, f(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))))
+    return df.withColumns(dict(_buckets(F.col(EMBEDDING), dimensions, tables, functions, seed, "lsh_bucket"))).drop(EMBEDDING)
+
+
 def hyperplanes(tables: int, functions: int, dimensions: int, seed: int) -> np.ndarray:
     """The normal vectors, the same for a seed on any machine: numbers in [-1, 1) from a hash of
     seed, table, function and dimension."""
@@ -55,10 +64,8 @@ def hyperplanes(tables: int, functions: int, dimensions: int, seed: int) -> np.n
     return np.array([[[number(t, f, d) for d in range(dimensions)] for f in range(functions)] for t in range(tables)])
 
 
-def lsh_buckets(vectors: DataFrame, dimensions: int, tables: int = 8, functions: int = 4, seed: int = 42, vector: str = EMBEDDING, uid: str = ENTITY_UID, prefix: str = "lsh_bucket") -> DataFrame:
-    """uid and a bucket for each table: the signs of the projections, as bits. All in the JVM."""
+def _buckets(v: Column, dimensions: int, tables: int, functions: int, seed: int, prefix: str) -> list[tuple[str, Column]]:
     planes = hyperplanes(tables, functions, dimensions, seed)
-    v = F.col(vector)
 
     def sign(normal: np.ndarray) -> Column:
         weights = F.array(*(F.lit(float(x)) for x in normal))
@@ -70,5 +77,10 @@ def lsh_buckets(vectors: DataFrame, dimensions: int, tables: int = 8, functions:
         bucket = F.lit(0)
         for f in range(functions):
             bucket = bucket + sign(planes[t, f]) * (1 << f)
-        cols.append(F.when(v.isNotNull(), bucket.cast("long")).alias(f"{prefix}_{t}"))
-    return vectors.select(uid, *cols)
+        cols.append((f"{prefix}_{t}", F.when(v.isNotNull(), bucket.cast("long"))))
+    return cols
+
+
+def lsh_buckets(vectors: DataFrame, dimensions: int, tables: int = 8, functions: int = 4, seed: int = 42, vector: str = EMBEDDING, uid: str = ENTITY_UID, prefix: str = "lsh_bucket") -> DataFrame:
+    """uid and a bucket for each table: the signs of the projections, as bits. All in the JVM."""
+    return vectors.select(uid, *(c.alias(n) for n, c in _buckets(F.col(vector), dimensions, tables, functions, seed, prefix)))

@@ -46,6 +46,20 @@ class Tier:
     scoring: Scoring
     review_size: int = 0
     review_window: float = 0.15
+    training: str = "none"
+    training_iterations: int = 10
+    training_sample: int = 100_000
+
+
+@dataclass(frozen=True)
+class Lsh:
+    """Buckets of the columns' text vectors, lsh_bucket_0 and so on, to block on."""
+
+    columns: tuple[str, ...]
+    dimensions: int = 64
+    tables: int = 8
+    functions: int = 4
+    seed: int = 42
 
 
 @dataclass(frozen=True)
@@ -63,6 +77,7 @@ class Config:
     placeholder_columns: dict[str, str] = field(default_factory=dict)
     shape_confidence: bool = False
     split_compounds: str | None = None
+    lsh: Lsh | None = None
 
 
 def interpolate(text: str, env: dict[str, str] | None = None) -> str:
@@ -132,8 +147,9 @@ def _tier(d: dict, index: int, pool: dict[str, dict], shared: list[Signal]) -> T
     scoring = Scoring(
         d["name"], tuple(_comparison(x, pool) for x in d.get("comparisons", ())), {"weighted_sum": "sum"}.get(t.get("method", "sum"), t.get("method", "sum")), index, float(t.get("min_score", 0.0)), t.get("match_threshold"),
         int(t.get("min_matching_comparisons", 0)), float(t.get("log_prior_odds", 0.0)), tuple(shared + _signals(d)), bands, d.get("confidence"), d.get("confidence_method", "ratio"), d.get("audit_trail", False))
-    review = d.get("active_learning", {})
-    return Tier(d["name"], Blocking(paths, d.get("link_type", "link_and_dedupe"), b.get("lsh_min_bands", 0)), scoring, review.get("queue_size", 200) if review.get("enabled") else 0, review.get("uncertainty_window", 0.15))
+    review, training = d.get("active_learning", {}), d.get("training", {})
+    return Tier(d["name"], Blocking(paths, d.get("link_type", "link_and_dedupe"), b.get("lsh_min_bands", 0)), scoring, review.get("queue_size", 200) if review.get("enabled") else 0, review.get("uncertainty_window", 0.15),
+                training.get("method", "none"), training.get("em_max_iterations", 10), training.get("em_sample_size", 100_000))
 
 
 def _feature(d: dict) -> Feature:
@@ -141,6 +157,13 @@ def _feature(d: dict) -> Feature:
     return Feature(d["name"], d.get("function"), tuple(inputs), d.get("params", {}), d.get("sql"))
 
 
+def _lsh(d: dict) -> Lsh | None:
+    if not d.get("enabled"):
+        return None
+    h = d.get("lsh", {})
+    return Lsh(tuple(d["source_columns"]), d.get("dimensions", 64), h.get("num_hash_tables", 8), h.get("num_hash_functions_per_table", 4), h.get("projection_seed", 42))
+
+
 def from_dict(d: dict) -> Config:
     sources = tuple(
         Source(s["name"], s["table"], s["unique_key"], s["updated_at"], {c["name"]: c.get("type", "STRING") for c in s.get("columns", ())},
@@ -157,7 +180,7 @@ def from_dict(d: dict) -> Config:
     eng = d.get("feature_engineering", {})
     every = [_feature(f) for g in ("name_features", "address_features", "contact_features", "custom_features", "features") for f in eng.get(g, ())]
     return Config(d.get("project", {}).get("name", "pipeline"), sources, tuple(every), tuple(_feature(f) for f in eng.get("blocking_keys", ())), tiers, golden, cluster.get("method", "connected_components"),
-                  cluster.get("min_cluster_confidence", 0.0), cluster.get("max_cluster_size", 0), d.get("allow_udfs", True), d.get("placeholder_columns", {}), bool(rec.get("confidence_shaping")), eng.get("split_compounds"))
+                  cluster.get("min_cluster_confidence", 0.0), cluster.get("max_cluster_size", 0), d.get("allow_udfs", True), d.get("placeholder_columns", {}), bool(rec.get("confidence_shaping")), eng.get("split_compounds"), _lsh(d.get("embeddings", {})))
 
 
 def load(path: str, overrides: dict | None = None, env: dict[str, str] | None = None) -> Config:
@@ -192,7 +215,7 @@ def validate(c: Config) -> list[str]:
         levels([*c.features, *c.blocking_keys], columns)
     except ValueError as e:
         bad.append(str(e))
-    known = columns | {f.name for f in (*c.features, *c.blocking_keys)}
+    known = columns | {f.name for f in (*c.features, *c.blocking_keys)} | {f"lsh_bucket_{i}" for i in range(c.lsh.tables if c.lsh else 0)}
     bad += [f"feature {f.name!r} needs an unknown column {x!r}" for f in (*c.features, *c.blocking_keys) for x in f.inputs if x not in known]
     if not c.tiers:
         bad.append("there is no tier")
@@ -200,7 +223,9 @@ def validate(c: Config) -> list[str]:
         if not t.blocking.paths:
             bad.append(f"tier {t.name!r} has no blocking path")
         bad += [f"tier {t.name!r}: {x}" for x in check_paths(t.blocking)]
-        bad += [f"tier {t.name!r} blocks on an unknown column {k!r}" for p in t.blocking.paths for k in p.keys if k not in known]
+        bad += [f"tier {t.name!r} blocks on an unknown column {k!r}" for p in t.blocking.paths for k in (*p.keys, *p.lsh_keys) if k not in known]
+        if t.training not in ("none", "em", "labeled"):
+            bad.append(f"tier {t.name!r} has an unknown training method {t.training!r}")
         if not t.scoring.comparisons:
             bad.append(f"tier {t.name!r} compares nothing")
         for x in t.scoring.comparisons:

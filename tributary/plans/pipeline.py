@@ -12,21 +12,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import CLUSTER_ID
-from ..operators import clustering, compound, features, golden, monitoring, profiling, review
+from ..operators import clustering, compound, estimation, features, golden, monitoring, profiling, review, vectors
 from ..operators.blocking import block, blocking_effectiveness
-from ..operators.scoring import accumulate, score_pairs
+from ..operators.scoring import Scoring, accumulate, score_pairs
 from ..operators.staging import Staging, stage
 from ..storage import materialize
 from ..streaming.state import Checkpoints, Lock
 from . import roles as R
-from .config import Config, Source, quick_config, validate
+from .config import Config, Source, Tier, quick_config, validate
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,22 @@ def order(stages: list[Stage], given: set[str] = frozenset()) -> list[Stage]:
     return out
 
 
+def _trained(tier: Tier, tables: dict[str, DataFrame]) -> Scoring:
+    """The tier's scoring, with the probabilities that training gives: from the candidates, or from
+    the table `source_labels` (pairs with is_match)."""
+    p, comparisons = tier.scoring, tier.scoring.comparisons
+    if tier.training == "none":
+        return p
+    if tier.training == "em":
+        got = estimation.estimate_em(tables[f"candidates_{tier.name}"], tables["featured"], comparisons, tier.training_iterations, sample_size=tier.training_sample)
+    else:
+        rows = estimation.estimate_from_labels(tables["source_labels"], tables["featured"], comparisons).collect()  # one row a level
+        half = lambda v: 0.5 if v is None else v
+        key = {(r.comparison, r.level): r for r in rows}
+        got = estimation.Parameters({k: half(r.m) for k, r in key.items()}, {k: half(r.u) for k, r in key.items()}, half(rows[0].match_rate))
+    return replace(p, comparisons=estimation.with_parameters(comparisons, got), log_prior_odds=got.log_prior_odds)
+
+
 def stages_of(c: Config) -> list[Stage]:
     out: list[Stage] = []
     for s in c.sources:
@@ -86,7 +102,8 @@ def stages_of(c: Config) -> list[Stage]:
         frames = [t[x] for x in staged]
         if c.split_compounds:
             frames = [compound.split_compounds(f, c.split_compounds) for f in frames]
-        return features.engineer(frames, c.features, blocking_keys=c.blocking_keys)
+        df = features.engineer(frames, c.features, blocking_keys=c.blocking_keys)
+        return vectors.with_lsh(df, c.lsh.columns, c.lsh.dimensions, c.lsh.tables, c.lsh.functions, c.lsh.seed) if c.lsh else df
 
     out.append(Stage("featured", staged, featured, shared=True))
     tf = tuple(dict.fromkeys(x.tf.column for t in c.tiers for x in t.scoring.comparisons if x.tf))
@@ -97,7 +114,7 @@ def stages_of(c: Config) -> list[Stage]:
         reads = ("featured", *((before,) if before else ()))
         out.append(Stage(f"candidates_{tier.name}", reads, lambda t, tier=tier, b=before: block(t["featured"], tier.blocking, excluded=t[b] if b else None), lambda d, n=tier.name: monitoring.blocking_gate(d, n), True))
         need = ("featured", f"candidates_{tier.name}", *(("term_frequencies",) if tf else ()))
-        out.append(Stage(f"matches_{tier.name}", need, lambda t, tier=tier: score_pairs(t[f"candidates_{tier.name}"], t["featured"], tier.scoring, t.get("term_frequencies")), lambda d, n=tier.name: monitoring.matching_gate(d, n), True))
+        out.append(Stage(f"matches_{tier.name}", need, lambda t, tier=tier: score_pairs(t[f"candidates_{tier.name}"], t["featured"], _trained(tier, t), t.get("term_frequencies")), lambda d, n=tier.name: monitoring.matching_gate(d, n), True))
         now = f"all_matches_{tier.name}"
         out.append(Stage(now, (f"matches_{tier.name}", *((before,) if before else ())), lambda t, n=tier.name, b=before: accumulate(t[b] if b else None, t[f"matches_{n}"]), shared=True))
         if tier.review_size:

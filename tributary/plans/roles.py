@@ -16,11 +16,13 @@ from ..operators.scoring import Comparison, Test
 @dataclass(frozen=True)
 class Family:
     """features: suffix -> function. key: suffix of the feature that blocks, or '' for the column,
-    or None. tests: (method, suffix of the compared feature, share of the role's weight, parameters)."""
+    or None. tests: (method, suffix of the compared feature, share of the role's weight, parameters).
+    guard: the kind of placeholders that the features don't see, so that none blocks or matches."""
 
     features: dict[str, str]
     key: str | None
     tests: tuple[tuple[str, str, float, dict], ...]
+    guard: str = ""
 
 
 def _code(function: str) -> Family:
@@ -28,12 +30,12 @@ def _code(function: str) -> Family:
 
 
 FAMILIES = {
-    "name": Family({"clean": "name_clean", "soundex": "soundex"}, "soundex", (("exact", "clean", 1.0, {}), ("jaro_winkler", "clean", 0.7, {"threshold": 0.88}))),
-    "full_name": Family({"clean": "name_clean", "soundex": "soundex", "sorted": "sorted_name_tokens"}, "sorted", (("exact", "sorted", 1.0, {}), ("jaro_winkler", "clean", 0.8, {"threshold": 0.88}))),
+    "name": Family({"clean": "name_clean", "soundex": "soundex"}, "soundex", (("exact", "clean", 1.0, {}), ("jaro_winkler", "clean", 0.7, {"threshold": 0.88})), "name"),
+    "full_name": Family({"clean": "name_clean", "soundex": "soundex", "sorted": "sorted_name_tokens"}, "sorted", (("exact", "sorted", 1.0, {}), ("jaro_winkler", "clean", 0.8, {"threshold": 0.88})), "name"),
     "business": Family({"core": "business_core_name", "fp": "sorted_name_fingerprint"}, "fp", (("exact", "core", 1.0, {}), ("token_set_match", "core", 0.6, {}))),
-    "email": Family({"clean": "lower_trim", "domain": "email_domain", "local": "email_local_part"}, "clean", (("exact", "clean", 1.0, {}), ("exact", "domain", 0.1, {}))),
-    "phone": Family({"std": "phone_standardize", "last4": "phone_last_four"}, "std", (("exact", "std", 1.0, {}),)),
-    "address": Family({"std": "address_standardize", "number": "extract_street_number"}, "number", (("levenshtein", "std", 1.0, {"max_distance": 3}),)),
+    "email": Family({"clean": "lower_trim", "domain": "email_domain", "local": "email_local_part"}, "clean", (("exact", "clean", 1.0, {}), ("exact", "domain", 0.1, {})), "email"),
+    "phone": Family({"std": "phone_standardize", "last4": "phone_last_four"}, "std", (("exact", "std", 1.0, {}),), "phone"),
+    "address": Family({"std": "address_standardize", "number": "extract_street_number"}, "number", (("levenshtein", "std", 1.0, {"max_distance": 3}),), "address"),
     "place": Family({"clean": "name_clean"}, None, (("exact", "clean", 1.0, {}),)),
     "zip": Family({"zip5": "zip5", "zip3": "zip3"}, "zip5", (("exact", "zip5", 1.0, {}),)),
     "date": Family({"year": "year_of_date"}, "year", (("exact", "", 1.0, {}),)),
@@ -101,7 +103,11 @@ def detect_role(column: str) -> str | None:
 
 
 def features_for(column: str, role: str) -> list[Feature]:
-    return [Feature(f"{column}_{suffix}", f, (column,)) for suffix, f in FAMILIES[ROLES[role][0]].features.items()]
+    family, out, source = FAMILIES[ROLES[role][0]], [], column
+    if family.guard:
+        source = f"{column}_safe"
+        out = [Feature(f"{column}_is_placeholder", f"is_placeholder_{family.guard}", (column,)), Feature(source, f"nullify_placeholder_{family.guard}", (column,))]
+    return out + [Feature(f"{column}_{suffix}", f, (source,)) for suffix, f in family.features.items()]
 
 
 def blocking_key_for(column: str, role: str) -> str | None:
