@@ -5,8 +5,8 @@ ASCII white space, A-Z in lower case; fewer words make one shingle), as 64-bit h
 documents link when their sets' Jaccard similarity is at least 3/4.
 
 * Equal sets are one class, named by a 64-bit hash of the set; only classes are joined.
-* Shingles have a global order, by the count of the bucket that a shingle falls into (of 65,536
-  buckets, counted over all documents) and then by hash, so that rare shingles come first. Two
+* Shingles have a global order, by the count of the bucket that a shingle falls into (of
+  4,194,304, counted over all documents) and then by hash, so that rare shingles come first. Two
   sets that link share a shingle in their first n - ceil(3n/4) + 1 (the prefix): shingles in
   the prefixes of two classes or more name all candidates, whatever their number.
 * Candidates are joined in prefix trees. Classes of one home (their commonest shared prefix
@@ -15,8 +15,9 @@ documents link when their sets' Jaccard similarity is at least 3/4.
   by walking the tree: the overlap with a node's run is taken once for all sets below, and a
   subtree is left when its lengths can't reach the overlap that a link needs. Sets that already
   are in one component need no link.
-* Representatives of the blocks' components meet again; then all candidate pairs that still are
-  in different components are verified one by one, so that no link between components is lost.
+* While many candidate pairs still are in different components, their classes meet again in other
+  blocks, for a few turns; then all candidate pairs that still are in different components are
+  verified one by one, so that no link between components is lost.
 
 A group of near copies thus costs about one comparison a member, not one a pair, and no task
 gets an unbounded group: prefix shingles of common buckets are dealt by shingle and class.
@@ -37,15 +38,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, long_id, pick, real_id, stash, table
+from .common import NULL_ID, long_id, pick, real_id, release, small, stash, table
 from .components import components
 
 SIZE = 5
-BUCKETS = 1 << 16
+#: Buckets of shingles, and those in a segment, the unit in which their counts are added up.
+BUCKETS = 1 << 22
+SEGMENT = 1 << 12
 #: Classes in a block.
 BLOCK = 256
-#: A bucket is common from so many times the mean count.
-COMMON = 16
+#: Turns in which classes meet again, and pairs for a class that are few enough to be verified one by one.
+TURNS = 6
+FEW = 4
+#: A bucket is common if its count is over this, and over four times the mean.
+COMMON = 500
 MEMO = 500_000
 _MIX = np.random.default_rng(7).integers(1, 2**63, SIZE, dtype=np.uint64) | np.uint64(1)
 
@@ -54,7 +60,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
         return got
 
 
@@ -63,7 +69,7 @@ def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.array([hashes[w] for w in words], np.uint64)
+    hashed = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
     size = min(SIZE, len(words))
     n = len(words) - size + 1
     out = np.full(n, size, np.uint64)
@@ -143,8 +149,8 @@ class Tree:
             stack += [(c, overlap) for c in children]
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what the links among these sets connect."""
+def forest(sets: list[np.ndarray], comps: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the links among these sets connect, beyond the components given."""
     values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
@@ -152,7 +158,9 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     for s in sets:
         numbers.append(np.sort(rank[at[cut : cut + len(s)]]))
         cut += len(s)
-    tree, root, links = Tree(numbers), list(range(len(sets))), []
+    known: dict[int, int] = {}
+    root = [known.setdefault(c, i) for i, c in enumerate(comps)] if comps else list(range(len(sets)))
+    tree, links = Tree(numbers), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -172,31 +180,51 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, total = Hashes(), np.zeros(BUCKETS, np.int64)
-    names = ["doc_id", "n_shingles", "class", "bucket", "n"]
+    """Each document's set size and class; and in rows of their own, a task's bucket counts by segment."""
+    hashes, total = Hashes(), np.zeros(BUCKETS, np.uint32)
+    names = ["doc_id", "n_shingles", "class", "segment", "counts"]
     for batch in batches:
-        sizes, classes = [], []
+        sizes, classes, met = [], [], [np.zeros(0, np.uint64)]
         for text in batch.column("text").to_pylist():
             own = shingles(text, hashes)
-            total += np.bincount((own & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            met.append(own)
             sizes.append(len(own))
             classes.append(class_of(own))
-        none = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names)
-    at = np.flatnonzero(total)
+        total += np.bincount((np.concatenate(met) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        none = [pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *none], names)
+    rows = total.reshape(-1, SEGMENT)
+    at = np.flatnonzero(rows.any(1))
     none = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int64()), pa.array(total[at])], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at, pa.int32()), pa.array([rows[i].tobytes() for i in at], pa.binary())], names)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of all tasks, added up by segment as they stream by."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if i not in total:
+                total[i] = np.zeros(SEGMENT, np.uint64)
+            total[i] += np.frombuffer(raw, np.uint32)
+    values = [np.minimum(v, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(values, pa.binary())], ["segment", "counts"])
+
+
+def _weight(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, class, size, place, common, salt of every shingle in a prefix; a class once for each task."""
+    """token, class, and meta (size, place and salt, packed) of every shingle in a prefix; a class
+    once for each batch. The salt deals shingles of common buckets to many tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
-    limit = COMMON * max(1.0, float(counts.mean()))
+    limit = max(COMMON, 4 * float(counts.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes = shared.value, Hashes()
         for batch in batches:
-            seen, cols = set(), [[] for _ in range(5)]
+            seen, tokens, classes, metas = set(), [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, hashes)
                 name = class_of(own)
@@ -205,60 +233,78 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 seen.add(name)
                 n = len(own)
                 p = n - -(-3 * n // 4) + 1
-                weight = counts[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.lexsort((own, weight))[:p]
-                for col, x in zip(cols, (own[first].view(np.int64), np.full(p, name), np.full(p, n), np.arange(p), weight[first]), strict=True):
-                    col.append(x)
-            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            common = flat[4] > limit
-            salt = np.where(common, flat[1] & 1023, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int32)), pa.array(flat[4]), pa.array(common), pa.array(salt.astype(np.int32))], ["token", "class", "size", "place", "weight", "common", "salt"])
+                weight = _weight(own, counts)
+                first = np.argsort((weight.astype(np.uint64) << np.uint64(32)) | (own >> np.uint64(32)), kind="stable")[:p]
+                salt = np.where(weight[first] > limit, 1 + name % 1023, 0)
+                tokens.append(own[first].view(np.int64))
+                classes.append(np.full(p, name))
+                metas.append((n << 36) | (np.arange(p) << 10) | salt)
+            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (tokens, classes, metas)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["token", "class", "meta"])
 
-    return docs.select("text").mapInArrow(run, "token long, class long, size int, place int, weight long, common boolean, salt int")
+    return docs.select("text").mapInArrow(run, "token long, class long, meta long")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings whose token another class may have too, each once. Those of common buckets all stay."""
+def _shared(postings: DataFrame, counts: np.ndarray) -> DataFrame:
+    """token, class, size, place, weight of postings whose token another class has that is near
+    enough in size for a link, each once. Those of common buckets, which are dealt by class, all stay."""
+    shared = postings.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-
-        def kept(frame: pd.DataFrame) -> pa.RecordBatch:
-            frame = frame.drop_duplicates(["token", "class"])
-            many = frame["common"] | frame.duplicated("token", keep=False)
-            return pa.RecordBatch.from_pandas(frame[many][["token", "class", "size", "place", "weight"]], schema, preserve_index=False)
-
-        schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("weight", pa.int64())])
+        schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("weight", pa.int64())])
+
+        def kept(token: np.ndarray, name: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+            edge = np.r_[False, token[1:] == token[:-1], False]
+            some = edge[1:] | edge[:-1] | (meta & 1023 > 0)
+            token, name, meta = token[some], name[some], meta[some]
+            size = meta >> 36
+            order = np.lexsort((name, size, token))
+            token, name, meta, size = token[order], name[order], meta[order], size[order]
+            first = np.r_[True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])][: len(token)]
+            token, name, meta, size = token[first], name[first], meta[first], size[first]
+            # In order of size, a partner near enough is next to a set if there is one.
+            near = (token[1:] == token[:-1]) & (4 * size[:-1] >= 3 * size[1:])
+            stays = np.r_[False, near][: len(token)] | np.r_[near, False][: len(token)] | (meta & 1023 > 0)
+            token, name, meta, size = token[stays], name[stays], meta[stays], size[stays]
+            cols = [token, name, size, (meta >> 10) & ((1 << 26) - 1), _weight(token.view(np.uint64), shared.value)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], schema=schema)
+
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            frame = batch.to_pandas()
-            if not len(frame):
+            if not batch.num_rows:
                 continue
-            held.append(frame)
-            last = frame["token"].iloc[-1]
-            if frame["token"].iloc[0] == last:
+            cols = [batch.column(c).to_numpy() for c in ("token", "class", "meta")]
+            held.append(cols)
+            last = cols[0][-1]
+            if cols[0][0] == last:
                 continue
-            frame = pd.concat(held)
-            open_ = frame["token"] == last
-            yield kept(frame[~open_])
-            held = [frame[open_]]
+            token, name, meta = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(token, last))
+            yield kept(token[:cut], name[:cut], meta[:cut])
+            held = [[token[cut:], name[cut:], meta[cut:]]]
         if held:
-            yield kept(pd.concat(held))
+            yield kept(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    dealt = postings.repartition("token", "salt").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "token long, class long, size int, place int, weight long")
+    dealt = postings.repartition("token", F.expr("meta & 1023")).sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "token long, class long, size long, place long, weight long")
 
 
-def _blocks_joined(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links within the blocks of members (home, class), at most about BLOCK a block."""
+def _dealt(members: DataFrame, turn: int = 0) -> DataFrame:
+    """members (home, class, ...) that share a home, with part: parts have about BLOCK members at
+    most, other ones in each turn."""
     sizes = members.groupBy("home").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
-    dealt = members.join(sizes, "home").select("home", "class", F.pmod(F.xxhash64("class"), parts).alias("part")).join(sets, "class")
+    return members.join(sizes, "home").select(*members.columns, F.pmod(F.xxhash64("class", F.lit(turn)), parts).alias("part"))
+
+
+def _blocks_joined(dealt: DataFrame) -> DataFrame:
+    """a, b: links within the blocks of home, part, class, set, and comp if it is there."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("class").sort_values("class")
         own = [np.frombuffer(s, np.uint64) for s in frame["set"]]
         names = frame["class"].tolist()
-        links = forest(own) if len(own) > 1 else []
+        links = forest(own, frame["comp"].tolist() if "comp" in frame else None) if len(own) > 1 else []
         return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype="int64")
 
     return dealt.groupBy("home", "part").applyInPandas(run, "a long, b long")
@@ -270,6 +316,20 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
 
 
+def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, class, comp, size, place of the postings whose token has classes of several components."""
+    rows = shared.join(comps, "class").select("token", "class", "comp", "size", "place")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return rows.join(mixed, "token")
+
+
+def _extent(open_: DataFrame) -> tuple[int, int]:
+    """Classes, and pairs of classes in different components, counted once for each shared token."""
+    per = open_.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
+    return open_.select("class").distinct().count(), int(pairs or 0)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
@@ -285,39 +345,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = pick(docs, "doc_id", "text").select(long_id().alias("doc_id"), "text")
-    read = stash(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long, bucket long, n long"))
-    rows = read.where("bucket IS NULL").select("doc_id", "n_shingles", "class")
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
-        counts[r.bucket] = r.n
-    shared = stash(_shared(_postings(docs, counts)))
+    read = stash(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long, segment int, counts binary"))
+    rows = read.where("segment IS NULL").select("doc_id", "n_shingles", "class")
+    counts = np.zeros((BUCKETS // SEGMENT, SEGMENT), np.uint32)
+    added = read.where("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(_added, "segment int, counts binary")
+    for r in added.collect():  # BUCKETS numbers at most
+        counts[r.segment] = np.frombuffer(r.counts, np.uint32)
+    counts = counts.ravel()
+    shared = stash(_shared(_postings(docs, counts), counts))
     # Each class that shares something, with its home; its set from the smallest document.
     active = stash(shared.groupBy("class").agg(F.max_by("token", F.struct("weight", "token")).alias("home")))
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(active, "class", "left_semi")
+    release(docs.sparkSession)
+    wanted = active.join(_dealt(active).select("class", "part"), "class", "left").join(first, "class").withColumnRenamed("class", "wanted")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             own = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, own), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "set"])
-
-    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets_of, "class long, set binary")
-    # Rows of one id may have other sets too.
-    sets = stash(sets.join(active.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-    links = stash(_blocks_joined(active, sets))
-    labelled = _labelled(active, links)
-    again = stash(_blocks_joined(labelled.groupBy("home", "comp").agg(F.min("class").alias("class")), sets))
-    links = links.union(again)
-    comps = stash(_labelled(active.select("class"), links))
-    # What prefix shingles still connect across components.
-    open_ = shared.join(comps, "class")
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_ = stash(open_.join(mixed, "token").select("token", "class", "comp", "size", "place"))
+            got = pa.RecordBatch.from_arrays([batch.column("wanted"), batch.column("home"), batch.column("part"), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "home", "part", "set"])
+            # Rows of one id may have other sets too.
+            yield got.filter(pa.array([class_of(s) == w for s, w in zip(own, batch.column("wanted").to_pylist(), strict=True)], pa.bool_()))
+
+    sets = stash(docs.join(wanted, "doc_id").select("text", "wanted", "home", "part").mapInArrow(sets_of, "class long, home long, part long, set binary"))
+    release(docs.sparkSession)
+    links = stash(_blocks_joined(sets.where("part IS NOT NULL")))
+    sets = sets.select("class", "set")
+    release(docs.sparkSession)
+    # While meeting again, by other shingles and in other blocks, still links a good part of the
+    # classes whose shingles connect components, they do; most pairs are then in one component.
+    found = 2**62
+    for turn in range(1, TURNS + 2):
+        comps = stash(_labelled(active.select("class"), links))
+        open_ = stash(_open(shared, comps))
+        n, pairs_at_most = _extent(open_)
+        if turn > TURNS or pairs_at_most <= FEW * n or 50 * found < n:
+            break
+        homes = open_.groupBy("class").agg(F.max_by("token", F.xxhash64("token", F.lit(turn))).alias("home"), F.min("comp").alias("comp"))
+        again = stash(_blocks_joined(sets.join(small(stash(_dealt(homes, turn))), "class")))
+        found = again.count()
+        links = stash(links.union(again))
+        release(docs.sparkSession)
     a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "comp", "size", "place"))) for x in "ab")
     near = a.join(b, "token").where("comp_a < comp_b AND 4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b) AND 7 * (1 + least(size_a - place_a, size_b - place_b) - 1) >= 3 * (size_a + size_b)")
-    pairs = near.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).dropDuplicates()
-    links = stash(links.union(_verified(pairs, sets)))
+    pairs = stash(near.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).dropDuplicates())
+    if not pairs.isEmpty():
+        links = stash(links.union(_verified(small(pairs), sets)))
     final = _labelled(first, links)
     ids = final.join(final.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("class", "component_id")
     joined = rows.join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -131,6 +131,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.groupBy(*KEY, "k1", "k2").agg(F.count("*").alias("spans"), F.min(F.struct("doc_id", "tie", "start", "n", "lead", "lo")).alias("one"))
     classes = stash(classes)
     groups = classes.groupBy(*KEY).agg(F.count("*").alias("size"), F.count_if(F.col("spans") == 1).alias("soles")).where("size > 1 AND soles > 0")
+    groups = stash(groups)
     again = classes.where("spans > 1").select(*KEY, "k1", "k2")
     whole = rows.join(again, [*KEY, "k1", "k2"]).select("doc_id", "tie", "start", "n")
     open_ = classes.join(groups, KEY).select(*KEY, "size", (F.col("spans") == 1).alias("sole"), "one.*")
@@ -232,8 +233,9 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, tie, start, n: n windows from start on are repeated. docs as of _keyed."""
-    anchored = _anchored(docs)
-    often = anchored.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    anchored = stash(_anchored(docs))
+    # A stored table, so that the join deals its rows anew and Spark can split a hash that is everywhere.
+    often = stash(anchored.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     live = anchored.join(often, "h").select("doc_id", "tie", F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "start", "n", "lead", F.lit(0).alias("lo"), "k1", "k2")
     live = stash(live)
     release(docs.sparkSession)
