@@ -50,7 +50,7 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, a stored table, marked for broadcast if it has no more than so many rows, and left for
     Spark to join as it sees fit beyond."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -30,6 +30,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,37 +48,76 @@ BUCKETS = 1 << 22
 SEGMENT = 1 << 12
 #: Classes in a block.
 BLOCK = 256
-#: Turns in which classes meet again, and pairs for a class that are few enough to be verified one by one.
+#: Turns in which classes of crowded shingles meet again, and the pairs that make a shingle crowded.
 TURNS = 6
-FEW = 4
+MANY = 300
 #: A bucket is common if its count is over this, and over four times the mean.
 COMMON = 500
-MEMO = 500_000
 _MIX = np.random.default_rng(7).integers(1, 2**63, SIZE, dtype=np.uint64) | np.uint64(1)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        got = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
-        return got
-
-
-def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
+_BYTE = np.random.default_rng(13).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x2545F4914F6CDD1D
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text that are hashed together, but for a word that is longer.
+CHUNK = 1 << 20
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n - 1."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The hash of every word: the sum of a random number for each byte times the base to the
+    power of its place in the word, all words at once from running sums."""
+    if len(raw) > CHUNK:
+        out, at = [], 0
+        while at < len(raw):
+            end = at + CHUNK
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+            out.append(_word_hashes(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _word_hashes(raw)
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    n = len(raw)
+    up, down = _powers(max(CHUNK, 1 << (n - 1).bit_length()) + 1)
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(n + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def shingles(text: str | None) -> np.ndarray:
     """The set of a text: sorted distinct hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    hashed = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else ()
+    if not len(hashed):
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
-    size = min(SIZE, len(words))
-    n = len(words) - size + 1
+    hashed ^= hashed >> np.uint64(32)
+    size = min(SIZE, len(hashed))
+    n = len(hashed) - size + 1
     out = np.full(n, size, np.uint64)
     for k in range(size):
         out += hashed[k : k + n] * _MIX[k]
     out ^= out >> np.uint64(31)
     out *= np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(out ^ (out >> np.uint64(29)))
+    out ^= out >> np.uint64(29)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def class_of(own: np.ndarray) -> int | None:
@@ -150,7 +190,8 @@ class Tree:
 
 
 def forest(sets: list[np.ndarray], comps: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the links among these sets connect, beyond the components given."""
+    """What the links among these sets connect, beyond the components given: pairs of a set and the
+    first one of its component, so that paths are short."""
     values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
@@ -160,7 +201,7 @@ def forest(sets: list[np.ndarray], comps: list[int] | None = None) -> list[tuple
         cut += len(s)
     known: dict[int, int] = {}
     root = [known.setdefault(c, i) for i, c in enumerate(comps)] if comps else list(range(len(sets)))
-    tree, links = Tree(numbers), []
+    tree, before = Tree(numbers), root[:]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -174,19 +215,18 @@ def forest(sets: list[np.ndarray], comps: list[int] | None = None) -> list[tuple
         for j in tree.partners(mask, len(own)):
             if i != j and (a := find(i)) != (b := find(j)):
                 root[max(a, b)] = min(a, b)
-                links.append((i, j))
         mask[own] = False
-    return links
+    return [(i, find(i)) for i, r in enumerate(before) if r == i and find(i) != i]
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set size and class; and in rows of their own, a task's bucket counts by segment."""
-    hashes, total = Hashes(), np.zeros(BUCKETS, np.uint32)
+    total = np.zeros(BUCKETS, np.uint32)
     names = ["doc_id", "n_shingles", "class", "segment", "counts"]
     for batch in batches:
         sizes, classes, met = [], [], [np.zeros(0, np.uint64)]
         for text in batch.column("text").to_pylist():
-            own = shingles(text, hashes)
+            own = shingles(text)
             met.append(own)
             sizes.append(len(own))
             classes.append(class_of(own))
@@ -222,11 +262,11 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     limit = max(COMMON, 4 * float(counts.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = shared.value, Hashes()
+        counts = shared.value
         for batch in batches:
             seen, tokens, classes, metas = set(), [], [], []
             for text in batch.column("text").to_pylist():
-                own = shingles(text, hashes)
+                own = shingles(text)
                 name = class_of(own)
                 if name is None or name in seen:
                     continue
@@ -317,17 +357,20 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, class, comp, size, place of the postings whose token has classes of several components."""
-    rows = shared.join(comps, "class").select("token", "class", "comp", "size", "place")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return rows.join(mixed, "token")
+    """key, token, class, comp, size, place of the postings whose key has classes of several
+    components. key stands for a shingle and one of two ranges of sizes that a class is in: any two
+    sizes that a link allows are in one range at least."""
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1.35)))
+    key = F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1)))
+    rows = shared.join(comps, "class").select(key.alias("key"), "token", "class", "comp", "size", "place")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return rows.join(mixed, "key")
 
 
-def _extent(open_: DataFrame) -> tuple[int, int]:
-    """Classes, and pairs of classes in different components, counted once for each shared token."""
-    per = open_.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    pairs = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-    return open_.select("class").distinct().count(), int(pairs or 0)
+def _crowded(open_: DataFrame) -> DataFrame:
+    """key, class, comp of keys with many pairs of classes in different components."""
+    per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return open_.join(per.where((F.col("n") * F.col("n") - F.col("own")) / 2 > MANY).select("key"), "key").select("key", "class", "comp")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -360,9 +403,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     wanted = active.join(_dealt(active).select("class", "part"), "class", "left").join(first, "class").withColumnRenamed("class", "wanted")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            own = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+            own = [shingles(t) for t in batch.column("text").to_pylist()]
             got = pa.RecordBatch.from_arrays([batch.column("wanted"), batch.column("home"), batch.column("part"), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "home", "part", "set"])
             # Rows of one id may have other sets too.
             yield got.filter(pa.array([class_of(s) == w for s, w in zip(own, batch.column("wanted").to_pylist(), strict=True)], pa.bool_()))
@@ -372,22 +414,27 @@ def join_components(docs: DataFrame) -> DataFrame:
     links = stash(_blocks_joined(sets.where("part IS NOT NULL")))
     sets = sets.select("class", "set")
     release(docs.sparkSession)
-    # While meeting again, by other shingles and in other blocks, still links a good part of the
-    # classes whose shingles connect components, they do; most pairs are then in one component.
-    found = 2**62
-    for turn in range(1, TURNS + 2):
+    # Crowded shingles still have many pairs in different components: while meeting again, by other
+    # shingles and in other blocks, links a good part of their classes, they do.
+    for turn in range(1, TURNS + 1):
         comps = stash(_labelled(active.select("class"), links))
         open_ = stash(_open(shared, comps))
-        n, pairs_at_most = _extent(open_)
-        if turn > TURNS or pairs_at_most <= FEW * n or 50 * found < n:
+        homes = _crowded(open_).groupBy("class").agg(F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("home"), F.min("comp").alias("comp"))
+        dealt = stash(_dealt(homes, turn))
+        n = dealt.count()
+        if not n:
             break
-        homes = open_.groupBy("class").agg(F.max_by("token", F.xxhash64("token", F.lit(turn))).alias("home"), F.min("comp").alias("comp"))
-        again = stash(_blocks_joined(sets.join(small(stash(_dealt(homes, turn))), "class")))
+        again = stash(_blocks_joined(sets.join(small(dealt), "class")))
         found = again.count()
         links = stash(links.union(again))
         release(docs.sparkSession)
-    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "comp", "size", "place"))) for x in "ab")
-    near = a.join(b, "token").where("comp_a < comp_b AND 4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b) AND 7 * (1 + least(size_a - place_a, size_b - place_b) - 1) >= 3 * (size_a + size_b)")
+        if 50 * found < n:
+            comps = stash(_labelled(active.select("class"), links))
+            open_ = stash(_open(shared, comps))
+            break
+    left = open_.select("token", "class", "comp", "size", "place").dropDuplicates()
+    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "comp", "size", "place"))) for x in "ab")
+    near = a.join(b, "token").where("comp_a < comp_b AND 4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b) AND 7 * least(size_a - place_a, size_b - place_b) >= 3 * (size_a + size_b)")
     pairs = stash(near.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).dropDuplicates())
     if not pairs.isEmpty():
         links = stash(links.union(_verified(small(pairs), sets)))
