@@ -320,6 +320,16 @@ def test_jaccard_join_is_brute_force(spark, odd, monkeypatch):
     assert jaccard.join_components(empty(spark)).count() == 0 and jaccard.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_keeps_texts_that_link_with_nothing(spark):
+    a, b, c, d, e = (" ".join(words(60, 700 + k)) for k in range(5))
+    near = b.split()
+    near[50] = "changed"
+    rows = [(None, a), (None, b), (None, " ".join(near)), (None, b), (7, c), (7, d), (7, d), (8, c), (9, e), (None, e), (None, None), (None, ""), (7, " ")]
+    got = collections.Counter(jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    either = got.pop((None, b), 0) + got.pop((None, " ".join(near)), 0)
+    assert either == 1 and got == collections.Counter([(None, a), (7, c), (7, d), (9, e), (None, None), (None, ""), (7, " ")])
+
+
 def test_tree_finds_all_partners():
     rng = random.Random(4)
     sets = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 40)))) for _ in range(80)] + [np.arange(20)] * 3

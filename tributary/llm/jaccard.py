@@ -385,8 +385,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, class of every row of docs (doc_id, text); class, doc_id (the smallest)
+    and comp of every class. Null ids are NULL_ID."""
     docs = pick(docs, "doc_id", "text").select(long_id().alias("doc_id"), "text")
     read = stash(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long, segment int, counts binary"))
     rows = read.where("segment IS NULL").select("doc_id", "n_shingles", "class")
@@ -438,23 +439,45 @@ def join_components(docs: DataFrame) -> DataFrame:
     pairs = stash(near.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).dropDuplicates())
     if not pairs.isEmpty():
         links = stash(links.union(_verified(small(pairs), sets)))
-    final = _labelled(first, links)
+    return rows, _labelled(first, links)
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    rows, final = _joined(docs)
     ids = final.join(final.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("class", "component_id")
     joined = rows.join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return joined.withColumns({"doc_id": real_id("doc_id"), "component_id": real_id("component_id")})
 
 
+def _with_class(docs: DataFrame, text: str) -> DataFrame:
+    """docs, whose names are distinct, with the class of the column text as _class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([class_of(shingles(t)) for t in batch.column(text).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "_class"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{names}, _class long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all columns; of rows with
-    one id, one. Rows without an id stay where no other document is in their component."""
-    found = join_components(docs).where("doc_id IS NULL OR doc_id = component_id")
-    ids = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("component_id").alias("_c")).where(f"_id != {NULL_ID} OR _c IS NULL").select("_id").dropDuplicates()
+    """The rows of docs with all columns, one of each component: one with the smallest id, and of
+    its classes with that id the smallest. A row goes only if its own text is in the component of
+    one that stays, whatever its id: rows that share or lack an id stay if their texts don't link,
+    and so do all rows with empty sets."""
+    rows, classes = _joined(docs)
+    first = classes.groupBy("comp").agg(F.min(F.struct("doc_id", "class")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.class").alias("_own"))
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own = F.coalesce(flat[f"c{docs.columns.index('doc_id')}"].cast("long"), F.lit(NULL_ID))
-    kept = flat.join(ids, own == ids["_id"], "left_semi")
-    if pick(docs, "doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([f"c{docs.columns.index('doc_id')}"])
-    return kept.toDF(*docs.columns)
+    if not pick(docs, "doc_id").select(long_id()).toDF("id").groupBy("id").count().where("count > 1").limit(1).count():
+        ids = first.select("_id").union(rows.where("class IS NULL").select("doc_id"))
+        return flat.join(ids, own == ids["_id"], "left_semi").toDF(*docs.columns)
+    # Ids don't name rows here: their classes do.
+    named = _with_class(flat.withColumn("_doc", own), f"c{docs.columns.index('text')}")
+    kept = named.where("_class IS NOT NULL").join(first, (F.col("_doc") == F.col("_id")) & (F.col("_class") == F.col("_own")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_class"]).union(named.where("_class IS NULL")).select(*flat.columns).toDF(*docs.columns)
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
