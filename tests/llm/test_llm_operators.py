@@ -81,6 +81,18 @@ def test_quality_thresholds_follow_the_group(spark):
     assert got[100] and got[0] and not got[300]
 
 
+def test_quality_has_fences_beyond_the_fixed_bins(spark):
+    text = lambda i, n: " ".join(w + "#" * n for w in words(50, i))
+    rows = [(i, text(i, i % 2), "en", "mixed", 0) for i in range(80)] + [(200, text(200, 50), "en", "mixed", 0), (201, text(201, 6), "en", "mixed", 0)]
+    rules = quality.QualityRules(metrics=quality.QualityRules().metrics[:1])
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, DOCS), rules).collect()}
+    assert not got.pop(200) and all(got.values())
+    values = [*range(8100), *(k * 2**j + d for j in range(8, 40) for k in (4, 7, 1000) for d in (-1, 0, 1))]
+    low, width = quality.bin_edge(F.expr(quality.bin_sql("v", rules)), rules)
+    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", low.alias("low"), width.alias("width"), F.expr(quality.bin_sql("v", rules)).alias("bin")).collect():
+        assert r.low <= r.v < r.low + r.width and (r.width == 5 and r.bin == r.v // 5 if r.v < 8000 else r.width * 800 <= r.v)
+
+
 def test_quality_sketches_merge(spark, odd):
     rules = quality.QualityRules()
     counted = quality.measure(pick(odd[0], "doc_id", "text", "lang", "source"))

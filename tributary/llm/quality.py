@@ -2,7 +2,8 @@
 
 Every document gets a few counts. Documents that fail two fixed base rules are out. From the
 others, a quantile sketch is built for each (language, source) and metric: counts of
-fixed-width integer bins. Two sketches merge by adding counts, so partial aggregation builds
+integer bins, of fixed width up to `top`, and beyond it of a width that doubles whenever the value
+does, so that a bin's relative width is bounded and no value is clipped. Two sketches merge by adding counts, so partial aggregation builds
 them before any shuffle, and groups too small for an own threshold use the merged sketch of
 their language, or of all documents. The fences that follow from the quartiles are joined back
 to the documents by (language, source), nulls being equal.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, stash, table
@@ -120,10 +121,26 @@ def base_failed(rules: QualityRules):
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
+def bin_sql(value: str, rules: QualityRules) -> str:
+    """The bin of a value: value div bin_width below 2 * top; in the k-th doubling of top, bins are
+    bin_width * 2^k wide."""
+    per = rules.top // rules.bin_width
+    k = f"(length(bin(({value}) div {per * rules.bin_width})) - 1)"
+    return f"{per} * {k} + ({value}) div shiftleft({rules.bin_width}L, {k})"
+
+
+def bin_edge(bin: Column, rules: QualityRules) -> tuple[Column, Column]:
+    """The least value of a bin, and its width."""
+    per = rules.top // rules.bin_width
+    k = F.greatest(F.floor(bin / per).cast("int") - 1, F.lit(0))
+    width = F.call_function("shiftleft", F.lit(rules.bin_width).cast("long"), k)
+    return (bin - per * k) * width, width
+
+
 def sketches(counted: DataFrame, rules: QualityRules) -> DataFrame:
     """lang, source, metric, bin, n: the sketch of each group."""
     good = counted.where(~base_failed(rules))
-    bins = F.array(*(F.struct(F.lit(m.name).alias("metric"), F.expr(f"least({m.sql}, {rules.top}) div {rules.bin_width}").alias("bin")) for m in rules.metrics))
+    bins = F.array(*(F.struct(F.lit(m.name).alias("metric"), F.expr(bin_sql(m.sql, rules)).alias("bin")) for m in rules.metrics))
     return good.select("lang", "source", F.explode(bins).alias("b")).groupBy("lang", "source", "b.metric", "b.bin").agg(F.count("*").alias("n"))
 
 
@@ -146,12 +163,13 @@ def thresholds(sketch: DataFrame, rules: QualityRules) -> DataFrame:
     every = quartiles(merged(sketch)).select(F.col("metric").alias("metric3"), *(F.col(c).alias(f"{c}_all") for c in ("q1", "q3")))
     joined = own.join(lang, own.lang.eqNullSafe(lang.lang2) & (own.metric == lang.metric2), "left").join(every, own.metric == every.metric3, "left")
     level = lambda c: F.when(F.col("docs") >= rules.min_group, F.col(c)).when(F.col("docs_lang") >= rules.min_group, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all"))
-    at = joined.select("lang", "source", "metric", (level("q1") * rules.bin_width).alias("q1"), (level("q3") * rules.bin_width).alias("q3"))
+    (q1, _), (q3, last) = (bin_edge(level(q), rules) for q in ("q1", "q3"))
+    at = joined.select("lang", "source", "metric", q1.alias("q1"), q3.alias("q3"), last.alias("last"))
     fences = []
     for m in rules.metrics:
         width = F.greatest(F.lit(m.slack), m.reach * (F.col("q3") - F.col("q1")))
         mine = F.col("metric") == m.name
-        fences += [F.max(F.when(mine, F.col("q3") + rules.bin_width + width)).alias(f"hi_{m.name}"), F.max(F.when(mine, F.col("q1") - width)).alias(f"lo_{m.name}")]
+        fences += [F.max(F.when(mine, F.col("q3") + F.col("last") + width)).alias(f"hi_{m.name}"), F.max(F.when(mine, F.col("q1") - width)).alias(f"lo_{m.name}")]
     return at.groupBy("lang", "source").agg(*fences)
 
 
@@ -161,7 +179,7 @@ def judge(counted: DataFrame, limits: DataFrame, rules: QualityRules) -> DataFra
     joined = counted.join(limits, counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"]), "left")
     good = ~F.col("base_failed")
     for m in rules.metrics:
-        value = F.expr(f"least({m.sql}, {rules.top})")
+        value = F.expr(m.sql)
         good &= F.when(F.col("base_failed"), False).otherwise(value <= F.col(f"hi_{m.name}"))
         if m.low:
             good &= F.when(F.col("base_failed"), False).otherwise(value >= F.col(f"lo_{m.name}"))
