@@ -444,6 +444,22 @@ def test_main_text(page, want):
     assert html.extract(page) == want
 
 
+LONG = "<p>A long text, with words, and more of it, in a row.</p>"
+MARKED = [
+    (f"<div class='flex overflow-hidden'><article>{LONG}</article></div>", 1, []), (f"<div class='layout has-sidebar'>{LONG * 3}</div>", 3, []),
+    (f"<div class='no-sidebar'><article>{LONG}</article></div><div class=sidebar>{LONG}</div>", 1, []), (f"<main><div class=sidebar><article>{LONG}</article></div></main>", 1, []),
+    (f"<article>{LONG * 2}<section id='discussion'><h2>D</h2>{LONG}</section><section id='related-work'>{LONG}</section></article>", 4, ["D"]),
+    (f"<article><h1 class='article-header'>T</h1>{LONG}<h2 id='discussion'>D</h2>{LONG}</article>", 2, ["T", "D"]), (f"<article><div class='banner'>{LONG}</div></article>", 1, []),
+    (f"<article>{LONG}<div class=comments>{LONG * 5}</div><div class=related-box><ul><li><a href=x>link text</a></ul></div></article>", 1, []),
+]
+
+
+@pytest.mark.parametrize("page, n, rest", MARKED)
+def test_words_of_a_class_cut_no_article(page, n, rest):
+    got = html.extract(page).split("\n\n")
+    assert sum(x.startswith("A long") for x in got) == n and [x for x in got if not x.startswith("A long")] == rest
+
+
 def test_pages_of_the_table_give_their_article(spark, sf_dir):
     import html as entities
     import re

@@ -1,10 +1,13 @@
 """Main-text extraction by tag-path ratios.
 
 A page is cut into blocks, each with its root-to-leaf tag path (tags with their class). What
-markup itself names as something else than the article (navigation, footers, forms, adverts,
-notices, comments, scripts ...) is left out. For each path, text length without links and
-punctuation are taken per block; both ratios are smoothed along the page, averaged by path and
-fused; paths at a good part of the best fused value are content paths. The content element is
+tags, roles and hiding attributes name as something else than the article (navigation, footers,
+forms, scripts ...) is left out, and so are elements with a whole class or id of known boilerplate
+(adverts, cookie notices, comments ...), unless they hold the article or most of the page. For
+each path, text length without links and punctuation are taken per block; both ratios are
+smoothed along the page, averaged by path and fused; paths at a good part of the best fused value are content paths. An element
+whose class or id only holds a word of boilerplate goes if most of its text is off these paths.
+The content element is
 the `article` or `main` element, or else the innermost element, that holds most of the content
 paths' text, and all its remaining blocks are the main text: headings and short paragraphs in
 the article stay, whatever their ratio. Where no element stands out, the content paths' blocks
@@ -47,6 +50,19 @@ OUT_WORDS = frozenset(
     "share sharing social comment comments commentlist discussion disqus replies reply respond reader-comments "
     "widget search form copyright legal disclaimer skip hidden".split()
 )
+#: Of these, the words that articles also use for their own parts; like words that only are part of a
+#: class or id ('has-sidebar'), they cut nothing unless the path ratios agree.
+DOUBTFUL = frozenset(
+    "header footer aside rail related recommended recommendations notice notices alert legal disclaimer copyright discussion reply replies respond "
+    "social share sharing search form widget overlay hidden skip promotion sponsor banner menu subscription comment login signup consent".split()
+)
+#: Compounds that name boilerplate as surely as the other words.
+KNOWN = (OUT_WORDS - DOUBTFUL) | frozenset(
+    "ad-box ad-container ad-slot ad-wrapper site-header site-footer site-nav page-header page-footer main-nav main-menu nav-bar nav-menu side-bar cookie-banner cookie-notice cookie-consent "
+    "related-posts related-articles share-buttons social-share sharing-buttons comment-list comments-area comments-section newsletter-signup reader-comments".split()
+)
+COMMENTS = frozenset("comment comments commentlist comment-list comments-area comments-section reader-comments disqus reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 THRESHOLD, SHARE = 0.25, 0.6
@@ -55,12 +71,13 @@ DEPTH = 512
 
 
 class Node:
-    """An element; path is the number of its tag path, given out by `paths`, which a page's nodes share."""
+    """An element; path is the number of its tag path, given out by `paths`, which a page's nodes share.
+    word: what its class or id says: "" nothing, "known" or "doubtful" boilerplate, "comments"."""
 
-    __slots__ = ("tag", "parent", "paths", "path", "depth", "out", "weight")
+    __slots__ = ("tag", "parent", "paths", "path", "depth", "out", "word", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, out: bool) -> None:
-        self.tag, self.parent, self.weight = tag, parent, 0.0
+    def __init__(self, tag: str, parent: Node | None, label: str, out: bool, word: str = "") -> None:
+        self.tag, self.parent, self.word, self.weight = tag, parent, word, 0.0
         self.paths: dict[tuple[int, str], int] = parent.paths if parent else {}
         self.path = self.paths.setdefault((parent.path if parent else -1, label), len(self.paths))
         self.depth = parent.depth + 1 if parent else 0
@@ -72,7 +89,7 @@ def _names(value: str) -> set[str]:
 
 
 def _opened(tag: str, attributes: str, parent: Node) -> Node:
-    label, out = tag, tag in OUT_TAGS
+    label, out, word = tag, tag in OUT_TAGS, ""
     if attributes and not attributes.isspace():
         got = {}
         for name, *values in ATTRIBUTE.findall(attributes):
@@ -82,14 +99,21 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
         style = got.get("style", "").replace(" ", "").lower()
         out = out or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         out = out or got.get("role", "").lower() in OUT_ROLES
-        if tag not in ("html", "body", "article", "main") or "comment" in got.get("class", "").lower():
-            out = out or bool((_names(got.get("class", "")) | _names(got.get("id", ""))) & OUT_WORDS)
+        if tag not in ("html", "body", "main") and tag not in HEADINGS:
+            tokens = {*got.get("class", "").lower().split(), *got.get("id", "").lower().split()}
+            names = _names(got.get("class", "")) | _names(got.get("id", ""))
+            if tag == "article":
+                word = "comments" if tokens & COMMENTS else ""
+            elif tokens & KNOWN:
+                word = "comments" if tokens & COMMENTS else "known"
+            elif names & OUT_WORDS:
+                word = "doubtful"
     if tag == "header":
         up: Node | None = parent
         while up and up.tag not in ("article", "main"):
             up = up.parent
         out = out or up is None
-    return Node(tag, parent, label, out)
+    return Node(tag, parent, label, out, word)
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
@@ -155,7 +179,7 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
-            if m[3] and _opened(tag, m[3], stack[-1]).out and not stack[-1].out:
+            if m[3] and not stack[-1].out and ((mark := _opened(tag, m[3], stack[-1])).out or mark.word in ("known", "comments")):
                 # A hidden or boilerplate inline element: what it holds is skipped as far as it closes.
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end and "<" not in page[at : end.start()]:
@@ -213,26 +237,75 @@ def path_values(blocks: list[tuple[Node, str, int]]) -> dict[int, float]:
 
 def extract(page: str | None) -> str:
     blocks = blocks_of(page) if page else []
-    if blocks := [b for b in blocks if not b[0].out]:
-        values = path_values(blocks)
-        limit = THRESHOLD * max(values.values())
-        content = {path for path, v in values.items() if v >= limit}
-        blocks = _within(blocks, content)
+    if blocks := _unnamed([b for b in blocks if not b[0].out]):
+        blocks = _undoubted(blocks)
+        blocks = _within(blocks, _content(blocks))
     return "\n\n".join(text for _, text, _ in blocks)
 
 
-def _within(blocks: list[tuple[Node, str, int]], content: set[int]) -> list[tuple[Node, str, int]]:
-    whole, order, seen = 0.0, [], set()
+def _in(node: Node, nodes: set[Node]) -> bool:
+    return node in nodes or any(n in nodes for n in _above(node))
+
+
+def _weighed(blocks: list[tuple[Node, str, int]], content: set[int] | None = None) -> tuple[float, list[Node]]:
+    """The text without links of all blocks (of these paths), and all elements with theirs as weight."""
+    whole, order = 0.0, {}
     for node, text, linked in blocks:
-        weight = float(len(text) - linked) * (node.path in content)
+        weight = float(len(text) - linked) * (content is None or node.path in content)
         whole += weight
-        up: Node | None = node
-        while up:
-            if up not in seen:
-                seen.add(up)
-                order.append(up)
+        for up in (node, *_above(node)):
+            if up not in order:
+                order[up], up.weight = None, 0.0
             up.weight += weight
-            up = up.parent
+    return whole, list(order)
+
+
+def _unnamed(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """blocks without those of known boilerplate. An element that holds the article, or else most of
+    the page, stays whatever its class or id says."""
+    if not any(n.word in ("known", "comments") for b in blocks for n in (b[0], *_above(b[0]))):
+        return blocks
+    whole, order = _weighed(blocks)
+    named = sorted((n for n in order if n.tag in ("article", "main") and n.word != "comments" and n.weight), key=lambda n: -n.weight)
+    held: dict[Node, float] = {}
+    for n in named:
+        for up in _above(n):
+            held.setdefault(up, n.weight)
+    cut = set()
+    for node in order:
+        if node.word not in ("known", "comments"):
+            continue
+        above = list(_above(node))
+        inside = 0.0 if any(n.tag == "article" for n in above) else held.get(node, 0.0)
+        around = next((n.weight for n in above if n.tag in ("article", "main")), 0.0 if named else whole)
+        beside = next((n.weight for n in named if n is not node and n not in above and not _in(n, {node})), 0.0)
+        most = around and node.weight >= (0.8 if node.word == "known" else 1) * around
+        if not most and (not inside or beside and (beside > inside or node.word == "comments")):
+            cut.add(node)
+    return [b for b in blocks if not _in(b[0], cut)]
+
+
+def _undoubted(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """blocks without those of doubtful elements whose paths aren't content paths for the most part."""
+    if not any(n.word == "doubtful" for b in blocks for n in (b[0], *_above(b[0]))):
+        return blocks
+    _, order = _weighed(blocks)
+    own = {n: n.weight for n in order}
+    _weighed(blocks, _content(blocks))
+    named = {up for n in order if n.tag in ("article", "main") and own[n] for up in _above(n)}
+    cut = {n for n in order if n.word == "doubtful" and n not in named and (n.weight < own[n] / 2 or not own[n])}
+    return [b for b in blocks if not _in(b[0], cut)] or blocks
+
+
+def _content(blocks: list[tuple[Node, str, int]]) -> set[int]:
+    """Paths whose value is a good part of the best."""
+    values = path_values(blocks)
+    limit = THRESHOLD * max(values.values())
+    return {path for path, v in values.items() if v >= limit}
+
+
+def _within(blocks: list[tuple[Node, str, int]], content: set[int]) -> list[tuple[Node, str, int]]:
+    whole, order = _weighed(blocks, content)
     if not whole:
         return blocks
     named = [n for n in order if n.tag in ("article", "main") and n.weight]
