@@ -460,6 +460,18 @@ def test_words_of_a_class_cut_no_article(page, n, rest):
     assert sum(x.startswith("A long") for x in got) == n and [x for x in got if not x.startswith("A long")] == rest
 
 
+CHOSEN = [
+    (f"<main><article>{LONG * 8}</article><article>{LONG * 2}</article></main>", 10, []), (f"<article>{LONG * 8}</article><div><h2>H</h2>{LONG * 2}</div><div>x y</div>", 10, ["H"]),
+    (f"<main><div>{LONG * 3}</div><article>{LONG * 3}</article><p>short</p></main>", 6, ["short"]), (f"<article>{LONG * 4}<p>short</p></article><article class=card><h3>Card</h3></article>", 4, ["short"]),
+]
+
+
+@pytest.mark.parametrize("page, n, rest", CHOSEN)
+def test_content_paths_choose_the_elements(page, n, rest):
+    got = html.extract(page).split("\n\n")
+    assert sum(x.startswith("A long") for x in got) == n and [x for x in got if not x.startswith("A long")] == rest
+
+
 def test_pages_of_the_table_give_their_article(spark, sf_dir):
     import html as entities
     import re

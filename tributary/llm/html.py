@@ -5,13 +5,13 @@ tags, roles and hiding attributes name as something else than the article (navig
 forms, scripts ...) is left out, and so are elements with a whole class or id of known boilerplate
 (adverts, cookie notices, comments ...), unless they hold the article or most of the page. For
 each path, text length without links and punctuation are taken per block; both ratios are
-smoothed along the page, averaged by path and fused; paths at a good part of the best fused value are content paths. An element
+smoothed along the page, averaged by path and fused, and count less outside `article` and `main`
+where a page has them; paths at a good part of the best fused value are content paths. An element
 whose class or id only holds a word of boilerplate goes if most of its text is off these paths.
-The content element is
-the `article` or `main` element, or else the innermost element, that holds most of the content
-paths' text, and all its remaining blocks are the main text: headings and short paragraphs in
-the article stay, whatever their ratio. Where no element stands out, the content paths' blocks
-are the main text.
+Content paths select every `article`, or `main` whose articles hold too little, that they fill for the most part, with
+all its remaining blocks, so that headings and short paragraphs stay, and what else lies on them;
+where these hold too little, the innermost element that holds most of the content paths' text;
+where no element stands out, the content paths' blocks.
 
 Defined results: null, empty or tag-only html gives an empty text; unclosed tags, scripts and
 comments end with the page; null page_id or url stay null; repeated rows are each extracted;
@@ -66,6 +66,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 THRESHOLD, SHARE = 0.25, 0.6
+#: What a path's value counts for outside all `article` and `main` of a page that has them.
+OUTSIDE = 0.5
 #: Elements nested deeper become siblings, as browsers do it.
 DEPTH = 512
 
@@ -298,22 +300,45 @@ def _undoubted(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int
 
 
 def _content(blocks: list[tuple[Node, str, int]]) -> set[int]:
-    """Paths whose value is a good part of the best."""
+    """Paths whose value, which counts less outside `article` and `main`, is a good part of the best."""
     values = path_values(blocks)
-    limit = THRESHOLD * max(values.values())
-    return {path for path, v in values.items() if v >= limit}
+    inside = {b[0].path for b in blocks if any(n.tag in ("article", "main") for n in (b[0], *_above(b[0])))}
+    fused = {path: v * (OUTSIDE if inside and path not in inside else 1) for path, v in values.items()}
+    limit = THRESHOLD * max(fused.values())
+    return {path for path, v in fused.items() if v >= limit}
 
 
 def _within(blocks: list[tuple[Node, str, int]], content: set[int]) -> list[tuple[Node, str, int]]:
+    whole, order = _weighed(blocks)
+    own = {n: n.weight for n in order}
     whole, order = _weighed(blocks, content)
     if not whole:
         return blocks
-    named = [n for n in order if n.tag in ("article", "main") and n.weight]
-    tops = [n for n in named if not any(a in named for a in _above(n))]
-    if tops and sum(n.weight for n in tops) >= 0.3 * whole:
-        inner = [n for n in named if n.tag == "article" and n.weight >= SHARE * sum(t.weight for t in tops)]
-        best = set(inner or [n for n in tops if n.weight >= 0.3 * max(t.weight for t in tops)])
-        return [b for b in blocks if any(n in best for n in (b[0], *_above(b[0])))]
+    # Every article that content paths fill, and every main whose articles hold too little: with it all its blocks.
+    named = [n for n in order if n.tag in ("article", "main") and n.weight and 2 * n.weight >= own[n]]
+    around = {up for n in named if n.tag == "article" for up in _above(n)}
+    best = {n for n in named if n not in around or n.tag == "article"}
+    inner: dict[Node, float] = defaultdict(float)
+    for n in best:
+        if n.tag == "article" and not any(a in best for a in _above(n)):
+            for up in _above(n):
+                inner[up] += n.weight
+    best |= {n for n in named if n.tag == "main" and inner[n] < SHARE * n.weight}
+    if best and sum(n.weight for n in best if not any(a in best for a in _above(n))) >= 0.3 * whole:
+        # Content paths elsewhere stay too, with the headings right before them.
+        out: list[tuple[Node, str, int]] = []
+        heads: list[tuple[Node, str, int]] = []
+        for b in blocks:
+            if _in(b[0], best):
+                out.append(b)
+                heads = []
+            elif b[0].path in content and 2 * b[2] < len(b[1]):
+                out += [h for h in heads if h[0].parent is b[0].parent]
+                out.append(b)
+                heads = []
+            else:
+                heads = [*heads, b] if b[0].tag in HEADINGS else []
+        return out
     holds = [n for n in order if n.weight >= SHARE * whole and n.tag not in ("", "html", "body", "p")]
     if holds:
         best_one = min(holds, key=lambda n: (n.weight, -n.depth))
