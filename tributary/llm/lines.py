@@ -5,22 +5,25 @@ at least `min_chars` code points count, by their 128-bit xxh3 hash. The index ho
 
 * `refs`: the exact reference-count table, one row for each key with the number of documents
   that hold it and the smallest of their ids;
-* `holders`: key and document, once each, from which counts and smallest ids can be taken again;
+* `holders`: key and document, once each, from which smallest ids can be taken again;
 * `filters`: for each shard of the keys a cuckoo filter of the keys in `refs`.
 
-A batch of documents is inserted by counting its keys (partial aggregation, so that a frequent
-line is one row a task), asking each shard's filter, and joining only the keys that it may hold
-with `refs`; keys that are new go into the filter. Deleting documents takes their rows out of
-`holders`, lowers the counts, gives the smallest id to the next holder, and takes keys without
-holders out of `refs` and the filters, so that an index from which documents are deleted is the
-index of the others. Tables are written anew as versions in a shared folder; nothing is changed
-in place, and a lost executor costs a recomputation.
+Documents are inserted, into an empty index as into a full one, by counting the keys of each batch
+of rows (so that a frequent line is one row a batch, not one a document) and streaming these counts
+by shard: the shard's filter is asked first; a key that it doesn't hold is new and goes into the filter
+and the table unseen, and only a key that it may hold is looked up in the table. Deleting
+documents takes their rows out of `holders`, lowers the counts of keys that the filters may hold,
+gives the smallest id to the next holder, and takes keys without holders out of `refs` and the
+filters, so that an index from which documents are deleted is the index of the others. Tables are
+written anew as versions in a shared folder; nothing is changed in place, and a lost executor costs
+a recomputation.
 
 `dedup` drops the lines of keys with two holders or more, but in the smallest document.
 
 Defined results: null and empty texts are one empty line; null ids count as one document that
 sorts last; rows of one id are one document, repeated or not; an empty table gives no rows; a
-text whose lines are all dropped is empty; extra columns stay as they are.
+text whose lines are all dropped is empty; a very long text is cut into lines like others; extra
+columns stay as they are.
 """
 
 from __future__ import annotations
@@ -145,6 +148,72 @@ def holders_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return pick(docs, "doc_id", "text").select(long_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long")
 
 
+#: What streams through a shard: its filter, then its table, then counts to add, each by kind.
+STREAM = "shard int, kind int, k1 long, k2 long, n_docs long, first_doc long, filter binary"
+FILTER, KNOWN, NEW = 0, 1, 2
+NAMES = [c.split()[0] for c in STREAM.split(", ")]
+
+
+def _summed(k1: np.ndarray, k2: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts and smallest ids by key."""
+    order = np.lexsort((k2, k1))
+    k1, k2, n, first = k1[order], k2[order], n[order], first[order]
+    at = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])][: len(k1)])
+    return (k1[at], k2[at], np.add.reduceat(n, at), np.minimum.reduceat(first, at)) if len(at) else (k1, k2, n, first)
+
+
+class Shard:
+    """A shard's filter and table while counts are added."""
+
+    def __init__(self) -> None:
+        self.filter = CuckooFilter(SHARD_KEYS)
+        self.table: dict[tuple[int, int], list[int]] = {}
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
+        k1, k2, n, first = _summed(k1, k2, n, first)
+        hashes = k2.view(np.uint64)
+        new = ~self.filter.contains(hashes)
+        for key, count, doc in zip(zip(k1[~new].tolist(), k2[~new].tolist(), strict=True), n[~new].tolist(), first[~new].tolist(), strict=True):
+            if row := self.table.get(key):
+                row[0] += count
+                row[1] = min(row[1], doc)
+            else:  # a false positive
+                self.table[key] = [count, doc]
+                self.filter.insert(np.array([key[1]], np.int64).view(np.uint64))
+        self.filter.insert(hashes[new])
+        self.table.update(zip(zip(k1[new].tolist(), k2[new].tolist(), strict=True), map(list, zip(n[new].tolist(), first[new].tolist(), strict=True)), strict=True))
+
+    def rows(self, shard: int) -> pa.RecordBatch:
+        keys, rows, m = list(self.table), list(self.table.values()), len(self.table)
+        cols = [[shard] * (m + 1), [KNOWN] * m + [FILTER], [*(k[0] for k in keys), None], [*(k[1] for k in keys), None], [*(r[0] for r in rows), None], [*(r[1] for r in rows), None], [None] * m + [self.filter.dump()]]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], NAMES)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter and the table of every shard after what streams in, in order of shard and kind."""
+    here, own = None, Shard()
+    for batch in batches:
+        shards, kinds = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+        starts = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])][: len(shards)])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shards)], strict=True):
+            if shards[a] != here:
+                if here is not None:
+                    yield own.rows(int(here))
+                here, own = shards[a], Shard()
+            part = batch.slice(a, b - a)
+            if kinds[a] == FILTER:
+                own.filter = CuckooFilter.load(part.column("filter")[0].as_py())
+                continue
+            k1, k2, n, first = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in NAMES[2:6])
+            if kinds[a] == KNOWN:
+                own.table.update(zip(zip(k1.tolist(), k2.tolist(), strict=True), map(list, zip(n.tolist(), first.tolist(), strict=True)), strict=True))
+            else:
+                own.add(k1, k2, n, first)
+    if here is not None:
+        yield own.rows(int(here))
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """A version of the index. shards: of the keys; set when the first documents are inserted."""
@@ -166,32 +235,38 @@ class LineIndex:
         holders = stash(holders_of(docs, min_chars))
         if pick(docs, "doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
             holders = stash(holders.dropDuplicates(["doc_id", "k1", "k2"]))
-        return cls.empty(docs.sparkSession, 1 + holders.count() // SHARD_KEYS, min_chars)._add(holders, True)
+        return cls.empty(docs.sparkSession, 1 + holders.count() // SHARD_KEYS, min_chars)._add(holders)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """This index with docs added; ids that it already holds become one document with the new row."""
         new = holders_of(docs, self.min_chars).join(self.holders, ["doc_id", "k1", "k2"], "left_anti").dropDuplicates(["doc_id", "k1", "k2"])
-        return self._add(stash(new), False)
+        return self._add(stash(new))
 
     def _shard(self, df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
 
-    def _counts(self, holders: DataFrame) -> DataFrame:
-        return self._shard(holders).groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-
-    def _add(self, holders: DataFrame, first: bool) -> LineIndex:
-        counts = self._counts(holders)
-        if first:
-            refs = stash(counts)
-            return LineIndex(refs, holders, stash(self._filters(refs, None, False)), self.shards, self.min_chars)
-        asked = stash(self._ask(counts))
-        old = self.refs.select(*KEY, F.col("n_docs").alias("old_docs"), F.col("first_doc").alias("old_first"))
-        known = asked.where("maybe").join(old, KEY, "left")
-        new = asked.where("NOT maybe").select(*KEY, "n_docs", "first_doc").unionByName(known.where("old_docs IS NULL").select(*KEY, "n_docs", "first_doc"))
-        grown = known.where("old_docs IS NOT NULL").select(*KEY, (F.col("n_docs") + F.col("old_docs")).alias("n_docs"), F.least("first_doc", "old_first").alias("first_doc"))
-        refs = stash(self.refs.join(grown.select(*KEY), KEY, "left_anti").unionByName(grown).unionByName(new))
-        filters = stash(self._filters(new, self.filters, False))
-        return LineIndex(refs, stash(self.holders.unionByName(holders.select("doc_id", "k1", "k2"))), filters, self.shards, self.min_chars)
+    def _new(self, holders: DataFrame) -> DataFrame:
+        """The stream's rows of kind NEW: counts by key within each batch of holders."""
+        shards = self.shards
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, k1, k2 = (batch.column(c).to_numpy() for c in ("doc_id", "k1", "k2"))
+                k1, k2, n, first = _summed(k1, k2, np.ones(len(k1), np.int64), doc)
+                m = len(k1)
+                yield pa.RecordBatch.from_arrays([pa.array((k1 % shards).astype(np.int32)), pa.array(np.full(m, NEW, np.int32)), *map(pa.array, (k1, k2, n, first)), pa.nulls(m, pa.binary())], NAMES)
+
+        return holders.select("doc_id", "k1", "k2").mapInArrow(run, STREAM)
+
+    def _add(self, holders: DataFrame) -> LineIndex:
+        """This index with holders, stored and not held yet, added."""
+        none = lambda *kept: [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in STREAM.split(", ")) if c not in kept]
+        held = self.filters.select("shard", F.lit(FILTER).alias("kind"), "filter", *none("shard", "kind", "filter"))
+        known = self.refs.select("*", F.lit(KNOWN).alias("kind"), *none("shard", "kind", "k1", "k2", "n_docs", "first_doc"))
+        stream = self._new(holders).unionByName(held).unionByName(known)
+        out = stash(stream.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_added, STREAM))
+        refs = out.where(f"kind = {KNOWN}").select(*KEY, "n_docs", "first_doc")
+        return LineIndex(refs, stash(self.holders.unionByName(holders)) if not self.holders.isEmpty() else holders, out.where(f"kind = {FILTER}").select("shard", "filter"), self.shards, self.min_chars)
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """This index without the documents of these doc_ids."""
@@ -203,7 +278,7 @@ class LineIndex:
         left = stash(left)
         dead = stash(touched.select(*KEY).join(left, KEY, "left_anti"))
         refs = stash(self.refs.join(touched.select(*KEY), KEY, "left_anti").unionByName(left))
-        return LineIndex(refs, holders, stash(self._filters(dead, self.filters, True)), self.shards, self.min_chars)
+        return LineIndex(refs, holders, stash(self._without(dead)), self.shards, self.min_chars)
 
     def _ask(self, counts: DataFrame) -> DataFrame:
         """counts with `maybe`: whether the shard's filter may hold the key."""
@@ -218,24 +293,15 @@ class LineIndex:
         schema = T.StructType([*counts.schema.fields, T.StructField("maybe", T.BooleanType())])
         return counts.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, schema)
 
-    def _filters(self, keys: DataFrame, old: DataFrame | None, remove: bool) -> DataFrame:
-        """The filters after these keys, at most about SHARD_KEYS a shard, came or went."""
-
-        def renewed(shard: int, hashes: np.ndarray, raw: bytes | None) -> pd.DataFrame:
-            f = CuckooFilter.load(raw) if raw else CuckooFilter(2 * max(len(hashes), SHARD_KEYS // 8))
-            (f.delete if remove else f.insert)(hashes)
-            return pd.DataFrame({"shard": [shard], "filter": [f.dump()]})
-
-        def alone(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return renewed(int(group[0]), rows["k2"].to_numpy().view(np.uint64), None)
+    def _without(self, dead: DataFrame) -> DataFrame:
+        """The filters without these keys."""
 
-        def both(group: tuple, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-            return renewed(int(group[0]), rows["k2"].to_numpy(np.int64).view(np.uint64), filters["filter"].iloc[0] if len(filters) else None)
+        def run(group: tuple, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+            f = CuckooFilter.load(filters["filter"].iloc[0])
+            f.delete(rows["k2"].to_numpy(np.int64).view(np.uint64))
+            return pd.DataFrame({"shard": [int(group[0])], "filter": [f.dump()]})
 
-        keys = keys.select("shard", "k2")
-        if old is None:
-            return keys.groupBy("shard").applyInPandas(alone, "shard int, filter binary")
-        return keys.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(both, "shard int, filter binary")
+        return dead.select("shard", "k2").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(run, "shard int, filter binary")
 
     def drops(self) -> DataFrame:
         """doc_id, keys: of each document, the keys whose lines it loses."""
