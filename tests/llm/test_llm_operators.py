@@ -55,7 +55,7 @@ def brute_counts(text):
     wins = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     covered = {j for i in range(len(w) - 7) if wins[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
     ls = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(ls) - len(set(ls)), len(covered), len(ls)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(ls) - len(set(ls)), len(covered), len(ls), len(re.findall(r"[!-@\[-`{-~]", text))
 
 
 def test_quality_counts(odd):
@@ -75,22 +75,28 @@ def test_quality_takes_odd_rows(spark, odd):
 
 
 def test_quality_thresholds_follow_the_group(spark):
-    rows = [(i, " ".join(words(50, i)), "en", "plain", 0) for i in range(80)] + [(100 + i, " ".join(w + " #" for w in words(50, i)), "en", "marked", 0) for i in range(80)]
-    rows.append((300, " ".join(w + " #" for w in words(50, 7)), "en", "plain", 0))
+    rows = [(i, " ".join(words(50, i)), "en", "plain", 0) for i in range(80)] + [(100 + i, " ".join(w + " ##" for w in words(50, i)), "en", "marked", 0) for i in range(80)]
+    rows.append((300, " ".join(w + " ##" for w in words(50, 7)), "en", "plain", 0))
     got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[100] and got[0] and not got[300]
 
 
-def test_quality_has_fences_beyond_the_fixed_bins(spark):
+def test_quality_clips_nothing(spark):
     text = lambda i, n: " ".join(w + "#" * n for w in words(50, i))
-    rows = [(i, text(i, i % 2), "en", "mixed", 0) for i in range(80)] + [(200, text(200, 50), "en", "mixed", 0), (201, text(201, 6), "en", "mixed", 0)]
-    rules = quality.QualityRules(metrics=quality.QualityRules().metrics[:1])
+    rows = [(i, text(i, i % 2), "en", "mixed", 0) for i in range(80)] + [(200, text(200, 900), "en", "mixed", 0), (201, text(201, 1), "en", "mixed", 0)]
+    rules = quality.QualityRules(metrics=(quality.Metric("symbols", "1000 * n_symbols div n_words", (25, 75), 8, 50),))
     got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, DOCS), rules).collect()}
     assert not got.pop(200) and all(got.values())
+
+
+def test_quality_bins_have_bounded_relative_width(spark):
+    rules = quality.QualityRules()
     values = [*range(8100), *(k * 2**j + d for j in range(8, 40) for k in (4, 7, 1000) for d in (-1, 0, 1))]
     low, width = quality.bin_edge(F.expr(quality.bin_sql("v", rules)), rules)
-    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", low.alias("low"), width.alias("width"), F.expr(quality.bin_sql("v", rules)).alias("bin")).collect():
-        assert r.low <= r.v < r.low + r.width and (r.width == 5 and r.bin == r.v // 5 if r.v < 8000 else r.width * 800 <= r.v)
+    got = spark.createDataFrame([(v,) for v in sorted(values)], "v long").select("v", low.alias("low"), width.alias("width"), F.expr(quality.bin_sql("v", rules)).alias("bin")).orderBy("v").collect()
+    for r in got:
+        assert r.low <= r.v < r.low + r.width and (r.width == 1 or 32 * r.width <= r.v)
+    assert all(a.bin <= b.bin for a, b in zip(got, got[1:], strict=False))
 
 
 def test_quality_sketches_merge(spark, odd):
@@ -321,9 +327,10 @@ def test_jaccard_join_is_brute_force(spark, odd, monkeypatch):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
             rows.append((1000 + 20 * g + i, " ".join(w[: len(w) - rng.randrange(3)])))
     df = clash(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"), "Doc_Id")
-    for block, common in ((256, 500), (3, 2)):  # 3 and 2: many blocks, and shingles dealt by class
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        monkeypatch.setattr(jaccard, "COMMON", common)
+    # Small numbers: many meetings and partitions, shingles dealt by class, and crowded ones.
+    for kept in ({}, {"BLOCK": 3, "COMMON": 2, "FEW": 5, "NEXT": 1, "MANY": 2, "SPOT": 2, "PART": 500}, {"BLOCK": 2, "FEW": 5, "NEXT": 1, "MANY": 1, "TURNS": 1, "PIECE": 1}):
+        for name, value in kept.items():
+            monkeypatch.setattr(jaccard, name, value)
         got = sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.join_components(df).collect())
         assert got == brute_components(rows)
     one = jaccard.one_of_each(df)
@@ -350,13 +357,16 @@ def test_tree_finds_all_partners():
         mask = np.zeros(60, bool)
         mask[s] = True
         want = sorted(i for i, t in enumerate(sets) if 4 * len(np.intersect1d(s, t)) >= 3 * len(np.union1d(s, t)))
-        assert sorted(tree.partners(mask, len(s))) == want
+        assert sorted(tree.partners(s, mask)) == want
 
 
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.v: r.label for r in components.components(links).collect()}
     assert set(got[i] for i in range(61)) == {0} and got[101] == 100
+    pairs = spark.createDataFrame([((1, 5), (2, 4)), ((2, 4), (2, 9)), ((7, 0), (7, 1)), ((7, 0), None)], "a struct<d:long,c:long>, b struct<d:long,c:long>")
+    got = {tuple(r.v): tuple(r.label) for r in components.components(pairs).collect()}
+    assert got == {(1, 5): (1, 5), (2, 4): (1, 5), (2, 9): (1, 5), (7, 0): (7, 0), (7, 1): (7, 0)} and not components.components(pairs.limit(0)).count()
 
 
 # token files
@@ -419,11 +429,11 @@ def test_contaminated_pairs_are_brute_force(spark, odd, monkeypatch):
                 want.append(repr((d, i, len(s), shared)))
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"), "DOC_ID")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (1 << 20, 300):  # 300: several blocks of items
-        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+    for chars in (1 << 20, 0):  # 0: items are joined, not broadcast
+        monkeypatch.setattr(decontamination, "BROADCAST_CHARS", chars)
         assert sorted(map(repr, map(tuple, decontamination.contaminated(df, bench).collect()))) == sorted(want)
-    clean = decontamination.clean_documents(df, bench)
-    assert clean.columns == df.columns and clean.count() == len(rows) - len([r for r in rows if any(w.startswith(f"({r[0]},") for w in want)])
+        clean = decontamination.clean_documents(df, bench)
+        assert clean.columns == df.columns and clean.count() == len(rows) - len([r for r in rows if any(w.startswith(f"({r[0]},") for w in want)])
     assert decontamination.contaminated(empty(spark), bench).count() == 0 and decontamination.contaminated(df, empty(spark, "item_id long, text string")).count() == 0
 
 
@@ -472,6 +482,51 @@ def test_content_paths_choose_the_elements(page, n, rest):
     assert sum(x.startswith("A long") for x in got) == n and [x for x in got if not x.startswith("A long")] == rest
 
 
+def test_path_values_are_the_formula():
+    """Each path's mean of the smoothed ratios, fused, less what counts as boilerplate."""
+    import math
+    import re
+
+    rng, paths = random.Random(4), {}
+    nodes = [html.Node(t, None, t, False) for t in "abcd"]
+    for n in nodes:
+        n.path = paths.setdefault(n.tag, len(paths))
+    for _ in range(200):
+        blocks = [(n := rng.choice(nodes), x := "".join(rng.choice("ab ,.") for _ in range(rng.randrange(1, 30))), rng.randrange(len(x) + 1)) for _ in range(rng.randrange(1, 12))]
+        named = set(rng.sample(nodes, rng.randrange(3)))
+        mine = lambda p: [b for b in blocks if b[0].path == p]  # noqa: E731, B023
+        text = [sum(len(b[1]) - b[2] for b in mine(n.path)) / len(mine(n.path)) for n, _, _ in blocks]
+        marks = [sum(len(re.findall("[,.]", b[1])) for b in mine(n.path)) / len(mine(n.path)) for n, _, _ in blocks]
+        want = {}
+        for p in {n.path for n, _, _ in blocks}:
+            at = [i for i, b in enumerate(blocks) if b[0].path == p]
+            near = lambda v: sum((v[max(i - 1, 0)] + 2 * v[i] + v[min(i + 1, len(v) - 1)]) / 4 for i in at) / len(at)  # noqa: E731, B023
+            share = sum(len(b[1]) * (html.NAMED if b[0] in named else 1) for b in mine(p)) / sum(len(b[1]) for b in mine(p))
+            want[p] = near(text) * (1 + math.log1p(near(marks))) * share
+        assert html.path_values(blocks, lambda n: n in named) == pytest.approx(want)  # noqa: B023
+
+
+PLAIN = "<div class=a><a href=1>Home</a><a href=2>News</a></div><div class=b><h2>Head</h2>%s</div><div class=c><p>c 2020</p></div>"
+BARE = [
+    (PLAIN % (LONG * 5), 5), ("<body>" + PLAIN % (LONG * 3 + "<p>Short.</p>"), 3), (f"<article>{LONG * 3}</article><section id=comments>{LONG * 9}</section>", 3), (f"<div class=post>{LONG * 4}</div><div class='comments'>{LONG * 3}</div>", 4),
+    (f"<form id=aspnet><div class=post>{LONG * 4}</div></form><nav>{LONG}</nav>", 4), (f"<article><object data=x>{LONG}<p>y</p></article>", 1),
+]
+
+
+@pytest.mark.parametrize("page, n", BARE)
+def test_pages_without_helpful_names(page, n):
+    got = html.extract(page)
+    assert got.count("A long") == n and "c 2020" not in got and "News" not in got
+
+
+def test_path_values_decide(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    before = [html.extract(p) for p in pages]
+    values = html.path_values
+    monkeypatch.setattr(html, "path_values", lambda blocks, named: dict.fromkeys(values(blocks, named), 1.0))
+    assert all(html.extract(p) != x for p, x in zip(pages, before, strict=True))
+
+
 def test_pages_of_the_table_give_their_article(spark, sf_dir):
     import html as entities
     import re

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,30 +38,46 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tributary-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer held: it does so when the
-    driver's JVM collects its garbage, which a driver with little work seldom does by itself, and
-    after Python has told it what it let go of, which takes a second."""
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, a stored table, marked for broadcast if it has no more than so many rows, and left for
-    Spark to join as it sees fit beyond."""
-    return F.broadcast(df) if df.count() <= rows else df
+def written(df: DataFrame, path: str) -> None:
+    """Writes df to path, which goes when the driver ends; the shuffle files of the write go with it."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    fs, found = _hadoop_path(spark, path)
+    fs.deleteOnExit(found)
 
 
 def stash(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, and what follows
     doesn't recompute it when executors are lost."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    written(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stashed: DataFrame) -> None:
+    """Deletes tables made by stash that nothing reads any more."""
+    for df in stashed:
+        for file in df.inputFiles()[:1]:
+            fs, found = _hadoop_path(df.sparkSession, file.rpartition("/")[0])
+            fs.delete(found, True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, a stored table, marked for broadcast if it has no more than so many rows, and left for
+    Spark to join as it sees fit beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def long_id(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
