@@ -18,14 +18,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import long_id, pick, real_id, scratch, stash, table
 
-#: Stretches remembered in a generation of a worker's memory.
-MEMO = 300_000
-#: Texts encoded at once.
-AT_ONCE = 1024
+#: Characters of texts that are encoded together, stretches in a row, and stretches looked up at once.
+TOGETHER = 24 << 20
+IN_A_ROW = 1000
+AT_ONCE = 1 << 18
 #: Ids in a block, but for a document that is longer.
 BLOCK = 1 << 18
 
@@ -73,16 +69,35 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-#: A word of Latin letters with the space before it, if no other letter follows; or else what
-#: there is up to the next space; or spaces.
-PIECE = re.compile(r" ?[a-zA-ZÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?[^ ]+| +")
+_ALPHA = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: Second bytes of the Latin letters from U+00C0 to U+00FF, which all have the first byte LATIN.
+_SECOND = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+LATIN = 0xC3
+#: First bytes of characters that surely are no white space.
+_VISIBLE = np.isin(np.arange(256), [*range(0x21, 0x7F), LATIN])
+
+
+def stretches(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where stretches begin in the bytes of texts, which begin at starts: at texts, at an ASCII character
+    that is no letter after a Latin letter, and at a space before a visible character. A byte-level
+    pre-tokenizer splits at all of these places."""
+    alpha = _ALPHA[data]
+    letter = alpha.copy()
+    letter[1:] |= (data[:-1] == LATIN) & _SECOND[data[1:]]
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = letter[:-1] & (data[1:] < 0x80) & ~alpha[1:]
+    space = (data[:-1] == 32) & _VISIBLE[data[1:]]
+    space[starts[starts > 0] - 1] = False  # what follows is another text
+    first[:-2] |= space
+    first[starts] = True
+    return np.flatnonzero(first[:-1])
 
 
 class Encoder:
-    """Whole texts to ids. A byte-level pre-tokenizer always splits after a run of letters and
-    before a space that a non-space follows, so the stretches between such places are encoded apart
-    and remembered. Texts with double spaces are split before single words only, and tokenizers of
-    another kind get their texts whole."""
+    """Whole texts to ids. The stretches of many texts between places where a byte-level pre-tokenizer
+    always splits are numbered, and each different one is encoded once: those that begin with a
+    space in long rows, which the token lengths cut again. Texts with a special token's string, and
+    all texts of tokenizers of another kind, are encoded whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -90,44 +105,79 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.byte_level:
-            return [text]
-        if "  " not in text:
-            return PIECE.findall(text)
-        out: list[str] = []
-        for i, word in enumerate(text.split(" ")):
-            piece = f" {word}" if i else word
-            if out and (not word or word[0].isspace()):
-                out[-1] += piece
-            else:
-                out.append(piece)
-        return out
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # a character for each byte
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of every text. Stretches are remembered in two generations, so that frequent
-        ones stay when the younger one is full."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        cut = [self.pieces(t or "") for t in texts]
-        new = []
-        for p in set(chain.from_iterable(cut)).difference(memo):
-            if p in old:
-                memo[p] = old[p]
-            else:
-                new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = array("I", e.ids).tobytes()
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<u4") for pieces in cut]
-        for p in new:
-            if len(p) > 64:
-                del memo[p]
+        """The ids of every text."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.byte_level or any(x in text for x in self.special):
+                out[i] = self._whole([text])[0]
+                continue
+            held.append(i)
+            size += len(text)
+            if size >= TOGETHER:
+                self._together(texts, held, out)
+                held, size = [], 0
+        if held:
+            self._together(texts, held, out)
         return out
 
+    def _together(self, texts: list[str | None], held: list[int], out: list[np.ndarray]) -> None:
+        raw = [texts[i].encode() for i in held]
+        starts = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        cuts = stretches(data, starts[:-1])
+        edges = np.append(cuts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        flat, sizes = self._each(pieces.dictionary.to_pylist())
+        which = pieces.indices.to_numpy()
+        first = np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[which])
+        ids, at = np.empty(ends[-1], np.uint32), 0
+        for k in range(0, len(which), AT_ONCE):
+            some = which[k : k + AT_ONCE]
+            own = sizes[some]
+            gone = np.cumsum(own)
+            ids[at : at + gone[-1]] = flat[np.repeat(first[some] - gone + own, own) + np.arange(gone[-1])]
+            at += gone[-1]
+        bounds = np.append(0, ends)[np.searchsorted(cuts, starts)]
+        for i, a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+
+    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and their numbers."""
+        spaced = [i for i, p in enumerate(pieces) if p[0] == 32 and len(p) > 1 and _VISIBLE[p[1]]]
+        ids, sizes = [], np.zeros(len(pieces), np.int64)
+        rows = [spaced[k : k + IN_A_ROW] for k in range(0, len(spaced), IN_A_ROW)]
+        for row, got in zip(rows, self._whole([b"".join([pieces[i] for i in row]).decode() for row in rows]), strict=True):
+            # A piece ends where so many bytes of tokens have gone by.
+            last = np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum([len(pieces[i]) for i in row])) + 1
+            sizes[row] = np.diff(last, prepend=0)
+            ids.append(got)
+        other = np.setdiff1d(np.arange(len(pieces)), spaced, assume_unique=True).tolist()
+        for i, got in zip(other, self._whole([pieces[i].decode() for i in other]), strict=True):
+            sizes[i] = len(got)
+            ids.append(got)
+        order = np.array([*spaced, *other], np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        # From the order in which they were encoded to that of the pieces.
+        own = sizes[order]
+        at = np.empty(len(pieces), np.int64)
+        at[order] = np.cumsum(own) - own
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -142,13 +192,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     document; and in rows of their own, id and n: how often a task has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the millions of strings and lists here hold no cycles
         e, total = encoder(tokenizer), np.zeros(0, np.int64)
         names = ["doc_id", "tie", "ids", "wide", "id", "n"]
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), []
-            for i in range(0, len(texts), AT_ONCE):
-                ids += [np.append(x, np.uint32(end_id)) for x in e.encode_all(texts[i : i + AT_ONCE])]
+            ids = [np.append(x, np.uint32(end_id)) for x in e.encode_all(batch.column("text").to_pylist())]
             wide = [bool(len(x) and x.max() > 0xFFFF) for x in ids]
             raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
             if ids:
@@ -157,7 +204,6 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 total[: len(part)] += part
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(raw, pa.binary()), pa.array(wide, pa.bool_()), none, none], names)
-        gc.enable()
         at = np.flatnonzero(total)
         empty = [pa.nulls(len(at), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(at, pa.int64()), pa.array(total[at])], names)
