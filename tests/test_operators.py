@@ -326,6 +326,39 @@ def test_batches_give_what_one_run_gives(spark, customers, folder):
     assert drain(customers, p, ["updated_at", "id"], featurize, blocking, tiers, index, marks, "r2") == 0
 
 
+def test_drain_loses_no_tied_rows(spark, folder):
+    rows = spark.createDataFrame([(i, f"n{i // 2}", datetime.datetime(2024, 1, 1 + i % 2)) for i in range(12)], "id long, name string, at timestamp")
+    comparison = scoring.Comparison(scoring.Test("name", "name", "exact"))
+    index, marks = tables.VersionedTable(spark, f"{folder}/index"), Watermarks(spark, folder)
+    p = staging.Staging("s", "id", "at", ("id", "name"), batch_size=3)
+    args = (lambda df: df.drop("pipeline_loaded_at"), Blocking((BlockingPath(("name",)),)), [scoring.Scoring("t", (comparison,), min_score=1.0)], index, marks)
+    assert drain(rows, p, ["at"], *args, "r") == 2 and drain(rows, p, ["at"], *args, "r") == 0
+    per = index.read().groupBy(CLUSTER_ID).count().collect()
+    assert sorted(r["count"] for r in per) == [2] * 6
+    late = staging.Staging("s", "id", "at", ("id", "name"), batch_size=3, grace_period_hours=48)
+    more = rows.union(spark.createDataFrame([(50, "n0", datetime.datetime(2024, 1, 1))], rows.schema))
+    assert drain(more, late, ["at"], *args, "r") == 1 and index.read().count() == 13
+
+
+def test_one_of_two_writers_wins(spark, folder):
+    a, b = tables.VersionedTable(spark, folder), tables.VersionedTable(spark, folder, stale=0)
+    a.write(spark.range(1), note="7")
+    assert a._files.claim(f"{folder}/_claims/2") and a.note() == "7"
+    with pytest.raises(RuntimeError):
+        a.write(spark.range(2), expected=1)
+    assert b.write(spark.range(3), expected=1) == 3 and a.read().count() == 3  # the claim was stale
+    locks = [Lock(spark, folder, "p", 1000) for _ in range(2)]
+    assert locks[0].acquire() == 1 and not locks[1]._files.claim(f"{folder}/locks/p/1")
+    old = Lock(spark, folder, "q", -1)
+    old.acquire()
+    new = Lock(spark, folder, "q", 1000)
+    assert new.acquire() == 2
+    marks = Watermarks(spark, folder)
+    marks.write("s", {"id": 5}, "r", new)
+    marks.log.add([("s", "id", "4", "INT64", "old", 9e9, 1)])  # slipped through after its lock was taken
+    assert marks.read("s") == {"id": 5}
+
+
 def test_stream_resolves_micro_batches(spark, customers, folder):
     c = quick(spark)
     staged = staging.stage(customers, staging.Staging("customers", "id", "updated_at", tuple(c.sources[0].columns)))

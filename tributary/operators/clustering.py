@@ -17,9 +17,9 @@ def _labels(edges: DataFrame, labels: DataFrame, max_rounds: int | None = None)
     while max_rounds is None or done < max_rounds:
         near = edges.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
         stepped = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        stepped = materialize(stepped)
         hop = stepped.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        new = materialize(stepped.join(hop, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = stepped.join(hop, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        new = materialize(new)
         labels, done = new.select("v", "label"), done + 1
         if new.where("label != old").isEmpty():
             break
@@ -40,19 +40,26 @@ def connected_components(matches: DataFrame, records: DataFrame, max_rounds: int
     return records.select(ENTITY_UID).dropDuplicates().join(labels, ENTITY_UID, "left").select(ENTITY_UID, F.coalesce("label", ENTITY_UID).alias(CLUSTER_ID))
 
 
+def incremental_labels(matches: DataFrame, records: DataFrame, canonical: DataFrame) -> DataFrame:
+    """cluster_id, label: the clusters that new matches join with others, and the smallest of those. Before,
+    a new record is a cluster of its own, an earlier one is in that of the canonical index. Only
+    clusters that a match touches take part."""
+    ends = materialize(matches.select(F.col(LEFT).alias("u")).unionByName(matches.select(F.col(RIGHT).alias("u"))).dropDuplicates())
+    prior = canonical.select(F.col(ENTITY_UID).alias("u"), F.col(CLUSTER_ID).alias("c"))
+    uid = materialize(ends.join(prior, "u", "left").select("u", F.coalesce("c", "u").alias("c")))
+    between = matches.select(LEFT, RIGHT).join(uid.toDF(LEFT, "v"), LEFT).join(uid.toDF(RIGHT, "w"), RIGHT).where("v != w").select("v", "w")
+    edges = materialize(between.unionByName(between.select(F.col("w").alias("v"), F.col("v").alias("w"))).dropDuplicates())
+    start = edges.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label"))
+    return _labels(edges, start).select(F.col("v").alias(CLUSTER_ID), "label")
+
+
 def incremental_components(matches: DataFrame, records: DataFrame, canonical: DataFrame) -> DataFrame:
     """The same, starting from the canonical index: earlier clusters and new records are joined by
     the new matches. Clusters that a match joins get one label for all their records, old ones too."""
     prior = canonical.select(ENTITY_UID, CLUSTER_ID)
     new = records.select(ENTITY_UID).dropDuplicates().join(prior.select(ENTITY_UID), ENTITY_UID, "left_anti").withColumn(CLUSTER_ID, F.col(ENTITY_UID))
-    every = materialize(prior.unionByName(new))
-    # Matches become matches of clusters, whose number is what has to be joined.
-    uid = every.select(F.col(ENTITY_UID).alias("u"), F.col(CLUSTER_ID).alias("c"))
-    between = matches.select(LEFT, RIGHT).join(uid.toDF(LEFT, "v"), LEFT).join(uid.toDF(RIGHT, "w"), RIGHT).where("v != w").select("v", "w")
-    edges = materialize(between.unionByName(between.select(F.col("w").alias("v"), F.col("v").alias("w"))).dropDuplicates())
-    start = edges.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label"))
-    labels = _labels(edges, start).select(F.col("v").alias(CLUSTER_ID), "label")
-    return every.join(labels, CLUSTER_ID, "left").select(ENTITY_UID, F.coalesce("label", CLUSTER_ID).alias(CLUSTER_ID))
+    labels = incremental_labels(matches, records, canonical)
+    return prior.unionByName(new).join(labels, CLUSTER_ID, "left").select(ENTITY_UID, F.coalesce("label", CLUSTER_ID).alias(CLUSTER_ID))
 
 
 def star_clusters(matches: DataFrame, records: DataFrame, min_confidence: float = 0.0) -> DataFrame:
@@ -90,13 +97,15 @@ def canonical_index(records: DataFrame) -> DataFrame:
     return records.withColumn(CLUSTER_ID, F.lit(None).cast("long")).limit(0)
 
 
-def merge_canonical_index(index: DataFrame, records: DataFrame, clusters: DataFrame) -> DataFrame:
+def merge_canonical_index(index: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
     """The index with the records' rows added or renewed, and the new cluster of every row, also of
-    earlier records that aren't in this batch."""
-    kept = index.drop(CLUSTER_ID).join(records.select(ENTITY_UID), ENTITY_UID, "left_anti")
-    rows = kept.unionByName(records.select(*kept.columns))
-    old = index.select(ENTITY_UID, F.col(CLUSTER_ID).alias("_old"))
-    return rows.join(clusters, ENTITY_UID, "left").join(old, ENTITY_UID, "left").withColumn(CLUSTER_ID, F.coalesce(CLUSTER_ID, "_old")).drop("_old").select(*index.columns)
+    earlier records that aren't in this batch. labels: as of incremental_labels, which names only
+    the clusters that change."""
+    rest = [c for c in index.columns if c != CLUSTER_ID]
+    old = index.select(F.col(ENTITY_UID).alias("_u"), F.col(CLUSTER_ID).alias("_old"))
+    new = records.select(*rest).join(old, F.col(ENTITY_UID) == F.col("_u"), "left").select(*rest, F.coalesce("_old", ENTITY_UID).alias(CLUSTER_ID))
+    rows = index.join(records.select(ENTITY_UID), ENTITY_UID, "left_anti").select(*rest, CLUSTER_ID).unionByName(new)
+    return rows.join(labels, CLUSTER_ID, "left").withColumn(CLUSTER_ID, F.coalesce("label", CLUSTER_ID)).select(*index.columns)
 
 
 def cluster_quality(clusters: DataFrame, matches: DataFrame, records: DataFrame | None = None) -> DataFrame:

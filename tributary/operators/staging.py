@@ -40,7 +40,8 @@ class HashCursor:
 
 @dataclass(frozen=True)
 class Staging:
-    """watermark: values by cursor column, in order. cursors: their columns while there is no value. grace_period_hours: read again what is that
+    """batch_size: rows from the first on, and those whose cursors equal the last one's, so that what a
+    watermark cuts off is a whole batch. watermark: values by cursor column, in order. cursors: their columns while there is no value. grace_period_hours: read again what is that
     much older. cursor_mode: ordered (tuples beyond the watermark) or independent (any column)."""
 
     source_name: str
@@ -114,5 +115,10 @@ def stage(source: DataFrame, p: Staging) -> DataFrame:
         *(c.alias(f"_cursor_{i}") for i, c in enumerate(cursors)),
     )
     if p.batch_size:
-        out = out.orderBy(*(f"_cursor_{i}" for i in range(len(cursors))), ENTITY_UID).limit(p.batch_size)
+        # Only cursors are sorted. A struct's order has nulls first, as theirs has.
+        mark = F.struct(*(f"_cursor_{i}" for i in range(len(cursors))))
+        last = out.select(mark.alias("mark")).orderBy("mark").limit(p.batch_size).agg(F.max("mark").alias("mark")).first().mark
+        if last:
+            kinds = dict(out.dtypes)
+            out = out.where(mark <= F.struct(*(F.lit(v).cast(kinds[f"_cursor_{i}"]).alias(f"_cursor_{i}") for i, v in enumerate(last))))
     return out.drop(*(f"_cursor_{i}" for i in range(len(cursors))))

@@ -122,10 +122,19 @@ def er_staging_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(load(spark, sf_dir, "events"), p).drop(ENTITY_UID, "pipeline_loaded_at")
 
 
-@query("SELECT count(*) AS n, true AS within FROM events")
+@query("SELECT user_id, count(*) AS n, 1 AS partitions, true AS within FROM events GROUP BY user_id")
 def er_staging_hash_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Staging("events", "event_id", "ts", ("event_id",), hash_cursor=HashCursor("user_id", 16))
-    return stage(load(spark, sf_dir, "events"), p).agg(F.count("*").alias("n"), (F.max("_hash_partition") < 16).alias("within"))
+    """All rows of a value are in one partition below the modulus."""
+    p = Staging("events", "event_id", "ts", ("event_id", "user_id"), hash_cursor=HashCursor("user_id", 16))
+    part = F.col("_hash_partition")
+    return stage(load(spark, sf_dir, "events"), p).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct(part).alias("partitions"), ((F.min(part) >= 0) & (F.max(part) < 16)).alias("within"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts::DATE <= (SELECT max(d) FROM (SELECT ts::DATE AS d FROM events ORDER BY ts::DATE LIMIT 700))")
+def er_staging_tied_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of 700 rows ends with the last day that one of them is of."""
+    source = load(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
+    return stage(source, Staging("events", "event_id", "day", ("event_id", "user_id"), batch_size=700)).select("event_id", "user_id")
 
 
 @query("""SELECT c_custkey, coalesce(n_name, '') AS nation_name, CASE WHEN n_name IS NULL THEN 0 ELSE 1 END AS nation_found, upper(trim(c_name)) AS name_up, left(upper(trim(c_name)), 3) AS name_up3
@@ -232,7 +241,19 @@ SELECT s_suppkey, vin AS vin_normalize, right(vin, 6) AS vin_last_six, upper(reg
  upper(regexp_replace(c, '[\s.]', '', 'g')) AS ticker_normalize, upper(regexp_replace(c, '[\s-]', '', 'g')) AS cusip_clean, upper({ALNUM}) AS license_number_clean, (floor(s_acctbal / 100) * 100)::BIGINT AS amount_bucket FROM v""",
 )
 UTIL = "CASE p_size % 5 WHEN 0 THEN concat('  ', p_name, '   x ') WHEN 1 THEN 'Åsa Ñandú Øre' WHEN 2 THEN NULL WHEN 3 THEN '   ' ELSE p_type END"
-features("er_features_soundex", "part", "p_partkey", {"soundex": ("soundex", "p_name")}, None)
+
+
+def soundex_sql(c: str) -> str:
+    """Letters to digits, H and W gone, runs of one digit to one, vowels gone; the first letter stays."""
+    digits = lambda x: f"translate({x}, 'BFPVCGJKQSXZDTLMNRHW', '111122222222334556')"
+    code = f"CASE WHEN left(upper({c}), 1) IN ('H', 'W') THEN '0' ELSE {digits(f'left(upper({c}), 1)')} END || {digits(f'substr(upper({c}), 2)')}"
+    code = f"regexp_replace({code}, '[^1-6]', '0', 'g')"
+    for d in "123456":
+        code = f"regexp_replace({code}, '{d}+', '{d}', 'g')"
+    return f"left(upper({c}), 1) || left(regexp_replace(substr({code}, 2), '0', '', 'g') || '000', 3)"
+
+
+features("er_features_soundex", "part", "p_partkey", {"soundex": ("soundex", "p_name")}, f"SELECT p_partkey, {soundex_sql('p_name')} AS soundex FROM part")
 _utility = {n: (n, UTIL) for n in "upper_trim lower_trim left right nullif_empty is_not_null char_length remove_diacritics length_bucket length_category normalize_whitespace identity".split()} | {"coalesced": ("coalesce", (UTIL, "p_brand")), "joined": ("concat", (UTIL, "p_brand"), {"separator": "|"}), "nullify_placeholder": ("nullify_placeholder", "p_brand", {"patterns": ("Brand#11", "BRAND#12")})}
 features(
     "er_features_utility", "part", "p_partkey", _utility,
@@ -255,12 +276,37 @@ def er_features_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", F.round(km, 4).alias("km"))
 
 
-@query()
+def _geohash(lat: str, lon: str, precision: int = 6) -> str:
+    bits = 5 * precision
+    nx, ny = (bits + 1) // 2, bits // 2
+    cell = lambda v, low, width, n: f"least(greatest(floor(({v} - ({low})) / {width} * {1 << n}), 0), {(1 << n) - 1})::BIGINT"
+    x, y = cell(lon, -180.0, 360.0, nx), cell(lat, -90.0, 180.0, ny)
+    bit = lambda i: f"(({x if i % 2 == 0 else y}) >> {(nx if i % 2 == 0 else ny) - 1 - i // 2} & 1)"
+    chars = (" + ".join(f"{1 << 4 - j} * {bit(5 * k + j)}" for j in range(5)) for k in range(precision))
+    return " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', ({c} + 1)::INT, 1)" for c in chars)
+
+
+HASHED = {
+    "farm_fingerprint": (("p_name",), "p_name"), "farm_fingerprint_concat": (("p_name", "p_brand"), "p_name || '||' || p_brand"), "sorted_name_fingerprint": (("p_name",), "array_to_string(list_sort(list_filter(string_split(upper(trim(p_name)), ' '), lambda w: w != '')), ' ')"),
+    "name_fingerprint": (("p_name",), "regexp_replace(upper(p_name), '[^A-Z]', '', 'g')"),
+}
+
+
+@query(f"SELECT p_partkey, {_geohash('p_size * 1.0', 'p_size * 2.0')} AS geo_hash, {', '.join(f'min(p_partkey) OVER (PARTITION BY {key}) AS {n}' for n, (_, key) in HASHED.items())} FROM part")
 def er_features_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes, geohash and metaphone: they have no equal in SQL, and are tested by value."""
+    """Geohashes, and of each hash the smallest key that has it: two are equal where the hashed values are."""
     df = load(spark, sf_dir, "part")
-    c = lambda n, *x, **p: FEATURES.call(n, *(F.col(y) for y in x), **p).alias(n)
-    return df.select("p_partkey", c("farm_fingerprint", "p_name"), c("farm_fingerprint_concat", "p_name", "p_brand"), c("sorted_name_fingerprint", "p_name"), c("name_fingerprint", "p_name"), c("nickname_match_key", "p_name"), c("metaphone", "p_name"), FEATURES.call("geo_hash", F.col("p_size") * 1.0, F.col("p_size") * 2.0).alias("geo_hash"))
+    hashed = df.withColumns({n: FEATURES.call(n, *(F.col(c) for c in columns)) for n, (columns, _) in HASHED.items()})
+    for n in HASHED:
+        hashed = hashed.join(hashed.groupBy(n).agg(F.min("p_partkey").alias("_least")), n).withColumn(n, F.col("_least")).drop("_least")
+    return hashed.select("p_partkey", FEATURES.call("geo_hash", F.col("p_size") * 1.0, F.col("p_size") * 2.0).alias("geo_hash"), *HASHED)
+
+
+@query()
+def er_features_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metaphones and nicknames' keys have no equal in SQL, and are tested by value."""
+    c = lambda n: FEATURES.call(n, F.col("p_name")).alias(n)
+    return load(spark, sf_dir, "part").select("p_partkey", c("nickname_match_key"), c("metaphone"))
 
 
 # Comparisons, on candidate pairs.
@@ -313,7 +359,23 @@ compared("er_compare_numbers", {"numeric_within": ("numeric_within", "size", {"t
     "abs(l.size - r.size) <= 3 AS numeric_within, least(abs(l.price), abs(r.price)) / greatest(abs(l.price), abs(r.price)) >= 0.9 AS numeric_ratio, round(least(abs(l.price), abs(r.price)) / greatest(abs(l.price), abs(r.price)), 6) AS numeric_ratio_score, abs(l.price - r.price) / greatest(abs(l.price), abs(r.price)) * 100 <= 8 AS numeric_percent_diff")
 compared("er_compare_dates", {"date_within_days": ("date_within_days", "day", {"days": 7}), "date_within_months": ("date_within_months", "day", {"months": 0}), "date_within_years": ("date_within_years", "day"), "age_difference": ("age_difference", "day"), "date_overlap": ("date_overlap", "day", {"left_end": "until", "right_end": "until"}), "date_overlap_score": ("date_overlap_score", "day", {"left_end": "until", "right_end": "until"})},
     "abs(l.day - r.day) <= 7 AS date_within_days, year(l.day) * 12 + month(l.day) = year(r.day) * 12 + month(r.day) AS date_within_months, year(l.day) = year(r.day) AS date_within_years, true AS age_difference, l.day <= r.until AND l.until >= r.day AS date_overlap, CASE WHEN l.day <= r.until AND l.until >= r.day THEN round((least(l.until, r.until) - greatest(l.day, r.day) + 1) / 11, 6) ELSE 0.0 END AS date_overlap_score")
-compared("er_compare_kernels", {"jaro_winkler": ("jaro_winkler", "kind"), "jaro_winkler_score": ("jaro_winkler_score", "kind"), "soundex_match": ("soundex_match", "kind"), "metaphone_match": ("metaphone_match", "kind"), "double_metaphone_match": ("double_metaphone_match", "kind"), "exact_diacritics_insensitive": ("exact_diacritics_insensitive", "kind"), "geo_within_km": ("geo_within_km", "size", {"left_lon": "size", "right_lon": "size"}), "geo_distance_score": ("geo_distance_score", "size", {"left_lon": "size", "right_lon": "size"})}, None)
+JARO = "jaro_similarity(upper(l.source_name), upper(r.source_name))"
+SAME4 = "CASE " + " ".join(f"WHEN left(upper(l.source_name), {k}) = left(upper(r.source_name), {k}) THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END"
+WINKLER = f"({JARO} + 0.1 * {SAME4} * (1 - {JARO}))"
+compared("er_compare_jaro_winkler", {"jaro_winkler": ("jaro_winkler", "source_name", {"threshold": 0.95}), "jaro_winkler_score": ("jaro_winkler_score", "source_name")}, f"{WINKLER} >= 0.95 AS jaro_winkler, round({WINKLER}, 6) AS jaro_winkler_score")
+KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(r.size) - radians(l.size)) / 2), 2) + cos(radians(l.size)) * cos(radians(r.size)) * pow(sin((radians(r.size) - radians(l.size)) / 2), 2))))"
+compared("er_compare_sounds_and_places", {"soundex_match": ("soundex_match", "kind"), "exact_diacritics_insensitive": ("exact_diacritics_insensitive", "low"), "geo_within_km": ("geo_within_km", "size", {"left_lon": "size", "right_lon": "size", "max_km": 400.0}), "geo_distance_score": ("geo_distance_score", "size", {"left_lon": "size", "right_lon": "size", "max_km": 4000.0})},
+    f"{soundex_sql('l.kind')} = {soundex_sql('r.kind')} AS soundex_match, upper(l.low) = upper(r.low) AS exact_diacritics_insensitive, {KM} <= 400 AS geo_within_km, round(greatest(0, 1 - {KM} / 4000), 6) AS geo_distance_score")
+compared("er_compare_kernels", {"jaro_winkler": ("jaro_winkler", "kind"), "jaro_winkler_score": ("jaro_winkler_score", "kind"), "metaphone_match": ("metaphone_match", "kind"), "double_metaphone_match": ("double_metaphone_match", "kind")}, None)
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS l, b.vec_id AS r, list_distance(a.v, b.v) <= 8.1 AS euclid_near, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(a.v[i] - b.v[i]))) <= 53.7 AS manhattan_near FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""")
+def er_compare_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    a, b = e.alias("a"), e.alias("b")
+    x, y = F.col("a.embedding"), F.col("b.embedding")
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    return pairs.select(F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r"), COMPARISONS.call("euclidean_distance", x, y, max_distance=8.1).alias("euclid_near"), COMPARISONS.call("manhattan_distance", x, y, max_distance=53.7).alias("manhattan_near"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS l, b.vec_id AS r, a.v AS x, b.v AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
@@ -418,11 +480,37 @@ SIGNALS = (
 @query(f"""WITH RECURSIVE {REC}, {CAND}, x AS (SELECT left_entity_uid, right_entity_uid, {PARTS}, l.price = r.price AS auto, l.size = 7 AND r.size = 7 AS top,
  CASE WHEN l.source_name != r.source_name THEN -0.25 ELSE 0 END + CASE WHEN l.size = r.size THEN 0.5 ELSE 0 END + CASE WHEN l.price_bucket = r.price_bucket THEN 1.25 ELSE 0 END AS extra {PAIRS} WHERE NOT coalesce(l.note != r.note, false)),
 y AS (SELECT *, s_kind + s_size + s_price + extra AS s, (s_kind > 0)::INT + (s_size > 0)::INT + (s_price > 0)::INT AS n FROM x)
-SELECT left_entity_uid, right_entity_uid, s::DOUBLE AS match_total_score, CASE WHEN top THEN 'TOP' WHEN s >= 4 THEN 'HIGH' WHEN s >= 3 THEN 'MEDIUM' ELSE 'UNCLASSIFIED' END AS match_band, auto AS is_auto_match FROM y WHERE (s >= 2.5 OR auto) AND n >= 2""")
+SELECT left_entity_uid, right_entity_uid, s::DOUBLE AS match_total_score, CASE WHEN top THEN 'TOP' WHEN s >= 4 THEN 'HIGH' WHEN s >= 3 THEN 'MEDIUM' ELSE 'UNCLASSIFIED' END AS match_band, auto AS is_auto_match,
+ '{{"match_score_kind_exact":' || s_kind::DOUBLE || ',"match_score_size_numeric_within":' || s_size::DOUBLE || ',"match_score_price_numeric_percent_diff":' || s_price::DOUBLE || '}}' AS match_detail FROM y WHERE (s >= 2.5 OR auto) AND n >= 2""")
 def er_scoring_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, cand = candidates(spark, sf_dir)
     p = S.Scoring("signals", TESTS, min_score=2.5, min_matching_comparisons=2, signals=SIGNALS, bands=(S.Band("MEDIUM", 3.0, 4.0), S.Band("HIGH", 4.0)), audit=True)
-    return S.score_pairs(cand, rec, p).select(LEFT, RIGHT, SCORE, "match_band", "is_auto_match")
+    return S.score_pairs(cand, rec, p).select(LEFT, RIGHT, SCORE, "match_band", "is_auto_match", "match_detail")
+
+
+TYPED = "CASE WHEN {0}.size % 3 = 0 THEN 'ORG' ELSE 'PERSON' END"
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, x AS (SELECT left_entity_uid, right_entity_uid, {PARTS}, {TYPED.format('l')} AS lt, {TYPED.format('r')} AS rt, l.size = r.size AS same, l.price_bucket != r.price_bucket AS apart {PAIRS})
+SELECT left_entity_uid, right_entity_uid, (s_kind + s_size + s_price + CASE WHEN lt = 'ORG' AND rt = 'ORG' AND same THEN 2.0 ELSE 0 END)::DOUBLE AS match_total_score FROM x WHERE NOT (lt = 'PERSON' AND rt = 'PERSON' AND coalesce(apart, false)) AND s_kind + s_size + s_price + CASE WHEN lt = 'ORG' AND rt = 'ORG' AND same THEN 2.0 ELSE 0 END >= 2""")
+def er_scoring_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals that count for pairs of one entity type only."""
+    rec, cand = candidates(spark, sf_dir)
+    typed = rec.withColumn("entity_type", F.when(F.col("size") % 3 == 0, "ORG").otherwise("PERSON"))
+    signals = (S.Signal(S.Test("price_bucket", method="different"), "disqualify", entity_type="PERSON"), S.Signal(S.Test("size"), "bonus", 2.0, entity_type="ORG"))
+    return S.score_pairs(cand, typed, S.Scoring("typed", TESTS, min_score=2.0, signals=signals)).select(LEFT, RIGHT, SCORE)
+
+
+@query(f"""WITH RECURSIVE {REC}, {CAND}, tf AS (SELECT kind AS k, count(*) / (SELECT count(*) FROM rec) AS ratio FROM rec GROUP BY kind),
+x AS (SELECT left_entity_uid, right_entity_uid, CASE WHEN l.kind = r.kind THEN log2(0.9) - log2(greatest(0.002, tf.ratio, 0.004)) ELSE log2(0.1 / 0.95) END AS w {PAIRS} LEFT JOIN tf ON tf.k = l.kind)
+SELECT left_entity_uid, right_entity_uid, round(w, 6) AS match_total_score FROM x WHERE w >= 0""")
+def er_scoring_term_frequency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Fellegi-Sunter level whose u is the value's own frequency, but no less than two floors."""
+    rec, cand = candidates(spark, sf_dir)
+    levels = (S.Level("exact", S.Test("kind"), 0.9, 0.002, tf_adjusted=True), S.Level("else", None, 0.1, 0.95))
+    kind = S.Comparison(S.Test("kind"), name="kind", levels=levels, tf=S.TermFrequency("kind", 0.004))
+    out = S.score_pairs(cand, rec, S.Scoring("tf", (kind,), "fellegi_sunter", match_threshold=0.0), E.term_frequencies(rec, ["kind"]))
+    return rounded(out.select(LEFT, RIGHT, SCORE), SCORE)
 
 
 @query(f"{BASE} SELECT left_entity_uid, right_entity_uid, score AS match_total_score FROM m WHERE s_kind > 0 AND s_size > 0 AND s_price > 0")
@@ -472,6 +560,13 @@ def er_best_match_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.best_match_clusters(m, rec)
 
 
+@query(f"""{BASE}, each AS (SELECT left_entity_uid AS u, right_entity_uid AS w, conf FROM m WHERE conf >= 0.9 UNION ALL SELECT right_entity_uid, left_entity_uid, conf FROM m WHERE conf >= 0.9), best AS (SELECT u, w FROM each QUALIFY row_number() OVER (PARTITION BY u ORDER BY conf DESC, w) = 1)
+SELECT entity_uid, least(entity_uid, coalesce(w, entity_uid)) AS cluster_id FROM rec LEFT JOIN best ON u = entity_uid""")
+def er_clusters_min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec, m = matches(spark, sf_dir)
+    return K.cluster("best_match", m, rec, min_confidence=0.9)
+
+
 @query(f"""{FULL}, per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT source_name) AS s FROM clus JOIN rec USING (entity_uid) GROUP BY cluster_id)
 SELECT count(*) AS cluster_count, count(*) FILTER (WHERE n = 1) AS singleton_count, max(n) AS max_size, round(avg(n), 6) AS avg_size, median(n) AS median_size, round(avg(s), 6) AS avg_source_diversity, round((SELECT avg(conf) FROM m), 6) AS avg_confidence, (SELECT min(conf) FROM m) AS min_confidence, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS singleton_ratio FROM per""")
 def er_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,11 +590,14 @@ def er_cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FULL} SELECT entity_uid, name, cluster_id FROM clus JOIN rec USING (entity_uid)")
 def er_canonical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index after two merges, the second of which relabels earlier records."""
-    rec, _, c = clusters(spark, sf_dir)
+    """The index after two batches, the second of which relabels earlier records."""
+    rec, m = matches(spark, sf_dir)
     half, rest = rec.where("size < 25"), rec.where("size >= 25")
-    first = K.merge_canonical_index(K.canonical_index(rec), half, half.select(ENTITY_UID, F.col(ENTITY_UID).alias(CLUSTER_ID)))
-    return K.merge_canonical_index(first, rest, c).select(ENTITY_UID, "name", CLUSTER_ID)
+    old = half.select(F.col(ENTITY_UID).alias("u"))
+    inner = m.join(old.toDF(LEFT), LEFT, "left_semi").join(old.toDF(RIGHT), RIGHT, "left_semi")
+    none = K.canonical_index(rec)
+    first = materialize(K.merge_canonical_index(none, half, K.incremental_labels(inner, half, none)))
+    return K.merge_canonical_index(first, rest, K.incremental_labels(m, rest, first)).select(ENTITY_UID, "name", CLUSTER_ID)
 
 
 # Golden records.
@@ -585,6 +683,15 @@ def er_lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.lsh_buckets(load(spark, sf_dir, "embeddings"), 64, 2, 4, 42, "embedding", "vec_id")
 
 
+@query(f"""WITH b AS (SELECT vec_id, {_bucket(0)}, {_bucket(1)} FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))
+SELECT l.vec_id AS left_entity_uid, r.vec_id AS right_entity_uid FROM b l JOIN b r ON l.lsh_bucket_0 = r.lsh_bucket_0 AND l.lsh_bucket_1 = r.lsh_bucket_1 AND l.vec_id < r.vec_id""")
+def er_blocking_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share both of two bands."""
+    buckets = vectors.lsh_buckets(load(spark, sf_dir, "embeddings"), 64, 2, 4, 42, "embedding", "vec_id").withColumnRenamed("vec_id", ENTITY_UID).withColumn("source_name", F.lit("v"))
+    paths = tuple(B.BlockingPath((), (f"lsh_bucket_{i}",)) for i in range(2))
+    return B.block(buckets, B.Blocking(paths, lsh_min_bands=2)).select(LEFT, RIGHT)
+
+
 @query()
 def er_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embed(records(spark, sf_dir), ["name", "kind"], 32)
@@ -642,6 +749,15 @@ def er_compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compound.split_compounds(df, "name").select(F.col("_original_entity_uid").alias("k"), "name", F.col("_split_index").alias("part"))
 
 
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 IN (1, 3) THEN 2 ELSE 1 END AS n, CASE WHEN s_suppkey % 9 IN (1, 3) THEN 2 ELSE 1 END AS uids, s_suppkey % 9 NOT IN (1, 3) AS kept FROM supplier")
+def er_compound_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part of a split record has a uid of its own; others keep theirs."""
+    df = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(ENTITY_UID), F.expr(NAME).alias("name"))
+    parts = compound.split_compounds(df, "name")
+    own = F.max(F.col(ENTITY_UID) == F.col("_original_entity_uid"))
+    return parts.groupBy(F.col("_original_entity_uid").alias("k")).agg(F.count("*").cast("int").alias("n"), F.count_distinct(ENTITY_UID).cast("int").alias("uids"), own.alias("kept"))
+
+
 @query(f"""WITH {REC}, v AS (SELECT 'name' AS c, name AS v FROM rec UNION ALL SELECT 'kind', kind FROM rec UNION ALL SELECT 'note', note FROM rec), n AS (SELECT c, v, count(*) AS n FROM v GROUP BY c, v),
 p AS (SELECT c, sum(n)::BIGINT AS row_count, coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::BIGINT AS null_count, count(v) AS cardinality, max(n) FILTER (WHERE v IS NOT NULL) AS max_frequency FROM n GROUP BY c),
 q AS (SELECT *, least(greatest(1 / cardinality, 0.001), 0.999) AS u, least(greatest(1 - null_count / row_count, 0.001), 0.999) AS m FROM p)
@@ -711,11 +827,12 @@ def er_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.incremental import drain
     from .streaming.state import Watermarks
 
-    rec = materialize(records(spark, sf_dir).withColumnsRenamed({ENTITY_UID: "key", "source_name": "brand"}))
+    rec = materialize(records(spark, sf_dir).withColumnsRenamed({ENTITY_UID: "key", "source_name": "brand", "source_updated_at": "day"}))
     root = f"{shared_folder(spark)}/drain-{uuid.uuid4().hex}"
     n = rec.count()
-    p = Staging("part", "key", "source_updated_at", tuple(c for c in rec.columns if c != "source_updated_at"), batch_size=n // 3 + 1)
+    p = Staging("part", "key", "day", tuple(rec.columns), batch_size=n // 3 + 1)
     index = VersionedTable(spark, f"{root}/index")
-    featurize = lambda df: df.withColumns({ENTITY_UID: F.col("key"), "source_name": F.col("brand")}).drop("key", "brand", "pipeline_loaded_at")
-    drain(rec, p, ["key"], featurize, BLOCKING, [SCORING], index, Watermarks(spark, root), "run")
+    featurize = lambda df: df.withColumns({ENTITY_UID: F.col("key"), "source_name": F.col("brand")}).drop("key", "brand", "day", "pipeline_loaded_at")
+    # Few days for many records: batches end between days, wherever their size would cut.
+    drain(rec, p, ["day"], featurize, BLOCKING, [SCORING], index, Watermarks(spark, root), "run")
     return index.read().select(ENTITY_UID, CLUSTER_ID)

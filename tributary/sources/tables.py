@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import uuid
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,41 +76,70 @@ def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
     return current.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(*current.columns))
 
 
-class VersionedTable:
-    """A table whose versions are folders below a path, and whose current version is the newest
-    marker. A version is read only once its marker is there, so that readers see whole versions,
-    and a writer that dies leaves the last one current. Only Spark's file system is used."""
+class Files:
+    """The file system of a path, as Spark sees it."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._paths = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._paths(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> dict[str, float]:
+        """Names in a folder, with the second they were last touched."""
+        at = self._path(folder)
+        return {f.getPath().getName(): f.getModificationTime() / 1e3 for f in self._fs.listStatus(at)} if self._fs.exists(at) else {}
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def claim(self, path: str) -> bool:
+        """Makes an empty file; False if it is there already. The file system decides who is first."""
+        try:
+            return bool(self._fs.createNewFile(self._path(path)))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+
+    def touch(self, path: str, second: float) -> None:
+        self._fs.setTimes(self._path(path), int(second * 1e3), -1)
+
+
+class VersionedTable:
+    """A table whose versions are numbered folders below a path; the current one is the last that is
+    whole. A writer first claims its number with a file that only one can make, so that of two
+    writers one fails before it writes; a writer that dies leaves the last version current, and its
+    claim counts no longer after `stale` seconds. Only Spark's file system is used."""
+
+    def __init__(self, spark: SparkSession, path: str, stale: float = 3600) -> None:
+        self.spark, self.path, self.stale, self._files = spark, path.rstrip("/"), stale, Files(spark, path)
+
+    def _numbers(self, folder: str) -> dict[int, float]:
+        return {int(n): t for n, t in self._files.names(folder).items() if n.isdigit()}
 
     def version(self) -> int:
-        folder = self._paths(f"{self.path}/_current")
-        if not self._fs.exists(folder):
-            return 0
-        return max((int(f.getPath().getName().split("-")[0]) for f in self._fs.listStatus(folder)), default=0)
+        return next((n for n in sorted(self._numbers(self.path), reverse=True) if self._files.exists(f"{self.path}/{n}/_SUCCESS")), 0)
 
     def read(self) -> DataFrame | None:
         n = self.version()
-        if not n:
-            return None
-        folder = self._paths(f"{self.path}/_current")
-        name = next(f.getPath().getName() for f in self._fs.listStatus(folder) if f.getPath().getName().startswith(f"{n}-"))
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def write(self, df: DataFrame, expected: int | None = None) -> int:
-        """A new version. expected: the version it is made from; another one by now is an error."""
-        name = uuid.uuid4().hex
-        n = self.version() + 1
-        if expected is not None and n != expected + 1:
-            raise RuntimeError(f"{self.path} is at version {n - 1}, not {expected}")
-        df.write.parquet(f"{self.path}/{n}-{name}")
-        marks = self._paths(f"{self.path}/_current")
-        self._fs.mkdirs(marks)
-        if any(f.getPath().getName().startswith(f"{n}-") for f in self._fs.listStatus(marks)):
-            raise RuntimeError(f"{self.path} already has a version {n}")
-        self._fs.create(self._paths(f"{self.path}/_current/{n}-{name}"), False).close()
+        return self.spark.read.parquet(f"{self.path}/{n}") if n else None
+
+    def write(self, df: DataFrame, expected: int | None = None, note: str = "") -> int:
+        """A new version. expected: the version it is made from; another one by now is an error. note: kept
+        with the version."""
+        now, claims = self.version(), self._numbers(f"{self.path}/_claims")
+        if expected is not None and now != expected:
+            raise RuntimeError(f"{self.path} is at version {now}, not {expected}")
+        if any(n > now and t > time.time() - self.stale for n, t in claims.items()):
+            raise RuntimeError(f"another writer makes a version of {self.path}")
+        n = max([now, *claims]) + 1
+        if not self._files.claim(f"{self.path}/_claims/{n}"):
+            raise RuntimeError(f"another writer makes version {n} of {self.path}")
+        if note:
+            self._files.claim(f"{self.path}/_notes/{n}-{note}")
+        df.write.parquet(f"{self.path}/{n}")
         return n
+
+    def note(self) -> str:
+        """What was kept with the current version."""
+        n = self.version()
+        return next((x.partition("-")[2] for x in self._files.names(f"{self.path}/_notes") if x.partition("-")[0] == str(n)), "")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..columns import CLUSTER_ID, ENTITY_UID
 from ..operators.blocking import Blocking, block
-from ..operators.clustering import canonical_index, incremental_components, merge_canonical_index
+from ..operators.clustering import canonical_index, incremental_labels, merge_canonical_index
 from ..operators.scoring import Scoring, accumulate, score_pairs
-from ..operators.staging import Staging, beyond, stage
+from ..operators.staging import Staging, stage
 from ..sources.tables import VersionedTable
 from ..storage import materialize
 from .state import Lock, Watermarks, cursors_of
@@ -25,55 +25,63 @@ from .state import Lock, Watermarks, cursors_of
 Featurize = Callable[[DataFrame], DataFrame]
 
 
-def resolve_batch(index: DataFrame | None, records: DataFrame, blocking: Blocking, tiers: list[Scoring], tf: DataFrame | None = None) -> DataFrame:
+def resolve_batch(index: DataFrame | None, records: DataFrame, blocking: Blocking | list[Blocking], tiers: list[Scoring], tf: Callable[[DataFrame], DataFrame] | DataFrame | None = None) -> DataFrame:
     """The index after a batch: new records matched among themselves and with all earlier ones,
-    clusters joined and relabelled, also those of earlier records."""
+    clusters joined and relabelled, also those of earlier records. blocking: one for all tiers or
+    one for each. tf: term frequencies, or what makes them from all records."""
     records = materialize(records.dropDuplicates([ENTITY_UID]))
     if index is None:
         index = canonical_index(records)
     earlier = index.join(records.select(ENTITY_UID), ENTITY_UID, "left_anti")
-    everyone = materialize(earlier.drop(CLUSTER_ID).unionByName(records.select(*[c for c in index.columns if c != CLUSTER_ID])))
+    everyone = earlier.drop(CLUSTER_ID).unionByName(records.select(*[c for c in index.columns if c != CLUSTER_ID]))
+    if callable(tf):
+        tf = materialize(tf(everyone))
     matches = None
-    for tier in tiers:
-        pairs = block(records, blocking, canonical=earlier, excluded=matches)
+    for tier, paths in zip(tiers, blocking if isinstance(blocking, list) else [blocking] * len(tiers), strict=True):
+        pairs = block(records, paths, canonical=earlier, excluded=matches)
         matches = materialize(accumulate(matches, score_pairs(pairs, everyone, tier, tf)))
-    clusters = incremental_components(matches, records, index)
-    return merge_canonical_index(index, records, clusters)
+    return merge_canonical_index(index, records, incremental_labels(matches, records, index))
 
 
-def has_more(source: DataFrame, p: Staging) -> bool:
-    rows = source.where(beyond(p.watermark, p.cursor_mode, 0)) if p.watermark else source
-    return not rows.limit(1).isEmpty()
-
-
-def drain(source: DataFrame, p: Staging, cursors: list[str], featurize: Featurize, blocking: Blocking, tiers: list[Scoring], index: VersionedTable, marks: Watermarks, run_id: str, lock: Lock | None = None, most: int = 100) -> int:
-    """Batches until the source has nothing beyond the watermark; the number of batches."""
-    for n in range(most):
-        mark = marks.read(p.source_name)
-        now = replace(p, watermark=mark, cursors=tuple(cursors), passthrough_columns=tuple(dict.fromkeys([*p.passthrough_columns, *cursors])))
-        if not has_more(source, now):
-            return n
+def drain(source: DataFrame, p: Staging, cursors: list[str], featurize: Featurize, blocking: Blocking | list[Blocking], tiers: list[Scoring], index: VersionedTable, marks: Watermarks, run_id: str, lock: Lock | None = None, most: int | None = None, tf: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Batches until the source has nothing beyond the watermark, or `most` of them; their number.
+    A batch holds all rows of its last cursor values, so that none is left behind the watermark."""
+    n, mark = 0, marks.read(p.source_name)
+    while most is None or n < most:
+        # What a grace period reads again comes with the first batch only.
+        now = replace(p, watermark=mark, cursors=tuple(cursors), grace_period_hours=p.grace_period_hours if n == 0 else 0, full_refresh=p.full_refresh and n == 0, passthrough_columns=tuple(dict.fromkeys([*p.passthrough_columns, *cursors])))
         staged = materialize(stage(source, now))
+        new = cursors_of(staged, cursors, mark if p.cursor_mode == "independent" else None)
+        if not new:
+            break
         version = index.version()
-        after = resolve_batch(index.read(), featurize(staged), blocking, tiers)
+        after = resolve_batch(index.read(), featurize(staged), blocking, tiers, tf)
         if lock:
             lock.refresh()
         index.write(after, expected=version)
-        new = cursors_of(staged, cursors)
-        if not new or new == mark:
-            return n + 1
-        marks.write(p.source_name, new, run_id, lock)
-    return most
+        n += 1
+        if _order(new) > _order(mark):
+            marks.write(p.source_name, new, run_id, lock)
+            mark = new
+        elif n > 1:
+            break
+    return n
+
 
+def _order(mark: dict[str, object]) -> list[tuple]:
+    return [(v is not None, v) for v in mark.values()]
 
-def stream(source: DataFrame, featurize: Featurize, blocking: Blocking, tiers: list[Scoring], index: VersionedTable, checkpoint: str):
+
+def stream(source: DataFrame, featurize: Featurize, blocking: Blocking | list[Blocking], tiers: list[Scoring], index: VersionedTable, checkpoint: str):
     """A query over a streaming source that is staged already (entity_uid, source_name, ...). Each
-    micro-batch makes a version of the index; a batch that is repeated gives the same index."""
+    micro-batch makes a version of the index, which keeps the batch's number, so that a batch that is
+    repeated after its version was written is skipped."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        if batch.isEmpty() or (held := index.note()).isdigit() and int(held) >= batch_id:
             return
-        index.write(resolve_batch(index.read(), featurize(batch), blocking, tiers))
+        version = index.version()
+        index.write(resolve_batch(index.read(), featurize(batch), blocking, tiers), expected=version, note=str(batch_id))
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

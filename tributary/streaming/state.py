@@ -1,13 +1,13 @@
 """What a run leaves for the next: watermarks, checkpoints of stages, a lock with fencing tokens.
 
-Each is a small append-only Parquet table below a path; the latest row counts. Writes that a
-fencing token guards raise before they write when the lock has moved on.
+Watermarks and checkpoints are small append-only Parquet tables below a path; the latest row counts.
+Writes that a fencing token guards raise when the lock has moved on, and carry the token, so that
+one that slips through doesn't count.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Sequence
 from datetime import date, datetime
 from decimal import Decimal
@@ -15,9 +15,10 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CURSORS = "source_name string, cursor_column string, cursor_value string, cursor_type string, run_id string, updated_at double"
+from ..sources.tables import Files
+
+CURSORS = "source_name string, cursor_column string, cursor_value string, cursor_type string, run_id string, updated_at double, token long"
 STAGES = "run_id string, stage_name string, completed_at double"
-LOCKS = "pipeline string, holder string, token long, until double"
 COMPLETE = "__run_complete__"
 
 _TYPED = {
@@ -48,65 +49,73 @@ class _Log:
 
 
 class Lock:
-    """At most one run at a time: acquiring gives a token larger than any before. A lock that its
-    holder hasn't refreshed in time can be taken."""
+    """At most one run at a time: acquiring gives a token larger than any before, which only one can
+    take, as it is a file that only one can make. A lock that its holder hasn't refreshed in time can be taken."""
 
     def __init__(self, spark: SparkSession, path: str, pipeline: str, seconds: float = 3600) -> None:
-        self.log, self.pipeline, self.seconds = _Log(spark, f"{path}/locks", LOCKS), pipeline, seconds
-        self.holder, self.token = uuid.uuid4().hex, 0
+        self.folder, self.pipeline, self.seconds, self.token = f"{path}/locks/{pipeline}", pipeline, seconds, 0
+        self._files = Files(spark, path)
 
-    def _latest(self) -> tuple[str, int, float]:
-        rows = self.log.read().where(F.col("pipeline") == self.pipeline)
-        r = rows.agg(F.max_by(F.struct("holder", "token", "until"), F.struct("token", "until")).alias("r")).first().r
-        return (r.holder, r.token, r.until) if r else ("", 0, 0.0)
+    def _latest(self) -> tuple[int, float]:
+        """The last token and the second from which on it can be taken."""
+        names = self._files.names(self.folder)
+        token = max((int(n) for n in names if n.isdigit()), default=0)
+        return token, 0.0 if not token or f"{token}.released" in names else names[str(token)]
 
     def acquire(self) -> int:
-        holder, token, until = self._latest()
-        if holder and holder != self.holder and until > time.time():
+        token, until = self._latest()
+        if until > time.time() or not self._files.claim(f"{self.folder}/{token + 1}"):
             raise RuntimeError(f"{self.pipeline} is locked by another run")
         self.token = token + 1
-        self.log.add([(self.pipeline, self.holder, self.token, time.time() + self.seconds)])
-        self.verify()
+        self.refresh()
         return self.token
 
     def refresh(self) -> None:
+        """The token's file is dated with the second up to which the lock is held."""
         self.verify()
-        self.log.add([(self.pipeline, self.holder, self.token, time.time() + self.seconds)])
+        self._files.touch(f"{self.folder}/{self.token}", time.time() + self.seconds)
 
     def verify(self) -> None:
-        holder, token, _ = self._latest()
-        if (holder, token) != (self.holder, self.token):
+        token, until = self._latest()
+        if token != self.token or not until:
             raise RuntimeError(f"the lock on {self.pipeline} has gone to another run")
 
     def release(self) -> None:
         self.verify()
-        self.log.add([(self.pipeline, self.holder, self.token, time.time() - 1e-3 + 0.0)])
-        self.log.add([(self.pipeline, "", self.token + 1, 0.0)])
+        self._files.claim(f"{self.folder}/{self.token}.released")
 
 
 class Watermarks:
+    """Of each cursor, the value that was written last under the largest token: what a run writes
+    after its lock has gone to another is there, but never counts."""
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.log = _Log(spark, f"{path}/watermarks", CURSORS)
 
     def read(self, source: str) -> dict[str, object]:
         """The current value of each cursor."""
         rows = self.log.read().where(F.col("source_name") == source)
-        latest = rows.groupBy("cursor_column").agg(F.max_by(F.struct("cursor_value", "cursor_type"), "updated_at").alias("v"))
+        latest = rows.groupBy("cursor_column").agg(F.max_by(F.struct("cursor_value", "cursor_type"), F.struct("token", "updated_at")).alias("v"))
         return {r.cursor_column: _TYPED[r.v.cursor_type][1](r.v.cursor_value) for r in latest.collect()}  # one row a cursor
 
     def write(self, source: str, cursors: dict[str, object], run_id: str, lock: Lock | None = None) -> None:
         if lock:
             lock.verify()
-        self.log.add([(source, c, _TYPED[type_of(v)][0](v), type_of(v), run_id, time.time()) for c, v in cursors.items()])
+        self.log.add([(source, c, _TYPED[type_of(v)][0](v), type_of(v), run_id, time.time(), lock.token if lock else 0) for c, v in cursors.items()])
 
     def history(self, source: str) -> DataFrame:
         return self.log.read().where(F.col("source_name") == source).orderBy("updated_at")
 
 
-def cursors_of(staged: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """The largest tuple of cursor values among staged rows; empty where there are none."""
-    r = staged.agg(F.max(F.struct(*columns)).alias("m")).first().m
-    return {c: r[c] for c in columns} if r else {}
+def cursors_of(staged: DataFrame, columns: Sequence[str], independent_of: dict[str, object] | None = None) -> dict[str, object]:
+    """The largest tuple of cursor values among staged rows; empty where there are none.
+    independent_of: a watermark whose cursors advance each by itself."""
+    if independent_of is None:
+        r = staged.agg(F.max(F.struct(*columns)).alias("m")).first().m
+        return {c: r[c] for c in columns} if r else {}
+    r = staged.agg(F.count("*").alias("_n"), *(F.max(c).alias(c) for c in columns)).first()
+    both = {c: [v for v in (r[c], independent_of.get(c)) if v is not None] for c in columns}
+    return {c: max(v) if v else None for c, v in both.items()} if r["_n"] else {}
 
 
 class Checkpoints:
