@@ -8,7 +8,9 @@ A suffix array of the corpus would have to be sorted in one place, so the places
    distance. Consecutive windows of one anchor make a span; about one span starts for each
    177 bytes, and each window lies in just one.
 2. Spans whose anchor hash is nowhere else hold no repeated window. Equal spans are one class;
-   a class of two spans or more is repeated as a whole.
+   a class of two spans or more is repeated as a whole. A window reaches 176 bytes beyond its anchor
+   to the left or to the right; classes that share neither half with another of their anchor hash
+   hold no repeated window.
 3. Anchor hashes with several classes are dealt into shards of bounded size. A shard's suffix array
    is built by induced sorting, and the permuted common prefixes with the neighbours in it tell
    which windows are repeated. No window is in two spans, so nothing matches itself.
@@ -20,8 +22,8 @@ So all windows are judged, on the whole input and exactly but for collisions of
 and no shard grows with a group's size.
 
 Defined results: null and empty texts have no bytes; null ids stay null, and count as one id;
-rows of one id and text are each a document and remove each other's bytes; an empty table gives
-no rows; extra columns are ignored. Removing bytes can cut a character, so what is kept is binary.
+rows of one id and text are each a document and remove each other's bytes; a very long text is cut
+into spans piece by piece; an empty table gives no rows; extra columns are ignored. Removing bytes can cut a character, so what is kept is binary.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_id, pick, real_id, release, stash, table
+from .common import long_id, pick, real_id, stash, table
 from .suffix_array import repeated_windows
 
 WIDTH = 400
 ANCHOR = 48
+#: Bytes beyond its anchor that a window has on one side at least.
+HALF = (WIDTH - ANCHOR) // 2
 #: Windows of a text that are looked at together.
 CHUNK = 1 << 19
 #: Classes of an anchor hash that go into one shard undivided.
@@ -105,7 +109,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "tie", "h", "start", "n", "lead", "k1", "k2"]
+    """The spans of all documents; k1, k2: their bytes; l, r: their anchor with HALF bytes to the left and
+    to the right, where a window of theirs reaches so far."""
+    names = ["doc_id", "tie", "h", "start", "n", "lead", "k1", "k2", "l", "r"]
+    half = lambda raw, a, b: np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw[a:b])).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +120,15 @@ def _anchored(docs: DataFrame) -> DataFrame:
             for doc, tie, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for h, start, n, lead in spans(raw):
-                    for col, x in zip(cols, (doc, tie, h, start, n, lead, *_two(raw[start : start + n - 1 + WIDTH])), strict=True):
+                    at = start + lead
+                    left = half(raw, at - HALF, at + ANCHOR) if lead >= HALF else None
+                    right = half(raw, at, at + ANCHOR + HALF) if lead - n + 1 <= WIDTH - ANCHOR - HALF else None
+                    for col, x in zip(cols, (doc, tie, h, start, n, lead, *_two(raw[start : start + n - 1 + WIDTH]), left, right), strict=True):
                         col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, tie long, h long, start long, n int, lead int, k1 long, k2 long")
+    return docs.mapInArrow(run, "doc_id long, tie long, h long, start long, n int, lead int, k1 long, k2 long, l long, r long")
 
 
 KEY = ["g1", "g2"]
@@ -128,14 +138,16 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of spans (g1, g2: group; k1, k2: their bytes; doc_id, tie, start, n, ...): those that are
     repeated as a whole, and one of each class, with `sole` and `size` (classes of its group), of
     groups that still have something to judge."""
-    classes = rows.groupBy(*KEY, "k1", "k2").agg(F.count("*").alias("spans"), F.min(F.struct("doc_id", "tie", "start", "n", "lead", "lo")).alias("one"))
-    classes = stash(classes)
-    groups = classes.groupBy(*KEY).agg(F.count("*").alias("size"), F.count_if(F.col("spans") == 1).alias("soles")).where("size > 1 AND soles > 0")
-    groups = stash(groups)
+    classes = stash(rows.groupBy(*KEY, "k1", "k2").agg(F.count("*").alias("spans"), F.min(F.struct("doc_id", "tie", "start", "n", "lead", "lo", "l", "r")).alias("one")))
+    mixed = lambda df: df.groupBy(*KEY).agg(F.count("*").alias("size"), F.count_if("sole").alias("soles")).where("size > 1 AND soles > 0").drop("soles")
     again = classes.where("spans > 1").select(*KEY, "k1", "k2")
     whole = rows.join(again, [*KEY, "k1", "k2"]).select("doc_id", "tie", "start", "n")
-    open_ = classes.join(groups, KEY).select(*KEY, "size", (F.col("spans") == 1).alias("sole"), "one.*")
-    return whole, open_
+    sole = classes.select(*KEY, "k1", "k2", (F.col("spans") == 1).alias("sole"), "one.*")
+    open_ = stash(sole.join(mixed(sole).drop("size"), KEY))
+    halves = open_.select(*KEY, "k1", "k2", F.explode(F.array("l", "r")).alias("half")).where("half IS NOT NULL")
+    often = halves.groupBy(*KEY, "half").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    near = open_.join(halves.join(often, [*KEY, "half"]).select(*KEY, "k1", "k2"), [*KEY, "k1", "k2"], "left_semi")
+    return whole, near.join(mixed(near), KEY).select(*KEY, "size", "sole", "doc_id", "tie", "start", "n", "lead", "lo")
 
 
 def _with_bytes(open_: DataFrame, docs: DataFrame) -> DataFrame:
@@ -236,12 +248,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     anchored = stash(_anchored(docs))
     # A stored table, so that the join deals its rows anew and Spark can split a hash that is everywhere.
     often = stash(anchored.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    live = anchored.join(often, "h").select("doc_id", "tie", F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "start", "n", "lead", F.lit(0).alias("lo"), "k1", "k2")
+    live = anchored.join(often, "h").select("doc_id", "tie", F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "start", "n", "lead", F.lit(0).alias("lo"), "k1", "k2", "l", "r")
     live = stash(live)
-    release(docs.sparkSession)
     whole, open_ = _classes(live)
     full = stash(_with_bytes(open_, docs).dropDuplicates([*KEY, "doc_id", "tie", "start"]))
-    release(docs.sparkSession)
     found, small = _divided(full.where(f"size > {SMALL}").select("doc_id", "tie", *KEY, "start", "n", "lead", "lo", "sole", "raw"))
     spans_ = full.where(f"size <= {SMALL}").select("doc_id", "tie", "start", "sole", *KEY, "raw")
     for s in small:
@@ -288,4 +298,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a removed run may begin within a character
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "removed", text.alias("text"))
