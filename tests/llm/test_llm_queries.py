@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from helpers import check_query
+from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_lines
 
 from tributary.llm import decontamination, quality, sentencepiece
@@ -22,7 +23,7 @@ def test_query(spark, sf_dir, name):
 def plain_pipeline(rows, items, kept):
     """doc_id, text and ids of what is left, stage by stage."""
     rows = [r for r in rows if r[0] in kept]
-    rows = [(d, t) for d, _, _, t in brute_lines(rows)]
+    rows = [(d, t) for d, _, n, t in brute_lines(rows) if not n or t.strip(" \t\n\x0b\x0c\r")]
     groups = [eval(x) for x in brute_components(rows)]  # noqa: S307  (doc_id, size, component_id)
     first = {d for d, _, c in groups if d == c}
     rows = [r for r in rows if r[0] in first]
@@ -51,7 +52,15 @@ def test_stages_take_odd_rows(spark, sf_dir):
     long = " ".join(f"w{random.Random(i).randrange(99)}" for i in range(3000))
     rows = [(1, None, None, None, None), (None, long, "en", "s", 1), (2, long, None, "s", None), (2, long, "en", "s", 1), (3, "", "", "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
+    clash = docs.withColumn("more", F.lit(1)).toDF(*docs.columns, "TEXT")
+    for frame in (docs, docs.limit(0), clash):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, sf_dir)
-            assert out.columns[:5] == docs.columns and out.count() <= frame.count(), name
+            assert out.columns[: len(frame.columns)] == frame.columns and out.count() <= frame.count(), name
+
+
+def test_pipeline_takes_clashing_names(spark, sf_dir, monkeypatch):
+    table = corpus_pipeline.table
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: table(s, d, name).withColumn("more", F.lit(1)).toDF("doc_id", "text", "lang", "source", "n_chars", "TEXT") if name == "documents" else table(s, d, name))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns[5] == "TEXT" and out.count() > 0

@@ -336,11 +336,14 @@ class LineIndex:
         return out.toDF(*docs.columns, "n_lines", "n_dropped", "kept")
 
 
-def dedup_text(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with deduplicated text and its n_chars, in its own columns."""
+def dedup_text(docs: DataFrame, min_chars: int = 10, keep_emptied: bool = True) -> DataFrame:
+    """docs with deduplicated text and its n_chars, in its own columns. keep_emptied: whether a document
+    stays of which no word is left."""
     out = LineIndex.build(docs, min_chars).dedup(docs)
     flat = out.toDF(*(f"c{i}" for i in range(len(out.columns))))
-    kept = flat.columns[-1]
+    dropped, kept = flat.columns[-2:]
+    if not keep_emptied:
+        flat = flat.where((F.col(dropped) == 0) | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
     value = {"text": F.col(kept), "n_chars": F.length(kept).cast("long")}
     seen: set[str] = set()
     cols = []

@@ -11,8 +11,9 @@ No piece holds the space mark after another character, so that best paths split
 run of space marks: each such word is solved once and remembered, in a table of bounded size.
 A text without spaces is one word, solved as a whole.
 
-Defined results: null and empty texts have no tokens; null ids, repeated rows and extra columns
-need no care, as each row stands alone; an empty table gives no rows.
+Defined results: null and empty texts have no tokens; a very long text is split into words like
+others; of paths of equal score the tie rule above decides; null ids and repeated rows need no
+care, as each row stands alone; extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -160,42 +161,46 @@ def pieces(path: str) -> Pieces:
     return Pieces(load_pieces(path))
 
 
+def _extended(docs: DataFrame, new: dict[str, T.DataType], values: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """docs with new columns, in place of those of exactly these names; columns go by position, so that
+    other names may clash. A thousand rows go at a time, as ids take several times the room of the text."""
+    kept = [c for c in docs.columns if c not in new]
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    flat = flat.select(*(f"c{i}" for i, c in enumerate(docs.columns) if c not in new)).toDF(*(f"c{i}" for i in range(len(kept))))
+    text = kept.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *values(batch.column(text).to_pylist())], [*batch.schema.names, *new])
+
+    return flat.mapInArrow(run, T.StructType([*flat.schema.fields, *(T.StructField(n, t) for n, t in new.items())])).toDF(*kept, *new)
+
+
 def with_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with ids (array<int>), n_tokens (long) and round_trip (boolean: decoding the ids
     gives the text, in which space marks count as spaces). Existing columns of these names are replaced."""
     model = model or default_model()
-    new = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "round_trip": T.BooleanType()}
-    docs = docs.drop(*new)
 
-    def run(batches):
+    def values(texts: list[str | None]) -> list[pa.Array]:
         p = pieces(model)
-        # A thousand rows go back at a time, as ids take several times the room of the text.
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            texts = batch.column("text").to_pylist()
-            ids = [p.encode_array(t) for t in texts]
-            back = [p.decode(x.tolist()) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            cols = [lists, pa.array(sizes), pa.array(back, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
+        ids = [p.encode_array(t) for t in texts]
+        back = [p.decode(x.tolist()) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        return [lists, pa.array(sizes), pa.array(back, pa.bool_())]
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new.items())])
-    return docs.mapInArrow(run, schema)
+    return _extended(docs, {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "round_trip": T.BooleanType()}, values)
 
 
 def with_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with n_tokens (long) and score (double) of the best path, which is not kept."""
     model = model or default_model()
-    docs = docs.drop("n_tokens", "score")
 
-    def run(batches):
-        p = pieces(model)
-        for batch in batches:
-            got = [p.count(t) for t in batch.column("text").to_pylist()]
-            cols = [pa.array((n for n, _ in got), pa.int64()), pa.array((s for _, s in got), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "n_tokens", "score"])
+    def values(texts: list[str | None]) -> list[pa.Array]:
+        got = [pieces(model).count(t) for t in texts]
+        return [pa.array((n for n, _ in got), pa.int64()), pa.array((s for _, s in got), pa.float64())]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return _extended(docs, {"n_tokens": T.LongType(), "score": T.DoubleType()}, values)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
