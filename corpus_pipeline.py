@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import decontamination, jaccard, lines, quality, sentencepiece
-from tributary.llm.common import scratch, table
+from tributary.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document of smaller id holds go; text and n_chars are what is left."""
-    return lines.dedup_text(docs)
+    """Lines that a document of smaller id holds go; text and n_chars are what is left. A document of
+    which no word is left, a copy of others, goes."""
+    return lines.dedup_text(docs, keep_emptied=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = scratch(spark)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            # By position, as names of extra columns may clash in a file.
+            docs = stash(docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))).toDF(*docs.columns)
     return docs
