@@ -326,6 +326,54 @@ def test_batches_give_what_one_run_gives(spark, customers, folder):
     assert drain(customers, p, ["updated_at", "id"], featurize, blocking, tiers, index, marks, "r2") == 0
 
 
+def test_pipeline_drains_joins_enriches_and_learns(spark, folder):
+    rows = [(i, f"Ann Lee{i // 2}", f"a{i // 2}@x.org", "us", datetime.datetime(2024, 1, 1 + i % 3)) for i in range(12)]
+    people = spark.createDataFrame(rows, "id long, name string, email string, code string, at timestamp")
+    nations = spark.createDataFrame([("US", "America"), ("DE", "Germany")], "code string, nation string")
+    orders = spark.createDataFrame([(i, 10 * i) for i in range(12)], "person long, total long")
+    d = {
+        "sources": [{"name": "p", "table": "people", "unique_key": "id", "updated_at": "at", "batch_size": 3, "columns": [{"name": "name"}, {"name": "email"}, {"name": "code"}], "cursors": ["at"],
+                     "joins": [{"table": "orders", "on": "src.id = o.person", "alias": "o", "columns": ["total"]}]}],
+        "feature_engineering": {"features": [{"name": "email_clean", "function": "lower_trim", "input": "email"}], "composite_keys": [{"name": "both", "inputs": ["email_clean", "code"]}],
+                                "enrichment_joins": [{"table": "nations", "function": "upper_trim", "input": "code", "lookup_key": "code", "columns": ["nation"], "prefix": "in_", "flag": "found"}]},
+        "matching_tiers": [{"name": "t", "blocking": {"paths": [{"keys": ["code"]}]}, "comparisons": [{"left": "both", "method": "exact", "weight": 2}, {"left": "total", "method": "numeric_within", "params": {"tolerance": 15}}], "threshold": {"min_score": 2}}],
+        "models": [{"tier": "t", "held_out": 0.3}],
+    }
+    c = C.from_dict(d)
+    assert C.validate(c) == []
+    lookups, p = {"orders": orders, "nations": nations}, Pipeline(c)
+    assert p.drain({"p": people}, folder, lookups)["p"] == 3 and p.drain({"p": people}, folder, lookups)["p"] == 0
+    index = Pipeline.index(spark, folder)
+    assert index.where("in_nation = 'America' AND found = 1 AND total IS NOT NULL").count() == 12
+    assert sorted(r["count"] for r in index.groupBy(CLUSTER_ID).count().collect()) == [2] * 6
+    d["sources"][0] |= {"batch_size": None}
+    c = C.from_dict(d)
+    staged = staging.stage(people, staging.Staging("p", "id", "at", ("email",))).select(ENTITY_UID, "email")
+    labels = staged.toDF(LEFT, "a").join(staged.toDF(RIGHT, "b"), F.col(LEFT) < F.col(RIGHT)).select(LEFT, RIGHT, (F.col("a") == F.col("b")).alias("is_match"))
+    out = Pipeline(c).run({"p": people, "labels": labels}, lookups=lookups)
+    seen = {r.metric: r.value for r in out["evaluation_t"].collect()}
+    assert seen["accuracy"] == 1.0 and out["predictions_t"].where("ml_is_match").count() == 6 and out["matrix_t"].count() == labels.count()
+
+
+def test_validators():
+    good = {"sources": [{"name": "s", "table": "t", "unique_key": "id", "updated_at": "at", "columns": [{"name": "a"}]}], "matching_tiers": [{"name": "t", "blocking": {"paths": [{"keys": ["a"]}]}, "comparisons": [{"left": "a"}], "threshold": {"min_score": 1}}]}
+    assert C.validate(C.from_dict(good)) == []
+    with pytest.raises(ValueError, match="unknown key 'matching_tier'"):
+        C.from_dict(good | {"matching_tier": []})
+    source = lambda **k: good | {"sources": [good["sources"][0] | k]}
+    tier = lambda **k: good | {"matching_tiers": [good["matching_tiers"][0] | k]}
+    level = {"label": "x", "method": "exact", "m": 0.9, "u": 0.1}
+    wrong = {
+        "unknown cursor mode": source(cursor_mode="both"), "batch size": source(batch_size=0), "grace period": source(grace_period_hours=-1), "hash cursor": source(hash_cursor={"column": "a", "modulus": 1}), "partition cursor": source(partition_cursors=[{"column": "a", "value": 1, "strategy": "near"}]),
+        "unknown type": source(columns=[{"name": "a", "type": "BIGNUMERIC"}]), "unknown join": source(joins=[{"table": "x", "on": "true", "type": "outer"}]), "unknown method": tier(threshold={"method": "guess"}), "no last one": tier(threshold={"method": "fellegi_sunter"}, comparisons=[{"left": "a", "levels": [level]}]),
+        "only fellegi_sunter": tier(comparisons=[{"left": "a", "levels": [level, {"label": "else"}]}]), "negative weight": tier(comparisons=[{"left": "a", "weight": -1}]), "comparison 'a_exact' twice": tier(comparisons=[{"left": "a"}, {"left": "a"}]), "more agreeing": tier(threshold={"min_matching_comparisons": 3}),
+        "overlap": tier(score_banding={"enabled": True, "bands": [{"name": "L", "min_score": 1, "max_score": 3}, {"name": "H", "min_score": 2}]}), "outside 0 to 1": tier(confidence=2), "unknown clustering": good | {"reconciliation": {"clustering": {"method": "k"}}},
+        "which no source has": good | {"reconciliation": {"canonical_selection": {"field_strategies": [{"column": "z"}]}}}, "unknown tier": good | {"models": [{"tier": "z"}]}, "holds out": good | {"models": [{"tier": "t", "held_out": 1}]},
+    }
+    for said, d in wrong.items():
+        assert any(said in x for x in C.validate(C.from_dict(d))), said
+
+
 def test_drain_loses_no_tied_rows(spark, folder):
     rows = spark.createDataFrame([(i, f"n{i // 2}", datetime.datetime(2024, 1, 1 + i % 2)) for i in range(12)], "id long, name string, at timestamp")
     comparison = scoring.Comparison(scoring.Test("name", "name", "exact"))

@@ -56,7 +56,15 @@ def cmd_run(a) -> None:
     from .plans.pipeline import Pipeline
 
     spark, c = _session(), C.load(a.config)
-    result = Pipeline(c).run(_sources(spark, c), run_id=a.run_id, state=a.state, lock=bool(a.state))
+    lookups = {n: _table(spark, n) for n in dict.fromkeys([*(j.table for s in c.sources for j in s.joins), *(e.table for e in c.enrichment)])}
+    if a.drain:
+        if not a.state:
+            sys.exit("--drain needs --state, the folder that keeps the index and the watermarks")
+        batches = Pipeline(c).drain(_sources(spark, c), a.state, lookups, a.run_id)
+        Pipeline.index(spark, a.state).write.mode("overwrite").parquet(a.output)
+        print(json.dumps({"batches": batches}))
+        return
+    result = Pipeline(c).run(_sources(spark, c), run_id=a.run_id, state=a.state, lock=bool(a.state), lookups=lookups)
     result["resolved_entities"].write.mode("overwrite").parquet(a.output)
     print(json.dumps({"run_id": result.run_id, "findings": [f.what for f in result.findings]}))
 
@@ -162,7 +170,7 @@ def parser() -> argparse.ArgumentParser:
 
     config = (("config",), {})
     table, columns = (("table",), {}), (("columns",), {"nargs": "+"})
-    add("run", cmd_run, config, (("--output",), {"required": True}), (("--run-id",), {}), (("--state",), {}))
+    add("run", cmd_run, config, (("--output",), {"required": True}), (("--run-id",), {}), (("--state",), {}), (("--drain",), {"action": "store_true"}))
     add("validate", cmd_validate, config)
     add("preview-plan", cmd_preview_plan, config, (("--stage",), {"default": "resolved_entities"}))
     add("estimate-params", cmd_estimate_params, config, (("--sample",), {"type": int}))

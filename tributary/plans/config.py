@@ -18,6 +18,8 @@ from ..operators.blocking import Blocking, BlockingPath, check_paths
 from ..operators.features import Feature, levels
 from ..operators.golden import FieldStrategy, Golden
 from ..operators.scoring import Band, Comparison, Level, Scoring, Signal, TermFrequency, Test
+from ..operators.staging import HashCursor, PartitionCursor
+from ..sources.tables import column_type
 from . import roles as R
 
 #: Words that SQL in a configuration must not hold.
@@ -37,6 +39,36 @@ class Source:
     entity_type: str | None = None
     batch_size: int | None = None
     cursors: tuple[str, ...] = ()
+    cursor_mode: str = "ordered"
+    grace_period_hours: int = 0
+    partition_column: str | None = None
+    partition_cursors: tuple[PartitionCursor, ...] = ()
+    hash_cursor: HashCursor | None = None
+    joins: tuple[Join, ...] = ()
+
+
+@dataclass(frozen=True)
+class Join:
+    """A table that staging joins; on: SQL over the aliases `src` and this one."""
+
+    table: str
+    on: str
+    alias: str
+    how: str = "left"
+    columns: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A table that features are enriched from, by a key that a feature function makes."""
+
+    table: str
+    function: str
+    inputs: tuple[str, ...]
+    lookup_key: str
+    columns: tuple[str, ...]
+    prefix: str = ""
+    flag: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,6 +94,17 @@ class Lsh:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class Model:
+    """A classifier of a tier's candidates, learnt from the table `source_labels`; a part of the labels,
+    by a hash of the pair, is held out to evaluate it."""
+
+    tier: str
+    kind: str = "LOGISTIC_REG"
+    threshold: float = 0.5
+    held_out: float = 0.2
+
+
 @dataclass(frozen=True)
 class Config:
     name: str
@@ -78,6 +121,8 @@ class Config:
     shape_confidence: bool = False
     split_compounds: str | None = None
     lsh: Lsh | None = None
+    enrichment: tuple[Lookup, ...] = ()
+    models: tuple[Model, ...] = ()
 
 
 def interpolate(text: str, env: dict[str, str] | None = None) -> str:
@@ -164,11 +209,40 @@ def _lsh(d: dict) -> Lsh | None:
     return Lsh(tuple(d["source_columns"]), d.get("dimensions", 64), h.get("num_hash_tables", 8), h.get("num_hash_functions_per_table", 4), h.get("projection_seed", 42))
 
 
+#: The keys that each part of a configuration may hold.
+KEYS = {
+    "": "project include sources global_signals comparison_pool matching_tiers reconciliation feature_engineering embeddings placeholder_columns allow_udfs models",
+    "sources": "name table unique_key updated_at columns passthrough_columns filter entity_type batch_size cursors cursor_mode grace_period_hours partition_column partition_cursors hash_cursor joins",
+    "matching_tiers": "name enabled description blocking comparisons threshold score_banding confidence confidence_method audit_trail active_learning training hard_negatives hard_positives soft_signals link_type",
+    "feature_engineering": "name_features address_features contact_features custom_features features blocking_keys composite_keys enrichment_joins split_compounds",
+    "reconciliation": "strategy canonical_selection clustering scoring_columns include_match_metadata entity_id_prefix confidence_shaping",
+}
+
+
+def unknown_keys(d: dict) -> list[str]:
+    """What a configuration holds that nothing reads, most often a misspelt key."""
+    bad = []
+    for part, names in KEYS.items():
+        held = d if not part else d.get(part) or []
+        for x in held if isinstance(held, list) else [held]:
+            where = part and f"{part} {x.get('name', '')}".strip() or "the configuration"
+            bad += [f"{where} has an unknown key {k!r}" for k in x if k not in names.split()]
+    return bad
+
+
+def _source(s: dict) -> Source:
+    h = s.get("hash_cursor")
+    return Source(
+        s["name"], s["table"], s["unique_key"], s["updated_at"], {c["name"]: c.get("type", "STRING") for c in s.get("columns", ())}, {c["name"]: c["role"] for c in s.get("columns", ()) if c.get("role")},
+        tuple(s.get("passthrough_columns", ())), s.get("filter"), s.get("entity_type"), s.get("batch_size"), tuple(s.get("cursors", ())), s.get("cursor_mode", "ordered"), int(s.get("grace_period_hours", 0)), s.get("partition_column"),
+        tuple(PartitionCursor(c["column"], c["value"], c.get("strategy", "range")) for c in s.get("partition_cursors", ())), HashCursor(h["column"], h.get("modulus", 1000), h.get("alias", "_hash_partition")) if h else None,
+        tuple(Join(j["table"], j["on"], j.get("alias", j["table"]), j.get("type", "left").lower(), tuple(j.get("columns", ()))) for j in s.get("joins", ())))
+
+
 def from_dict(d: dict) -> Config:
-    sources = tuple(
-        Source(s["name"], s["table"], s["unique_key"], s["updated_at"], {c["name"]: c.get("type", "STRING") for c in s.get("columns", ())},
-               {c["name"]: c["role"] for c in s.get("columns", ()) if c.get("role")}, tuple(s.get("passthrough_columns", ())), s.get("filter"), s.get("entity_type"), s.get("batch_size"), tuple(s.get("cursors", ())))
-        for s in d.get("sources", ()))
+    if bad := unknown_keys(d):
+        raise ValueError("; ".join(bad))
+    sources = tuple(_source(s) for s in d.get("sources", ()))
     shared = _signals(d.get("global_signals", {}))
     tiers = tuple(_tier(t, i, d.get("comparison_pool", {}), shared) for i, t in enumerate(d.get("matching_tiers", ())) if t.get("enabled", True))
     rec = d.get("reconciliation", {})
@@ -179,8 +253,11 @@ def from_dict(d: dict) -> Config:
                     tuple(canonical.get("source_priority", ())), fields, canonical.get("default_field_strategy", "most_complete"), rec.get("include_match_metadata", True), rec.get("entity_id_prefix", ""), rec.get("strategy", "tier_priority"))
     eng = d.get("feature_engineering", {})
     every = [_feature(f) for g in ("name_features", "address_features", "contact_features", "custom_features", "features") for f in eng.get(g, ())]
-    return Config(d.get("project", {}).get("name", "pipeline"), sources, tuple(every), tuple(_feature(f) for f in eng.get("blocking_keys", ())), tiers, golden, cluster.get("method", "connected_components"),
-                  cluster.get("min_cluster_confidence", 0.0), cluster.get("max_cluster_size", 0), d.get("allow_udfs", True), d.get("placeholder_columns", {}), bool(rec.get("confidence_shaping")), eng.get("split_compounds"), _lsh(d.get("embeddings", {})))
+    keys = [_feature(f) for f in eng.get("blocking_keys", ())] + [_feature({"function": "farm_fingerprint_concat"} | f) for f in eng.get("composite_keys", ())]
+    lookups = tuple(Lookup(e["table"], e.get("function", "identity"), tuple(e.get("inputs") or [e["input"]]), e["lookup_key"], tuple(e.get("columns", ())), e.get("prefix", ""), e.get("flag")) for e in eng.get("enrichment_joins", ()))
+    models = tuple(Model(m["tier"], m.get("kind", "LOGISTIC_REG"), float(m.get("threshold", 0.5)), float(m.get("held_out", 0.2))) for m in d.get("models", ()))
+    return Config(d.get("project", {}).get("name", "pipeline"), sources, tuple(every), tuple(keys), tiers, golden, cluster.get("method", "connected_components"),
+                  cluster.get("min_cluster_confidence", 0.0), cluster.get("max_cluster_size", 0), d.get("allow_udfs", True), d.get("placeholder_columns", {}), bool(rec.get("confidence_shaping")), eng.get("split_compounds"), _lsh(d.get("embeddings", {})), lookups, models)
 
 
 def load(path: str, overrides: dict | None = None, env: dict[str, str] | None = None) -> Config:
@@ -193,11 +270,77 @@ def load(path: str, overrides: dict | None = None, env: dict[str, str] | None =
 def _sqls(c: Config) -> Iterable[str]:
     yield from (f.sql for f in (*c.features, *c.blocking_keys) if f.sql)
     yield from (s.filter for s in c.sources if s.filter)
+    yield from (j.on for s in c.sources for j in s.joins)
     for t in c.tiers:
         tests = [*(x.test for x in t.scoring.comparisons), *(lv.test for x in t.scoring.comparisons for lv in x.levels if lv.test), *(s.test for s in t.scoring.signals)]
         yield from (x.sql for x in tests if x.sql)
 
 
+def _staging_faults(c: Config) -> list[str]:
+    bad: list[str] = []
+    for s in c.sources:
+        bad += [f"source {s.name!r} has a column of an unknown type {t!r}" for t in s.columns.values() if not _is_type(t)]
+        if s.cursor_mode not in ("ordered", "independent"):
+            bad.append(f"source {s.name!r} has an unknown cursor mode {s.cursor_mode!r}")
+        if s.batch_size is not None and s.batch_size < 1:
+            bad.append(f"source {s.name!r} has a batch size below 1")
+        if s.grace_period_hours < 0:
+            bad.append(f"source {s.name!r} has a negative grace period")
+        if s.hash_cursor and s.hash_cursor.modulus < 2:
+            bad.append(f"source {s.name!r} has a hash cursor of fewer than 2 parts")
+        bad += [f"source {s.name!r} has a partition cursor of an unknown kind {p.strategy!r}" for p in s.partition_cursors if p.strategy not in ("range", "equality", "in")]
+        bad += [f"source {s.name!r} has an unknown join {j.how!r}" for j in s.joins if j.how not in ("left", "inner", "right", "cross")]
+        bad += [f"source {s.name!r} has a role for {k!r}, which it has no column of" for k in s.roles if k not in s.columns]
+        aliases = ["src", *(j.alias for j in s.joins)]
+        bad += [f"source {s.name!r} has the alias {a!r} twice" for a in sorted({a for a in aliases if aliases.count(a) > 1})]
+    return bad
+
+
+def _is_type(name: str) -> bool:
+    try:
+        column_type(name)
+    except ValueError:
+        return False
+    return True
+
+
+def _scoring_faults(c: Config) -> list[str]:
+    bad: list[str] = []
+    for t in c.tiers:
+        p = t.scoring
+        if p.method not in ("sum", "min_all", "fellegi_sunter"):
+            bad.append(f"tier {t.name!r} has an unknown method {p.method!r}")
+        labels = [x.label for x in p.comparisons]
+        bad += [f"tier {t.name!r} has the comparison {n!r} twice" for n in sorted({n for n in labels if labels.count(n) > 1})]
+        for x in p.comparisons:
+            if x.weight < 0:
+                bad.append(f"tier {t.name!r}: {x.label!r} has a negative weight")
+            if x.levels and p.method != "fellegi_sunter":
+                bad.append(f"tier {t.name!r}: {x.label!r} has levels, which only fellegi_sunter reads")
+            if x.levels and all(lv.test for lv in x.levels):
+                bad.append(f"tier {t.name!r}: the levels of {x.label!r} have no last one without a test")
+            bad += [f"tier {t.name!r}: level {lv.label!r} of {x.label!r} needs m and u between 0 and 1" for lv in x.levels if not (0 < lv.m <= 1 and 0 < lv.u <= 1)]
+            bad += [f"tier {t.name!r}: level {lv.label!r} of {x.label!r} is adjusted by term frequencies that aren't switched on" for lv in x.levels if lv.tf_adjusted and not x.tf]
+            if x.tf and not 0 < x.tf.minimum_u <= 1:
+                bad.append(f"tier {t.name!r}: {x.label!r} needs a least u between 0 and 1")
+        bands = sorted(p.bands, key=lambda b: b.min_score)
+        bad += [f"tier {t.name!r}: band {b.name!r} ends before it begins" for b in bands if b.max_score <= b.min_score]
+        bad += [f"tier {t.name!r}: bands {a.name!r} and {b.name!r} overlap" for a, b in zip(bands, bands[1:], strict=False) if a.max_score > b.min_score and a.max_score != 999_999.0]
+        if bands and p.method != "fellegi_sunter" and max(b.max_score for b in bands) <= p.min_score:
+            bad.append(f"tier {t.name!r}: no band reaches the least score {p.min_score:g}")
+        if p.min_matching_comparisons > len(p.comparisons):
+            bad.append(f"tier {t.name!r} asks for more agreeing comparisons than it has")
+        if p.confidence is not None and not 0 <= p.confidence <= 1:
+            bad.append(f"tier {t.name!r} has a confidence outside 0 to 1")
+        bad += [f"tier {t.name!r} names an unknown band {s.band!r}" for s in p.signals if s.kind == "elevate_band" and p.bands and s.band not in {b.name for b in p.bands}]
+        bad += [f"tier {t.name!r} has a signal of an unknown kind {s.kind!r}" for s in p.signals if s.kind not in ("disqualify", "penalize", "bonus", "boost", "auto_match", "elevate_band")]
+    columns = {x for s in c.sources for x in (*s.columns, *s.passthrough_columns)} | {f.name for f in c.features}
+    bad += [f"golden records take {f.column!r}, which no source has" for f in c.golden.field_strategies if f.column not in columns]
+    bad += [f"unknown clustering method {c.clustering!r}"] * (c.clustering not in ("connected_components", "star", "best_match"))
+    bad += [f"model of an unknown tier {m.tier!r}" for m in c.models if m.tier not in {t.name for t in c.tiers}]
+    return bad + [f"the model of {m.tier!r} holds out {m.held_out:g} of its labels" for m in c.models if not 0 < m.held_out < 1]
+
+
 def validate(c: Config) -> list[str]:
     """What is wrong with a configuration; empty if nothing is."""
     bad: list[str] = []
@@ -207,7 +350,9 @@ def validate(c: Config) -> list[str]:
         bad.append("sources declare different columns")
     for names, what in (([s.name for s in c.sources], "source"), ([t.name for t in c.tiers], "tier"), ([f.name for f in (*c.features, *c.blocking_keys)], "feature")):
         bad += [f"{what} {n!r} is there twice" for n in sorted({n for n in names if names.count(n) > 1})]
-    columns = {x for s in c.sources for x in (*s.columns, *s.passthrough_columns)} | {"source_name", "entity_uid", "entity_type"}
+    columns = {x for s in c.sources for x in (*s.columns, *s.passthrough_columns, *(y for j in s.joins for y in j.columns))} | {"source_name", "entity_uid", "entity_type"}
+    columns |= {f"{e.prefix}{x}" for e in c.enrichment for x in e.columns} | {e.flag for e in c.enrichment if e.flag}
+    bad += _staging_faults(c) + _scoring_faults(c)
     for f in (*c.features, *c.blocking_keys):
         if f.function and f.function not in FEATURES.names():
             bad.append(f"feature {f.name!r} uses an unknown function {f.function!r}")
