@@ -168,17 +168,28 @@ def test_chats_round_trip(spark):
     want = collections.defaultdict(list)
     for c, t, role, text in rows:
         want[c].append((t if t is not None else -1, role or "", text or ""))
-    got = chat.format_chats(df).collect()
+    chats = chat.format_chats(df)
+    got, spans = chats.collect(), collections.defaultdict(list)
+    for r in chat.loss_spans(chats).orderBy("turn").collect():
+        spans[r.conv_id].append((r.start, r.length))
     assert len(got) == len(want)
     for r in got:
         turns = [(a, b) for _, a, b in sorted(want[r.conv_id])]
         assert r.identical and [(t.role, t.text) for t in r.turns] == turns
         assert r.loss == "".join(b for a, b in turns if a == "assistant")
+        cut = [r.formatted[a : a + n] for a, n in spans[r.conv_id]]
+        assert "".join(x.replace("\\c", "<|").replace("\\s", "\\") for x in cut) == r.loss and len(cut) == sum(a == "assistant" for a, _ in turns)
         inner = r.formatted.replace("<|im_start|>", "").replace("<|im_end|>\n", "")
         assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>\n") == len(turns) and "<|" not in inner
     assert chat.format_chats(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    rows = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('say ', id) AS text")
+    r = chat.format_chats(rows).first()
+    assert r.identical and len(r.turns) == 20_000 and r.loss == "".join(f"say {i}" for i in range(1, 20_000, 2))
+
+
 # line dedup
 
 

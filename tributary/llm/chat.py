@@ -9,17 +9,24 @@ or a backslash, the turn is rendered escaped, and so its content can't be taken
     \ -> \s    <| -> \c    line feed in a role -> \n
 
 Every backslash in an escaped string starts a pair, so that undoing the pairs from last to first
-gives the source back, whatever it is. After escaping the whole conversation is parsed and
-compared again; `identical` says that each turn came back.
+gives the source back, whatever it is. After that the whole conversation is parsed and compared
+again; where turns only together are ambiguous, all its turns are rendered escaped and compared
+once more. An escaped rendering holds no control string but its own, so that this ends; `identical`
+says that each turn came back.
+
+Text under the loss mask comes from the same parse, piece by piece, and offsets from running sums
+over the pieces in rows of their own: nothing is cut from the start of a conversation again and
+again, and the work is in proportion to the text.
 
 Defined results: null role or text counts as empty; null conv_id is one conversation; turns of
-equal number are ordered by role, then text, repeated rows staying; null turns come first; an
-empty table gives no rows; extra columns are ignored.
+equal number are ordered by role, then text, repeated rows staying; null turns come first; very long
+texts and conversations are rendered whole, each conversation as one string; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, table
@@ -51,35 +58,44 @@ def parse(rendered: Column) -> Column:
     return F.transform(F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))), cut)
 
 
+def _pieces(formatted: Column) -> Column:
+    """The renderings of the turns, without their end marks."""
+    ends = F.split(formatted, r"<\|im_end\|>\n", -1)
+    return F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))
+
+
+def _is_of(piece: Column, role: str) -> Column:
+    return piece.startswith(F.concat(F.lit(START), escaped(F.lit(role), True), F.lit("\n")))
+
+
 def format_chats(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     """conv_id, formatted, turns (role and text as parsed from formatted), loss (text under the
-    loss mask as parsed, in order), loss_spans (start from 0 and length, in code points of
-    formatted), identical."""
+    loss mask as parsed, in order), identical."""
     rows = pick(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = F.array(F.struct("role", "text"))
-    # Each turn alone: as it is, unless the grammar reads it otherwise.
+    # Each turn alone: as it is, unless the grammar reads it otherwise. spare: escaped, where that differs.
     plain = render(F.col("role"), F.col("text"))
     safe = render(escaped(F.col("role"), True), escaped(F.col("text")))
     clear = ~F.contains(F.concat("role", "text"), F.lit("<|")) & parse(plain).eqNullSafe(source)
-    rows = rows.withColumn("rendered", F.when(clear, plain).otherwise(safe))
-    rows = rows.withColumn("chars", F.length("rendered"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", "chars"))).alias("t"))
-    chats = chats.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"), F.col("t.chars").alias("chars"), F.array_join("t.rendered", "").alias("formatted"))
-    # The whole conversation: turns that only together are ambiguous would differ here.
-    chats = chats.withColumn("turns", parse(F.col("formatted")))
-    chats = chats.withColumn("identical", (F.col("turns.role") == F.col("roles")) & (F.col("turns.text") == F.col("texts")))
-    pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
-    turn_spans = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x) + len(END)).alias("at"),
-            F.when(x.startswith(F.concat(F.lit(START), escaped(F.lit(assistant), True), F.lit("\n"))),
-                   F.array_append(s["spans"], F.struct((s["at"] + F.instr(x, "\n")).cast("int").alias("start"), (F.length(x) - F.instr(x, "\n")).cast("int").alias("length")))).otherwise(s["spans"]).alias("spans")),
-        lambda s: s["spans"])
-    chats = chats.withColumn("loss_spans", turn_spans)
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return chats.select("conv_id", "formatted", "turns", loss.alias("loss"), "loss_spans", "identical")
+    rows = rows.withColumn("rendered", F.when(clear, plain).otherwise(safe)).withColumn("spare", F.when(clear & (safe != plain), safe))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", "spare"))).alias("t"))
+    # The whole conversation: turns that only together are ambiguous would differ here, and are escaped.
+    came_back = (F.col("turns.role") == F.col("t.role")) & (F.col("turns.text") == F.col("t.text"))
+    chats = chats.withColumn("formatted", F.array_join("t.rendered", "")).withColumn("turns", parse(F.col("formatted"))).withColumn("once", F.coalesce(came_back, F.lit(False)))
+    again = F.array_join(F.transform("t", lambda t: F.coalesce(t["spare"], t["rendered"])), "")
+    chats = chats.withColumn("formatted", F.when(F.col("once"), F.col("formatted")).otherwise(again)).withColumn("turns", F.when(F.col("once"), F.col("turns")).otherwise(parse(F.col("formatted"))))
+    said = F.transform(F.filter(_pieces(F.col("formatted")), lambda x: _is_of(x, assistant)), lambda x: unescaped(F.substring(x, F.instr(x, "\n") + 1, F.length(x))))
+    return chats.select("conv_id", "formatted", "turns", F.array_join(said, "").alias("loss"), F.coalesce(came_back, F.lit(False)).alias("identical"))
+
+
+def loss_spans(chats: DataFrame, assistant: str = "assistant") -> DataFrame:
+    """conv_id, turn (from 0), start (from 0) and length, in code points of formatted, of each text under
+    the loss mask."""
+    pieces = chats.select("conv_id", F.posexplode(_pieces(F.col("formatted"))).alias("turn", "x"))
+    sized = pieces.select("conv_id", "turn", F.length("x").alias("n"), F.instr("x", "\n").alias("head"), _is_of(F.col("x"), assistant).alias("said"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("n") + len(END)).over(before), F.lit(0))
+    return sized.withColumn("start", at + F.col("head")).where("said").select("conv_id", "turn", "start", (F.col("n") - F.col("head")).alias("length"))
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:
