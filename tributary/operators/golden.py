@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import CLUSTER_ID, CONFIDENCE, ENTITY_UID, LEFT, RIGHT, SCORE, SOURCE_NAME, SOURCE_UPDATED_AT, TIER_NAME, TIER_PRIORITY
+from ..storage import materialize
 
 
 @dataclass(frozen=True)
@@ -88,16 +89,19 @@ def _votes(df: DataFrame, s: FieldStrategy, as_of: Column) -> DataFrame:
     return votes.join(top, [CLUSTER_ID, "n"]).groupBy(CLUSTER_ID).agg(F.min("v").alias(s.column))
 
 
-def golden_fields(records: DataFrame, p: Golden, as_of: Column | None = None) -> DataFrame:
-    """cluster_id and the merged value of every source column."""
+def golden_fields(records: DataFrame, p: Golden, as_of: Column | None = None, **more: Column) -> DataFrame:
+    """cluster_id and the merged value of every source column, and more aggregates of the clusters. All
+    but votes come from one aggregation."""
     named = {s.column: s for s in p.field_strategies}
     every = [named.get(c, FieldStrategy(c, p.default_field_strategy)) for c in p.source_columns]
     voted = [s for s in every if s.strategy in ("most_common", "weighted_vote")]
     picked = [s for s in every if s not in voted]
-    out = records.groupBy(CLUSTER_ID).agg(F.count("*").alias("_n"), *(F.max_by(F.col(s.column), F.when(F.col(s.column).isNotNull(), _key(s, p))).alias(s.column) for s in picked))
+    if voted:
+        records = materialize(records)  # each vote reads it again
+    out = records.groupBy(CLUSTER_ID).agg(*(v.alias(k) for k, v in more.items()), F.count("*").alias("_n"), *(F.max_by(F.col(s.column), F.when(F.col(s.column).isNotNull(), _key(s, p))).alias(s.column) for s in picked))
     for s in voted:
         out = out.join(_votes(records, s, as_of if as_of is not None else F.current_date()), CLUSTER_ID, "left")
-    return out.select(CLUSTER_ID, *p.source_columns)
+    return out.select(CLUSTER_ID, *p.source_columns, *more)
 
 
 def match_metadata(matches: DataFrame, strategy: str = "tier_priority") -> DataFrame:
@@ -113,15 +117,15 @@ def resolve(records: DataFrame, clusters: DataFrame, matches: DataFrame | None,
     """resolved_entity_id, cluster_id, canonical_entity_uid, is_canonical, the columns. field_merge:
     one row a cluster, with merged values; otherwise all records, one of each cluster canonical."""
     joined = records.join(clusters, ENTITY_UID)
-    best = joined.groupBy(CLUSTER_ID).agg(F.max_by(ENTITY_UID, F.struct(canonical_key(p), -F.col(ENTITY_UID))).alias("canonical_entity_uid"))
+    best = F.max_by(ENTITY_UID, F.struct(canonical_key(p), -F.col(ENTITY_UID)))
     name = F.concat(F.lit(f"{p.entity_id_prefix}_"), F.col(CLUSTER_ID).cast("string")) if p.entity_id_prefix else F.col(CLUSTER_ID)
     if p.canonical_method == "field_merge":
-        out = golden_fields(joined, p, as_of).join(best, CLUSTER_ID).withColumn(ENTITY_UID, F.col("canonical_entity_uid"))
+        out = golden_fields(joined, p, as_of, canonical_entity_uid=best).withColumn(ENTITY_UID, F.col("canonical_entity_uid"))
         if p.passthrough_columns:
             out = out.join(records.select(ENTITY_UID, *p.passthrough_columns), ENTITY_UID)
         out = out.withColumn("is_canonical", F.lit(True))
     else:
-        out = joined.join(best, CLUSTER_ID).withColumn("is_canonical", F.col(ENTITY_UID) == F.col("canonical_entity_uid"))
+        out = joined.join(joined.groupBy(CLUSTER_ID).agg(best.alias("canonical_entity_uid")), CLUSTER_ID).withColumn("is_canonical", F.col(ENTITY_UID) == F.col("canonical_entity_uid"))
     cols = [name.alias("resolved_entity_id"), CLUSTER_ID, "canonical_entity_uid", "is_canonical", ENTITY_UID, *dict.fromkeys([*p.source_columns, *p.passthrough_columns])]
     if p.include_match_metadata and matches is not None:
         out = out.join(match_metadata(matches, p.reconciliation_strategy), ENTITY_UID, "left")
