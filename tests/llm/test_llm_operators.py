@@ -149,6 +149,34 @@ def test_real_vocabulary_is_brute_force():
         assert p.encode(w[1:]) == best[-1][1] and p.count(w[1:])[0] == len(best[-1][1])
 
 
+def library_encoder(vocabulary):
+    """The SentencePiece library's own unigram encoder over these pieces; nothing is trained."""
+    import sentencepiece as library
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    m = model.ModelProto()
+    for piece, score, kind in vocabulary:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = model.TrainerSpec.UNIGRAM, True
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    return library.SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+def test_ties_go_as_the_library_decides_them():
+    """Small whole scores, so that the library's 32-bit sums are exact and many paths are equal."""
+    rng = random.Random(11)
+    for _ in range(40):
+        found = set("▁abc")
+        while len(found) < 25:
+            found.add(("▁" if rng.random() < 0.3 else "") + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))))
+        vocabulary = [*TOY[:258], *((x, -float(rng.randrange(1, 5)), 1) for x in sorted(found))]
+        p, library = sentencepiece.Pieces(vocabulary), library_encoder(vocabulary)
+        for _ in range(150):
+            text = "".join(rng.choice("abc ") for _ in range(rng.randrange(20))) + rng.choice(["", "z", "é\n"])
+            ids = library.encode(text)
+            assert p.encode(text) == ids and p.count(text)[0] == len(ids) and p.decode(ids) == library.decode(ids)
+
+
 def test_tokens_take_odd_rows(spark, odd):
     out = sentencepiece.with_tokens(pick(odd[0], "doc_id", "text")).collect()
     assert len(out) == len(odd[1]) and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
