@@ -3,53 +3,53 @@
 # Canonical first names and their short forms. Where a short form stands for
 # several names, the first one counts.
 NICKNAMES = {
-    "ROBERT": "BOB ROB BOBBY ROBBIE",
-    "WILLIAM": "BILL WILL BILLY WILLY",
-    "RICHARD": "RICK DICK RICH RICKY",
-    "JAMES": "JIM JIMMY JAMIE",
-    "JOHN": "JACK JOHNNY JON",
-    "JOSEPH": "JOE JOEY",
-    "THOMAS": "TOM TOMMY",
-    "MICHAEL": "MIKE MIKEY",
-    "CHARLES": "CHUCK CHARLIE",
-    "EDWARD": "ED TED EDDIE TEDDY",
-    "DAVID": "DAVE DAVY",
-    "DANIEL": "DAN DANNY",
-    "MATTHEW": "MATT MATTY",
-    "ANTHONY": "TONY",
-    "CHRISTOPHER": "CHRIS",
-    "NICHOLAS": "NICK NICKY",
-    "BENJAMIN": "BEN BENNY",
-    "SAMUEL": "SAM SAMMY",
-    "JONATHAN": "JON NATHAN",
-    "STEPHEN": "STEVE",
-    "STEVEN": "STEVE",
-    "TIMOTHY": "TIM TIMMY",
-    "ANDREW": "ANDY DREW",
-    "PATRICK": "PAT PADDY",
-    "ALEXANDER": "ALEX SANDY",
-    "GREGORY": "GREG",
-    "LAWRENCE": "LARRY",
-    "RAYMOND": "RAY",
-    "CATHERINE": "CATHY KATE KATHY",
-    "ELIZABETH": "LIZ BETH ELIZA BETTY LIZZY",
-    "JENNIFER": "JEN JENNY",
-    "MARGARET": "MAGGIE MEG PEGGY",
-    "PATRICIA": "PAT PATTY",
-    "JESSICA": "JESS JESSIE",
-    "REBECCA": "BECKY BECCA",
-    "SUSAN": "SUE SUZY",
-    "DOROTHY": "DOT DOTTY",
-    "VIRGINIA": "GINNY GINGER",
-    "BARBARA": "BARB BARBIE",
-    "DEBORAH": "DEB DEBBIE",
-    "CHRISTINE": "CHRIS TINA",
-    "CHRISTINA": "CHRIS TINA",
-    "VICTORIA": "VICKY TORI",
-    "ALEXANDRA": "ALEX SANDY",
+    "ROBERT": ["BOB", "ROB", "BOBBY", "ROBBIE"],
+    "WILLIAM": ["BILL", "WILL", "BILLY", "WILLY"],
+    "RICHARD": ["RICK", "DICK", "RICH", "RICKY"],
+    "JAMES": ["JIM", "JIMMY", "JAMIE"],
+    "JOHN": ["JACK", "JOHNNY", "JON"],
+    "JOSEPH": ["JOE", "JOEY"],
+    "THOMAS": ["TOM", "TOMMY"],
+    "MICHAEL": ["MIKE", "MIKEY"],
+    "CHARLES": ["CHUCK", "CHARLIE"],
+    "EDWARD": ["ED", "TED", "EDDIE", "TEDDY"],
+    "DAVID": ["DAVE", "DAVY"],
+    "DANIEL": ["DAN", "DANNY"],
+    "MATTHEW": ["MATT", "MATTY"],
+    "ANTHONY": ["TONY"],
+    "CHRISTOPHER": ["CHRIS"],
+    "NICHOLAS": ["NICK", "NICKY"],
+    "BENJAMIN": ["BEN", "BENNY"],
+    "SAMUEL": ["SAM", "SAMMY"],
+    "JONATHAN": ["JON", "NATHAN"],
+    "STEPHEN": ["STEVE"],
+    "STEVEN": ["STEVE"],
+    "TIMOTHY": ["TIM", "TIMMY"],
+    "ANDREW": ["ANDY", "DREW"],
+    "PATRICK": ["PAT", "PADDY"],
+    "ALEXANDER": ["ALEX", "SANDY"],
+    "GREGORY": ["GREG"],
+    "LAWRENCE": ["LARRY"],
+    "RAYMOND": ["RAY"],
+    "CATHERINE": ["CATHY", "KATE", "KATHY"],
+    "ELIZABETH": ["LIZ", "BETH", "ELIZA", "BETTY", "LIZZY"],
+    "JENNIFER": ["JEN", "JENNY"],
+    "MARGARET": ["MAGGIE", "MEG", "PEGGY"],
+    "PATRICIA": ["PAT", "PATTY"],
+    "JESSICA": ["JESS", "JESSIE"],
+    "REBECCA": ["BECKY", "BECCA"],
+    "SUSAN": ["SUE", "SUZY"],
+    "DOROTHY": ["DOT", "DOTTY"],
+    "VIRGINIA": ["GINNY", "GINGER"],
+    "BARBARA": ["BARB", "BARBIE"],
+    "DEBORAH": ["DEB", "DEBBIE"],
+    "CHRISTINE": ["CHRIS", "TINA"],
+    "CHRISTINA": ["CHRIS", "TINA"],
+    "VICTORIA": ["VICKY", "TORI"],
+    "ALEXANDRA": ["ALEX", "SANDY"],
 }
 
-# Postal abbreviations.
+# Abbreviations of the postal addressing standard (street suffixes, directions, units).
 STREET_WORDS = {
     "STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "LANE": "LN", "ROAD": "RD",
     "HIGHWAY": "HWY", "PARKWAY": "PKWY", "PLACE": "PL", "CIRCLE": "CIR", "COURT": "CT", "TERRACE": "TER",
@@ -93,15 +93,22 @@ NUMBERED = r"(?:#|NO\.?|NUM(?:BER)?\.?|UNIT|SUITE|STE|APT|BLDG|BUILDING)\s*(\d+)
 TITLE_PAIR = r"\b(MR|MRS|MS|DR)\.?\s*(AND|&)\s*(MR|MRS|MS|DR)\.?"
 FAMILY = r"^THE\s+\w+\s+FAMILY$"
 SLASH = r"\w+\s*/\s*\w+"
-FREE_DOMAINS = "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com mail.com protonmail.com live.com msn.com".split()
-MORE_FREE_DOMAINS = "zoho.com yandex.com me.com gmx.com inbox.com".split()
-DISPOSABLE_DOMAINS = (
-    "mailinator.com guerrillamail.com tempmail.com throwaway.email sharklasers.com dispostable.com yopmail.com trashmail.com".split()
-)
-ROLE_ADDRESSES = (
-    "info admin sales support contact help service billing noreply no-reply webmaster postmaster abuse marketing office hr jobs "
-    "careers press media team hello general enquiries inquiries".split()
-)
+FREE_DOMAINS = [
+    "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "mail.com", "protonmail.com",
+    "live.com", "msn.com",
+]
+MORE_FREE_DOMAINS = [
+    "zoho.com", "yandex.com", "me.com", "gmx.com", "inbox.com",
+]
+DISPOSABLE_DOMAINS = [
+    "mailinator.com", "guerrillamail.com", "tempmail.com", "throwaway.email", "sharklasers.com", "dispostable.com",
+    "yopmail.com", "trashmail.com",
+]
+ROLE_ADDRESSES = [
+    "info", "admin", "sales", "support", "contact", "help", "service", "billing", "noreply", "no-reply", "webmaster",
+    "postmaster", "abuse", "marketing", "office", "hr", "jobs", "careers", "press", "media", "team", "hello",
+    "general", "enquiries", "inquiries",
+]
 
 # What is entered where a value is missing.
 PLACEHOLDER_PHONE = r"^((\d)\2{6,}|1234567890|0123456789|9876543210)$"

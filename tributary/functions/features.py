@@ -131,7 +131,7 @@ def nickname_canonical(c: Column) -> Column:
     name = F.upper(F.trim(c))
     full: dict[str, str] = {}
     for canonical, shorts in K.NICKNAMES.items():
-        for short in shorts.split():
+        for short in shorts:
             full.setdefault(short, canonical)
     table = F.create_map(*(F.lit(x) for pair in full.items() for x in pair))
     return F.coalesce(F.try_element_at(table, name), name)

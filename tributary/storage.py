@@ -18,7 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written and read again, which cuts its lineage and survives lost executors."""
+    """df written and read again, which cuts its lineage and survives lost executors. What is written goes
+    when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/tributary-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
