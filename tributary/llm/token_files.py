@@ -35,8 +35,8 @@ from .common import long_id, pick, real_id, scratch, stash, table
 TOGETHER = 24 << 20
 IN_A_ROW = 1000
 AT_ONCE = 1 << 18
-#: Ids in a block, but for a document that is longer.
-BLOCK = 1 << 18
+#: Ids in a block, but for a document that is longer, and in a part of the files.
+BLOCK, PART = 1 << 18, 1 << 22
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
@@ -257,8 +257,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         if held:
             yield flush()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.where("id IS NULL").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
+    parts = 1 + (tokens.agg(F.sum("n")).first()[0] or 0) // PART
+    # By the text's hash as well, so that many rows of one id, or of none, are not one part.
+    ordered = tokens.where("id IS NULL").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
     ordered.mapInArrow(blocks, "part int, block int, skip long, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
 
 
