@@ -1,5 +1,6 @@
 """Invariants and hand-made cases of the operators."""
 
+import dataclasses
 import datetime
 import random
 import uuid
@@ -438,7 +439,10 @@ def test_configurations(tmp_path):
 @pytest.mark.parametrize("name", sorted(C.PRESETS))
 def test_presets_are_valid(name):
     src = C.Source("s", "t", "id", "updated_at", dict.fromkeys(R.ROLES, "STRING"))
-    assert C.validate(C.PRESETS[name]("p", src)) == []
+    preset = C.PRESETS[name]
+    c = preset("p", [dataclasses.replace(src, name=f"s{i}") for i in range(2)] if preset.least_sources > 1 else src)
+    assert C.validate(c) == [] and {t.blocking.link_type for t in c.tiers} == {preset.link_type}
+    assert (c.tiers[0].name == "identifier") == bool(preset.identifiers)
 
 
 def test_roles():

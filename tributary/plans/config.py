@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -388,55 +388,78 @@ def validate(c: Config) -> list[str]:
     return bad
 
 
-def quick_config(name: str, source: Source, roles: dict[str, str] | None = None) -> Config:
+def quick_config(name: str, source: Source | Sequence[Source], roles: dict[str, str] | None = None, link_type: str = "link_and_dedupe", identifiers: Sequence[str] = ()) -> Config:
     """A configuration from column names: roles are found, and give features, keys and comparisons;
     an exact tier asks for seven tenths of all weight, a fuzzy one for four, and the blocking keys
-    are shared out between them."""
-    found = roles or source.roles or {c: r for c in source.columns if (r := R.detect_role(c))}
+    are shared out between them. identifiers: roles that name a record by themselves; where there are
+    columns of them, a tier before the others takes pairs that agree in one."""
+    sources = (source,) if isinstance(source, Source) else tuple(source)
+    columns = sources[0].columns
+    found = roles or sources[0].roles or {c: r for c in columns if (r := R.detect_role(c))}
     if not found:
         raise ValueError("no column has a known role; name the roles")
-    if len(set(found.values())) < len(found):
-        found = {c: r for c, r in found.items()}
     features = [f for c, r in found.items() for f in R.features_for(c, r)]
     keys = [k for c, r in found.items() if (k := R.blocking_key_for(c, r))]
     every = [x for c, r in found.items() for x in R.comparisons_for(c, r)]
     strict = [x for x in every if x.test.method in ("exact", "numeric_within", "numeric_percent_diff")]
     half = max(1, (len(keys) + 1) // 2)
     split = [keys[:half] or keys, keys[half:] or keys]
-    tiers = []
-    for i, (tier, comps, share) in enumerate((("exact", strict, 0.7), ("fuzzy", every, 0.4))):
-        paths = tuple(BlockingPath((k,), (), 200, 10_000) for k in split[i])
-        tiers.append(Tier(tier, Blocking(paths), Scoring(tier, tuple(comps), "sum", i, round(share * sum(x.weight for x in comps), 4))))
-    return Config(name, (replace(source, roles=found),), tuple(features), (), tuple(tiers), Golden(tuple(source.columns)))
-
-
-def _preset(roles: str) -> Callable[[str, Source], Config]:
-    wanted = set(roles.split())
-
-    def make(name: str, source: Source) -> Config:
-        found = {c: r for c in source.columns if (r := source.roles.get(c) or R.detect_role(c)) and r in wanted}
-        return quick_config(name, source, found)
-
-    return make
-
-
-#: Configurations for a field of use: the roles that it looks at.
-PRESETS: dict[str, Callable[[str, Source], Config]] = {
-    "person_dedup": _preset("first_name last_name full_name date_of_birth email phone address_line_1 city state zip_code ssn"),
-    "person_linkage": _preset("first_name last_name full_name date_of_birth email phone zip_code"),
-    "business_dedup": _preset("company_name dba_name ein duns phone website address_line_1 city state zip_code"),
-    "insurance_dedup": _preset("first_name last_name date_of_birth policy_number claim_number date_of_loss phone email zip_code"),
-    "financial_transaction": _preset("account_number routing_number amount transaction_date currency full_name"),
-    "healthcare_patient": _preset("first_name last_name date_of_birth mrn ssn phone zip_code gender"),
-    "healthcare_provider": _preset("full_name first_name last_name npi dea_number license_number phone zip_code"),
-    "banking_customer": _preset("first_name last_name full_name account_number routing_number iban ssn date_of_birth email phone"),
-    "securities": _preset("company_name ticker cusip isin"),
-    "ecommerce_product": _preset("product_name brand category sku upc price seller_name description"),
-    "vehicle_registry": _preset("vin license_plate make model year color"),
-    "real_estate": _preset("parcel_number address_line_1 city state zip_code latitude longitude property_type"),
-    "education_student": _preset("first_name last_name date_of_birth student_id email"),
-    "hr_employee": _preset("first_name last_name employee_id email phone job_title date_of_birth"),
-    "address_dedup": _preset("full_name address_line_1 address_line_2 city state zip_code"),
+    wanted = [("exact", strict, 0.7 * sum(x.weight for x in strict), split[0]), ("fuzzy", every, 0.4 * sum(x.weight for x in every), split[1])]
+    named = [(k, x) for c, r in found.items() if r in identifiers and (k := R.blocking_key_for(c, r)) for x in R.comparisons_for(c, r) if x.test.method == "exact"]
+    if named:
+        wanted.insert(0, ("identifier", [x for _, x in named], min(x.weight for _, x in named), list(dict.fromkeys(k for k, _ in named))))
+    tiers = tuple(Tier(tier, Blocking(tuple(BlockingPath((k,), (), 200, 10_000) for k in paths), link_type), Scoring(tier, tuple(comps), "sum", i, round(least, 4))) for i, (tier, comps, least, paths) in enumerate(wanted))
+    return Config(name, tuple(replace(s, roles=found) for s in sources), tuple(features), (), tiers, Golden(tuple(columns)))
+
+
+@dataclass(frozen=True)
+class Preset:
+    """What a field of use looks at: roles, those of them that name a record by themselves, and whether
+    pairs within a source, across sources or both are looked for."""
+
+    roles: tuple[str, ...]
+    identifiers: tuple[str, ...] = ()
+    link_type: str = "link_and_dedupe"
+    least_sources: int = 1
+
+    def __call__(self, name: str, source: Source | Sequence[Source]) -> Config:
+        sources = (source,) if isinstance(source, Source) else tuple(source)
+        if len(sources) < self.least_sources:
+            raise ValueError(f"{name}: linkage needs {self.least_sources} sources at least")
+        every = (*self.roles, *self.identifiers)
+        found = {c: r for c in sources[0].columns if (r := sources[0].roles.get(c) or R.detect_role(c)) and r in every}
+        return quick_config(name, sources, found, self.link_type, self.identifiers)
+
+
+_PERSON = ("first_name", "last_name", "full_name", "date_of_birth", "email", "phone")
+_PLACE = ("address_line_1", "city", "state", "zip_code")
+_FIRM = ("company_name", "dba_name", "phone", "email", "website")
+
+#: Configurations for a field of use.
+PRESETS: dict[str, Preset] = {
+    "person_dedup": Preset((*_PERSON, *_PLACE), ("ssn",), "dedupe_only"),
+    "person_linkage": Preset((*_PERSON, *_PLACE), ("ssn",), "link_only", 2),
+    "business_dedup": Preset((*_FIRM, *_PLACE), ("ein", "duns"), "dedupe_only"),
+    "insurance_dedup": Preset((*_PERSON, *_PLACE, "date_of_loss"), ("policy_number", "claim_number", "ssn"), "dedupe_only"),
+    "financial_transaction": Preset((*_PERSON, "routing_number", "amount", "transaction_date", "currency"), ("account_number",)),
+    "healthcare_patient": Preset((*_PERSON, *_PLACE, "gender"), ("mrn", "npi", "ssn"), "dedupe_only"),
+    "healthcare_provider": Preset((*_PERSON, *_PLACE), ("npi", "dea_number", "license_number"), "dedupe_only"),
+    "banking_customer": Preset((*_PERSON, *_PLACE, "routing_number"), ("account_number", "iban", "ssn"), "dedupe_only"),
+    "securities": Preset(("company_name",), ("ticker", "cusip", "isin")),
+    "ecommerce_product": Preset(("product_name", "brand", "category", "price", "seller_name", "description"), ("sku", "upc")),
+    "vehicle_registry": Preset(("make", "model", "year", "color"), ("vin", "license_plate"), "dedupe_only"),
+    "real_estate": Preset((*_PLACE, "latitude", "longitude", "property_type"), ("parcel_number",), "dedupe_only"),
+    "real_estate_property": Preset((*_PLACE, "full_name", "company_name"), ("parcel_number", "mls_id", "deed_reference"), "dedupe_only"),
+    "education_student": Preset((*_PERSON, *_PLACE, "institution_code"), ("student_id", "enrollment_id"), "dedupe_only"),
+    "hr_employee": Preset((*_PERSON, "job_title"), ("employee_id",), "dedupe_only"),
+    "address_dedup": Preset(("full_name", "address_line_2", *_PLACE), (), "dedupe_only"),
+    "telecom_subscriber": Preset((*_PERSON, *_PLACE), ("subscriber_id", "imsi", "imei", "msisdn", "service_point_id", "meter_id")),
+    "logistics_carrier": Preset((*_FIRM, *_PLACE), ("duns", "mc_dot_number", "carrier_scac", "ein")),
+    "retail_customer": Preset((*_PERSON, *_PLACE, "device_fingerprint_id", "payment_token_id"), ("loyalty_id", "customer_id")),
+    "public_sector": Preset((*_PERSON, *_PLACE, "case_number"), ("passport", "national_id", "voter_registration", "license_number", "ssn"), "dedupe_only"),
+    "travel_guest": Preset((*_PERSON, *_PLACE), ("guest_id", "booking_reference", "loyalty_id", "passport")),
+    "vendor_master": Preset((*_FIRM, *_PLACE), ("vendor_id", "duns", "cage_code", "sam_uei", "ein")),
+    "identity_fraud": Preset((*_PERSON, *_PLACE, "device_fingerprint_id", "payment_token_id"), ("ssn", "passport", "national_id", "account_number")),
 }
 
 

@@ -63,6 +63,10 @@ ROLES: dict[str, tuple[str, float]] = {
     "cusip": ("cusip", 8.0), "isin": ("code", 8.0), "amount": ("amount", 1.0), "currency": ("word", 0.3), "transaction_date": ("date", 1.0), "product_name": ("text", 4.0), "brand": ("word", 1.5),
     "category": ("word", 0.5), "description": ("text", 1.0), "sku": ("code", 6.0), "upc": ("digits", 8.0), "price": ("amount", 1.0), "seller_name": ("business", 1.0), "parcel_number": ("license", 7.0),
     "property_type": ("word", 0.5), "employee_id": ("code", 7.0), "job_title": ("text", 0.7), "customer_id": ("code", 7.0), "student_id": ("code", 7.0),
+    "subscriber_id": ("code", 7.0), "imsi": ("digits", 8.0), "imei": ("digits", 8.0), "msisdn": ("digits", 6.0), "service_point_id": ("code", 6.0), "meter_id": ("code", 6.0),
+    "mc_dot_number": ("digits", 7.0), "carrier_scac": ("code", 6.0), "loyalty_id": ("code", 7.0), "device_fingerprint_id": ("code", 4.0), "payment_token_id": ("code", 5.0),
+    "mls_id": ("code", 7.0), "deed_reference": ("code", 7.0), "passport": ("code", 8.0), "national_id": ("code", 8.0), "voter_registration": ("code", 7.0), "case_number": ("code", 5.0),
+    "enrollment_id": ("code", 7.0), "institution_code": ("code", 1.0), "guest_id": ("code", 7.0), "booking_reference": ("code", 5.0), "vendor_id": ("code", 7.0), "cage_code": ("code", 7.0), "sam_uei": ("code", 8.0),
 }
 
 #: Other spellings of a role in column names. CamelCase is taken apart first.
