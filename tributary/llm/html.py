@@ -43,16 +43,6 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PAIRED = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 #: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
-#: Never text of a page, and elements of a page's frame.
 OUT_TAGS = frozenset("head button select input dialog canvas audio video map datalist".split())
 FRAME_TAGS = frozenset("nav footer aside form menu search fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status tablist".split())
@@ -105,6 +95,9 @@ class Node:
         self.in_article = bool(parent and (parent.tag == "article" or parent.in_article))
 
 
+Block = tuple[Node, str, int]
+
+
 def _names(value: str) -> set[str]:
     return {w for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w}
 
@@ -232,39 +225,6 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
-Block = tuple[Node, str, int]
-
-
 def path_values(blocks: list[Block], named: Callable[[Node], bool] = lambda node: False) -> dict[int, float]:
     """The fused ratio of every path; named tells elements that count as boilerplate."""
     total: dict[int, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0, 0.0])
@@ -332,10 +292,10 @@ def _weighed(blocks: list[Block], content: set[int] | None = None) -> tuple[floa
 
 
 def _boilerplate(blocks: list[Block]) -> set[Node]:
-    """The elements that name boilerplate. One that holds the article, or else most of the page, is
-    none, whatever its name."""
+    """The elements that name boilerplate. One that holds the article, or else most of the page (but
+    for parts of its frame), is none, whatever its name."""
     whole, order = _weighed(blocks)
-    words = [n for n in order if n.word in ("known", "comments")]
+    words = [n for n in order if n.word in ("frame", "known", "comments")]
     if not words:
         return set()
     named = sorted((n for n in order if n.tag in ("article", "main") and n.word != "comments" and n.weight), key=lambda n: -n.weight)
@@ -347,11 +307,11 @@ def _boilerplate(blocks: list[Block]) -> set[Node]:
             held[up] = n.weight
     cut = set()
     for node in words:
-        below = _below({node})
+        here = _below({node})
         inside = 0.0 if node.in_article else held.get(node, 0.0)
         around = node.around.weight if node.around else 0.0 if named else whole
-        beside = next((n.weight for n in named if not below(n) and not _below({n})(node)), 0.0)
-        most = around and node.weight >= (0.8 if node.word == "known" else 1) * around
+        beside = next((n.weight for n in named if not here(n) and not _below({n})(node)), 0.0)
+        most = around and node.word != "frame" and node.weight >= (0.8 if node.word == "known" else 1) * around
         if not most and (not inside or beside and (beside > inside or node.word == "comments")):
             cut.add(node)
     return cut
