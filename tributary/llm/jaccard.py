@@ -39,6 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -249,7 +250,17 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = total.reshape(-1, SEGMENT)
     at = np.flatnonzero(rows.any(1))
     none = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, pa.int32()), pa.array([rows[i].tobytes() for i in at], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, pa.int32()), pa.array([_narrow(rows[i]) for i in at], pa.binary())], names)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts of a segment in as many bytes each as the largest needs."""
+    most = int(counts.max())
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // SEGMENT}")
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +270,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, raw in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             if i not in total:
                 total[i] = np.zeros(SEGMENT, np.uint64)
-            total[i] += np.frombuffer(raw, np.uint32)
-    values = [np.minimum(v, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for v in total.values()]
+            total[i] += _wide(raw)
+    values = [_narrow(np.minimum(v, np.iinfo(np.uint32).max)) for v in total.values()]
     yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(values, pa.binary())], ["segment", "counts"])
 
 
@@ -280,12 +291,10 @@ def prefix_size(n: int) -> int:
 SALTED = 1 << 31
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+def _postings(docs: DataFrame, shared: Broadcast, limit: float, parts: int) -> DataFrame:
     """part, raw: the shingles in prefixes, packed by part: 8 bytes for the class, 4 for its size, 6
-    of the shingle. A class comes once for each batch. Parts are dealt by shingle, those of common
-    buckets by shingle and class."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
-    limit = max(COMMON, 4 * float(counts.mean()))
+    of the shingle. A class comes once for each batch. Parts are dealt by shingle, those of buckets
+    with a count over limit by shingle and class."""
 
     def packed(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
         to = ((tokens ^ (tokens >> np.uint64(23))) + salts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)
@@ -413,10 +422,9 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.join(sizes, "home").select(*members.columns, F.pmod(F.xxhash64("class"), parts).alias("part"))
 
 
-def _meetings(members: DataFrame, counts: np.ndarray) -> DataFrame:
+def _meetings(members: DataFrame, shared: Broadcast) -> DataFrame:
     """The components (a) that meetings of members (home, part, class, comp, rank, hub, text) connect with
     others (b), which are first by rank and name. Where a meeting has a hub, only its links are looked for."""
-    shared = members.sparkSession.sparkContext.broadcast(counts)
     cols = ["home", "part", "class", "comp", "rank", "hub", "text"]
 
     def joined(rows: dict[int, tuple]) -> list[tuple]:
@@ -544,27 +552,27 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = np.zeros((BUCKETS // SEGMENT, SEGMENT), np.uint32)
     added = read.where("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(_added, "segment int, counts binary")
     for r in added.collect():  # BUCKETS numbers at most
-        counts[r.segment] = np.frombuffer(r.counts, np.uint32)
+        counts[r.segment] = _wide(r.counts)
     counts = counts.ravel()
     parts = 1 + int(counts.sum(dtype=np.int64)) // (4 * PART)
-    met = stash(_shared(_postings(docs, counts, parts), parts))
+    shared_counts = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers, once for all that follows
+    met = stash(_shared(_postings(docs, shared_counts, max(COMMON, 4 * float(counts.mean())), parts), parts))
     shared = met.where("token IS NOT NULL").select("token", "class", "size")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select("class", "one.*")
     homes = stash(_homes(met.where("other IS NOT NULL").select("class", "other", "k")))
     wanted = shared.select("class").distinct().join(_dealt(homes), "class", "left").join(first, "class").withColumnRenamed("class", "wanted")
-    bucket_counts = docs.sparkSession.sparkContext.broadcast(counts)
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "wanted", "home", "part", "text"]
         for batch in batches:
             own = [shingles(t) for t in batch.column("text").to_pylist()]
-            last = [int(np.partition(o, p - 1)[p - 1]) if p < len(o) else int(o.max()) for s in own for o, p in [(_order(s, bucket_counts.value), prefix_size(len(s)))]]
+            last = [int(np.partition(o, p - 1)[p - 1]) if p < len(o) else int(o.max()) for s in own for o, p in [(_order(s, shared_counts.value), prefix_size(len(s)))]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(s) for s in own], pa.int64()), pa.array(last, pa.int64())], ["doc", "class", "home", "part", "text", "size", "last"])
 
     found = docs.join(small(stash(wanted)), ["doc_id", "tie"]).select("doc_id", "wanted", "home", "part", "text")
     texts = stash(found.mapInArrow(texts_of, "doc long, class long, home long, part long, text string, size long, last long"))
     classes = texts.select("class", "doc", "size", "last").dropDuplicates(["class"])
-    links = _meetings(texts.where("part IS NOT NULL").select("home", "part", "class", F.col("class").alias("comp"), F.col("doc").alias("rank"), F.lit(False).alias("hub"), "text"), counts)
+    links = _meetings(texts.where("part IS NOT NULL").select("home", "part", "class", F.col("class").alias("comp"), F.col("doc").alias("rank"), F.lit(False).alias("hub"), "text"), shared_counts)
     # A class is in one such meeting, and so its component is known without further rounds.
     linked = stash(links.withColumnsRenamed({"a": "class", "b": "comp"}))
     comps = stash(classes.join(small(linked), "class", "left").select("class", "doc", "size", "last", F.coalesce("comp", "class").alias("comp")))
@@ -577,7 +585,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """comps after pairs of components, of the classes that `then` gives them, have met; links found."""
         members = _faced(pairs, then)
         found = texts.select("class", "text").join(small(members), "class").join(small(comps.select("class", "comp")), "class")
-        links = stash(_meetings(found.select("home", "part", "class", "comp", F.lit(0).alias("rank"), "hub", "text"), counts))
+        links = stash(_meetings(found.select("home", "part", "class", "comp", F.lit(0).alias("rank"), "hub", "text"), shared_counts))
         got = links.count()
         return stash(_relabelled(comps, _labels(links, comps))) if got else comps, got
 
@@ -605,6 +613,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = stash(comps.where("class = comp").select(F.col("class").alias("comp"), F.col("doc").alias("comp_doc")))
     final = first.join(stash(comps.join(small(roots), "comp").select("class", "comp", "comp_doc")), "class", "left")
     discard(met, homes, texts, open_, crowded)
+    shared_counts.unpersist()
     return rows, final.select("class", "doc_id", F.coalesce("comp", "class").alias("comp"), F.coalesce("comp_doc", "doc_id").alias("comp_doc"))
 
 
