@@ -34,7 +34,7 @@ from .common import pick, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words remembered in a generation of a worker's memory.
-MEMO = 300_000
+MEMO = 150_000
 NEVER = float("-inf")
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
