@@ -43,24 +43,24 @@ def _hadoop_path(spark: SparkSession, path: str):
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
-def written(df: DataFrame, path: str) -> None:
+def written(df: DataFrame, path: str, compression: str = "snappy") -> None:
     """Writes df to path, which goes when the driver ends; the shuffle files of the write go with it."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     fs, found = _hadoop_path(spark, path)
     fs.deleteOnExit(found)
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: it is computed once, and what follows
     doesn't recompute it when executors are lost."""
     path = scratch(df.sparkSession)
-    written(df, path)
+    written(df, path, compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, pick, real_id, scratch, stash, table
+from .common import discard, long_id, pick, real_id, scratch, stash, table
 
 #: Characters of texts that are encoded together, stretches in a row, and stretches looked up at once.
 TOGETHER = 24 << 20
@@ -226,7 +226,7 @@ def rank_table(tokens: DataFrame) -> DataFrame:
 def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """The file set of docs (doc_id, text), written to path."""
     spark = docs.sparkSession
-    tokens = stash(tokenize(docs, tokenizer or default_tokenizer(), end_id))
+    tokens = stash(tokenize(docs, tokenizer or default_tokenizer(), end_id), "zstd")
     ranks = rank_table(tokens)
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     ids = [r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
@@ -261,6 +261,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     # By the text's hash as well, so that many rows of one id, or of none, are not one part.
     ordered = tokens.where("id IS NULL").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "wide")
     ordered.mapInArrow(blocks, "part int, block int, skip long, doc_ids array<long>, counts array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_files(spark: SparkSession, path: str, reduce: Callable[[np.ndarray], int], name: str) -> DataFrame:
