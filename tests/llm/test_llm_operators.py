@@ -326,6 +326,24 @@ def test_repeats_are_brute_force(spark, odd, small, monkeypatch):
     assert sorted(map(repr, got)) == sorted(map(repr, brute_repeats(rows)))
 
 
+def test_a_passage_that_is_everywhere_stays_spread(spark):
+    """No task gets all spans of one class, even where Spark doesn't split the join."""
+    key = F.when(F.col("id") % 4 > 0, 7).otherwise(F.col("id"))
+    null = F.lit(None).cast("long")
+    rows = spark.range(0, 8000, 1, 8).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.lit(1).cast("long").alias("g1"), F.lit(0).cast("long").alias("g2"), F.lit(0).cast("long").alias("start"), F.lit(1).alias("n"), F.lit(0).alias("lead"), F.lit(0).alias("lo"), key.alias("k1"), key.alias("k2"), null.alias("l"), null.alias("r"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        whole, _ = substrings._classes(rows)
+        counts = [r["count"] for r in whole.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sum(counts) == 6000 and max(counts) < 1000
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
