@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.columns import LEFT, RIGHT
 from tributary.operators import blocking as B
+from tributary.operators import pairs as P
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +69,19 @@ def test_repeated_uids_still_give_a_pair_once(records):
     p = B.Blocking((B.BlockingPath(("name",)),))
     got = pairs(B.block(twice, p).where(F.col(LEFT) != F.col(RIGHT)))
     assert got == pairs(B.block(records, p))
+
+
+def test_values_are_compared_once(spark, rows, records):
+    many = records.crossJoin(spark.range(40).toDF("copy")).withColumn("entity_uid", F.col("entity_uid") + 1000 * F.col("copy")).drop("copy").where("entity_uid % 7 = 0")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(a, b):
+        calls.add(1)
+        return a == b
+
+    pair = lambda df, columns: B.block(df, B.Blocking((B.BlockingPath(("name",)),)), columns=columns)
+    got = P.compare(many, ["size"], [same("l.size", "r.size").alias("same")], pair).cache()
+    assert got.count() == pair(many, ["size"]).count() and calls.value == 25
+    plain = pair(many, ["size"]).select(LEFT, RIGHT, F.expr("l.size <=> r.size").alias("same"))
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
