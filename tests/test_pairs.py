@@ -1,13 +1,17 @@
 """Pairs as a stream: the same pairs as by brute force, without a shuffle of pairs."""
 
+import os
 import random
 
+import duckdb
 import pytest
+from helpers import TABLES, check_query
 from pyspark.sql import functions as F
 
 from tributary.columns import LEFT, RIGHT
 from tributary.operators import blocking as B
 from tributary.operators import pairs as P
+from tributary.queries import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +89,20 @@ def test_values_are_compared_once(spark, rows, records):
     assert got.count() == pair(many, ["size"]).count() and calls.value == 25
     plain = pair(many, ["size"]).select(LEFT, RIGHT, F.expr("l.size <=> r.size").alias("same"))
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def one_name(spark, sf_dir, tmp_path_factory):
+    """The test tables with a part table of one name and brand, whose key has too many pairs."""
+    folder = tmp_path_factory.mktemp("one-name")
+    for t in TABLES:
+        if t != "part":
+            os.symlink(f"{sf_dir}/{t}.parquet", f"{folder}/{t}.parquet")
+    part = "SELECT i * 7 % 300 AS p_partkey, 'red ring' AS p_name, 'Brand#1' AS p_brand, (['LARGE', 'SMALL', 'PROMO'])[1 + i % 3] AS p_type, (1 + i % 5)::INT AS p_size, (900 + i / 10.0)::DOUBLE AS p_retailprice FROM range(300) t(i)"
+    duckdb.sql(f"COPY ({part}) TO '{folder}/part.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["er_estimate_from_labels", "er_connected_components", "er_incremental_components", "er_confidence_shaping", "er_best_match_clusters", "er_match_metadata", "er_cluster_quality"])
+def test_queries_on_hot_keys(spark, one_name, name):
+    check_query(spark, one_name, QUERIES[name], SQL[name])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import ENTITY_UID, LEFT, RIGHT
+from .pairs import paired
 from .scoring import Comparison, Level
 
 FLOOR, CEILING = 0.001, 0.999
@@ -47,8 +48,7 @@ def _levels(c: Comparison) -> tuple[Level, ...]:
 def level_patterns(pairs: DataFrame, records: DataFrame, comparisons: Sequence[Comparison], extra: Sequence[str] = ()) -> DataFrame:
     """Each pair's level index by comparison (columns g0, g1, ...), with the extra columns."""
     names = {x for c in comparisons for lv in _levels(c) if lv.test for x in lv.test.columns()}
-    own = records.select(ENTITY_UID, *sorted(names - {ENTITY_UID, ""}))
-    df = pairs.alias("c").join(own.alias("l"), F.col(f"c.{LEFT}") == F.col(f"l.{ENTITY_UID}")).join(own.alias("r"), F.col(f"c.{RIGHT}") == F.col(f"r.{ENTITY_UID}"))
+    df = paired(pairs.select(*(c for c in pairs.columns if c not in names)), records, names)
     cols = []
     for i, c in enumerate(comparisons):
         out, rest = None, len(_levels(c)) - 1
@@ -59,7 +59,7 @@ def level_patterns(pairs: DataFrame, records: DataFrame, comparisons: Sequence[C
             hit = F.coalesce(lv.test.value(), F.lit(False))
             out = F.when(hit, k) if out is None else out.when(hit, k)
         cols.append((out.otherwise(rest) if out is not None else F.lit(rest)).cast("int").alias(f"g{i}"))
-    return df.select(*cols, *(F.col(f"c.{x}") for x in extra))
+    return df.select(*cols, *extra)
 
 
 def sample_pairs(pairs: DataFrame, size: int) -> DataFrame:
@@ -98,13 +98,16 @@ def estimate_em(pairs: DataFrame, records: DataFrame, comparisons: Sequence[Comp
     return Parameters(dict(zip(key, np.concatenate(m).tolist(), strict=True)), dict(zip(key, np.concatenate(u).tolist(), strict=True)), rate, done)
 
 
-def estimate_from_labels(labelled: DataFrame, records: DataFrame, comparisons: Sequence[Comparison], label: str = "is_match") -> DataFrame:
-    """comparison, level, m, u, match_rate, from pairs with a boolean label, in one pass."""
-    rows = level_patterns(labelled, records, comparisons, [label])
-    yes, no = F.count_if(F.col(label)), F.count_if(~F.col(label))
-    counts = [F.struct(F.lit(c.label).alias("comparison"), F.lit(lv.label).alias("level"), F.count_if(F.col(label) & (F.col(f"g{i}") == k)).alias("a"), F.count_if(~F.col(label) & (F.col(f"g{i}") == k)).alias("b")) for i, c in enumerate(comparisons) for k, lv in enumerate(_levels(c))]
+def estimate_from_labels(labelled: DataFrame, records: DataFrame, comparisons: Sequence[Comparison], label: str = "is_match", empty: float | None = None) -> DataFrame:
+    """comparison, level, m, u, match_rate, from pairs with a boolean label, in one pass. empty: the
+    shares of a kind of which there are no pairs."""
+    names = [f"g{i}" for i in range(len(comparisons))]
+    rows = level_patterns(labelled, records, comparisons, [label]).groupBy(label, *names).agg(F.count("*").alias("n"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    yes, no = many(F.col(label)), many(~F.col(label))
+    counts = [F.struct(F.lit(c.label).alias("comparison"), F.lit(lv.label).alias("level"), many(F.col(label) & (F.col(f"g{i}") == k)).alias("a"), many(~F.col(label) & (F.col(f"g{i}") == k)).alias("b")) for i, c in enumerate(comparisons) for k, lv in enumerate(_levels(c))]
     one = rows.agg(yes.alias("yes"), no.alias("no"), F.array(*counts).alias("c")).select("yes", "no", F.explode("c").alias("x"))
-    clamp = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(FLOOR)), F.lit(CEILING)))
+    clamp = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(FLOOR)), F.lit(CEILING))).otherwise(F.lit(empty).cast("double"))
     return one.select("x.comparison", "x.level", clamp(F.try_divide(F.col("x.a"), F.col("yes"))).alias("m"), clamp(F.try_divide(F.col("x.b"), F.col("no"))).alias("u"), F.try_divide(F.col("yes"), F.col("yes") + F.col("no")).alias("match_rate"))
 
 

@@ -109,7 +109,9 @@ def match_metadata(matches: DataFrame, strategy: str = "tier_priority") -> DataF
     tier, top = -F.col(TIER_PRIORITY), F.col(SCORE)
     key = F.struct(top, tier, -F.col("w")) if strategy == "highest_score" else F.struct(tier, top, -F.col("w"))
     ends = [matches.select(F.col(a).alias(ENTITY_UID), F.col(b).alias("w"), TIER_PRIORITY, TIER_NAME, SCORE, CONFIDENCE) for a, b in ((LEFT, RIGHT), (RIGHT, LEFT))]
-    best = ends[0].unionByName(ends[1]).groupBy(ENTITY_UID).agg(F.max_by(F.struct(TIER_NAME, SCORE, CONFIDENCE), key).alias("m"))
+    # The smallest partner of each score first: a long in place, where structs would be sorted.
+    few = ends[0].unionByName(ends[1]).groupBy(ENTITY_UID, TIER_PRIORITY, TIER_NAME, SCORE, CONFIDENCE).agg(F.min("w").alias("w"))
+    best = few.groupBy(ENTITY_UID).agg(F.max_by(F.struct(TIER_NAME, SCORE, CONFIDENCE), key).alias("m"))
     return best.select(ENTITY_UID, F.col(f"m.{TIER_NAME}").alias("matched_by_tier"), F.col(f"m.{SCORE}").alias("match_score"), F.col(f"m.{CONFIDENCE}").alias("match_confidence"))
 
 
