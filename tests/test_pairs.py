@@ -6,11 +6,14 @@ import random
 import duckdb
 import pytest
 from helpers import TABLES, check_query
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tributary.columns import LEFT, RIGHT
 from tributary.operators import blocking as B
+from tributary.operators import learning
 from tributary.operators import pairs as P
+from tributary.operators import scoring as S
 from tributary.queries import QUERIES, SQL
 
 
@@ -106,3 +109,20 @@ def one_name(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["er_estimate_from_labels", "er_connected_components", "er_incremental_components", "er_confidence_shaping", "er_best_match_clusters", "er_match_metadata", "er_cluster_quality"])
 def test_queries_on_hot_keys(spark, one_name, name):
     check_query(spark, one_name, QUERIES[name], SQL[name])
+
+
+def test_known_scores_are_rounded_as_by_spark(spark):
+    tests = tuple(S.Comparison(S.Test(c), w) for c, w in (("a", 2.0), ("b", 1.3), ("c", 0.7), ("d", 0.1)))
+    rec = spark.createDataFrame([(i, "s", 1, *(i >> k & 1 for k in range(4))) for i in range(16)], "entity_uid long, source_name string, k int, a int, b int, c int, d int")
+    out = S.score_pairs(B.block(rec, B.Blocking((B.BlockingPath(("k",)),)), columns="abcd"), rec, S.Scoring("t", tests))
+    assert "round" in str(out._jdf.queryExecution().optimizedPlan()) and out.select("match_confidence").distinct().count() > 8
+    assert out.where(F.col("match_confidence") != F.round(F.col("match_total_score") / sum(x.weight for x in tests), 4)).isEmpty()
+
+
+def test_training_reads_counts_of_equal_rows(spark):
+    m = spark.range(3000).select(F.col("id").alias(LEFT), (F.col("id") + 1).alias(RIGHT), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 3 > 0).cast("double").alias("y"), (F.col("id") % 5 > 1).cast("int").alias("is_match"))
+    model = learning.train(m, ["x", "y"])
+    assert model.stages[-1].summary.predictions.count() == 8
+    said = learning.predict(model, m)
+    plain = model.transform(m).select(LEFT, RIGHT, vector_to_array("probability")[1].alias("p"))
+    assert said.count() == 3000 and said.join(plain, [LEFT, RIGHT]).where("abs(ml_probability - p) > 1e-12").isEmpty()
